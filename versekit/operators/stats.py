@@ -242,3 +242,16 @@ def histogram(values: DataFrame, value: str, lo: float, key=("genre", "artist"))
     raw = F.floor((F.col(value) - F.col("lo")) / width).cast("bigint")
     bin_ = F.least(raw, F.col("n_bins") - 1)
     return (j.withColumn("bin", bin_).groupBy(*key, "bin").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def minmax_histogram(values: DataFrame, value: str, bins: int = refdata.COMPARE_BINS,
+                     key=("genre", "artist")) -> DataFrame:
+    """``bins`` equal bins from each group's min to max (numpy rule: max in the last bin;
+    a constant group uses [v - .5, v + .5])."""
+    b = values.groupBy(*key).agg(F.min(value).alias("mn"), F.max(value).alias("mx"))
+    lo = F.when(F.col("mx") == F.col("mn"), F.col("mn") - 0.5).otherwise(F.col("mn"))
+    hi = F.when(F.col("mx") == F.col("mn"), F.col("mx") + 0.5).otherwise(F.col("mx"))
+    j = values.join(b.withColumn("lo", lo).withColumn("hi", hi), list(key))
+    raw = F.floor((F.col(value) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)).cast("bigint")
+    return (j.withColumn("bin", F.least(raw, F.lit(bins - 1)))
+            .groupBy(*key, "bin").agg(F.count(F.lit(1)).alias("cnt")))

@@ -76,3 +76,317 @@ def tfidf_artist(spark, sf_dir):
     c = Corpus(spark, sf_dir)
     return c.tfidf_artist.select("genre", "artist", "word", S.as_double(F.col("mtf4")).alias("mean_tf"),
                                  S.as_double(F.col("tfidf4")).alias("tfidf"))
+
+
+def _c(spark, sf_dir) -> Corpus:
+    return Corpus(spark, sf_dir)
+
+
+def _joined(col):
+    return F.array_join(col, " ")
+
+
+# --------------------------------------------------------------------------- sources on tables
+
+@register("lines")
+def lines(spark, sf_dir):
+    """Used lines with cleaned tokens and end-of-track flag."""
+    from ..sources import tables as TB
+    ln = TB.lines(_c(spark, sf_dir).documents)
+    return ln.select("doc_id", "line_no", "eot", F.size("tokens").cast("bigint").alias("ntok"),
+                     _joined("tokens").alias("cleaned"))
+
+
+@register("registry")
+def registry(spark, sf_dir):
+    """Registered tracks with their titles."""
+    from ..sources import tables as TB
+    c = _c(spark, sf_dir)
+    return TB.registry(c.documents, c.labels, c.index).select("genre", "artist", "dtag", "title")
+
+
+@register("track_by_tag")
+def track_by_tag(spark, sf_dir):
+    """S3: every registered track's cleaned lines (in order) with its registry title."""
+    from ..sources import tables as TB
+    c = _c(spark, sf_dir)
+    reg = TB.registry(c.documents, c.labels, c.index)
+    ln = TB.lines(c.documents).select("doc_id", "line_no", _joined("tokens").alias("cleaned"))
+    per = (ln.groupBy("doc_id")
+           .agg(F.count(F.lit(1)).alias("n_lines"),
+                F.array_sort(F.collect_list(F.struct("line_no", "cleaned"))).alias("_l")))
+    per = per.select("doc_id", "n_lines", F.array_join(F.transform("_l", lambda s: s["cleaned"]), " | ").alias("lyrics"))
+    return reg.join(per, "doc_id", "left").select(
+        "dtag", "title", F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce("lyrics", F.lit("")).alias("lyrics"))
+
+
+@register("titled_tracks")
+def titled_tracks(spark, sf_dir):
+    """Registered tracks' words with the cleaned title tokens appended."""
+    from ..sources import tables as TB
+    c = _c(spark, sf_dir)
+    reg = TB.registry(c.documents, c.labels, c.index)
+    j = reg.join(c.doc_words.select("doc_id", "words"), "doc_id")
+    words = F.concat("words", T.title_tokens("title"))
+    return j.select("dtag", F.size(words).cast("bigint").alias("ntok"), _joined(words).alias("words"))
+
+
+SELECT_INCLUDE = ["de", "en", "fr"]
+SELECT_EXCLUDE_GENRES = ["de"]
+SELECT_EXCLUDE_ARTISTS = ["src3", "src7"]
+
+
+@register("select_corpus")
+def select_corpus(spark, sf_dir):
+    """Tracks of included genres minus excluded genres and artists."""
+    from ..sources import tables as TB
+    m = TB.tracks_meta(_c(spark, sf_dir).documents)
+    return m.filter(F.col("genre").isin(SELECT_INCLUDE) & ~F.col("genre").isin(SELECT_EXCLUDE_GENRES)
+                    & ~F.col("artist").isin(SELECT_EXCLUDE_ARTISTS))
+
+
+REQUESTED_GENRES = ["de", "en", "es", "fr", "it"]
+
+
+@register("genre_artists")
+def genre_artists(spark, sf_dir):
+    """Artists of each requested genre (a requested genre without artists appears empty)."""
+    from ..sources import tables as TB
+    m = TB.tracks_meta(_c(spark, sf_dir).documents)
+    per = (m.filter(F.col("genre").isin(REQUESTED_GENRES)).groupBy("genre")
+           .agg(F.sort_array(F.collect_set("artist")).alias("a")))
+    req = spark.createDataFrame([(g,) for g in REQUESTED_GENRES], "genre string")
+    j = req.join(per, "genre", "left")
+    return j.select("genre", F.coalesce(F.size("a"), F.lit(0)).cast("bigint").alias("n_artists"),
+                    F.coalesce(F.array_join("a", ","), F.lit("")).alias("artists"))
+
+
+# --------------------------------------------------------------------------- text on tables
+
+@register("clean_string")
+def clean_string(spark, sf_dir):
+    """A conversation turn cleaned to one space-joined string."""
+    cv = _c(spark, sf_dir).table("conversations")
+    return cv.select("conv_id", "turn", T.clean_string("text").alias("cleaned"))
+
+
+@register("normalize_markers")
+def normalize_markers(spark, sf_dir):
+    """Marker normalisation of every track text (status 13 when no rule applies)."""
+    d = _c(spark, sf_dir).documents
+    txt, status = T.normalize_markers("text")
+    return d.select("doc_id", status.cast("bigint").alias("status"),
+                    F.length(txt).cast("bigint").alias("n_chars"), F.md5(txt).alias("md5"))
+
+
+@register("extract_words")
+def extract_words(spark, sf_dir):
+    """Word extraction of benchmark sentences with the core stop list."""
+    from .. import refdata
+    b = _c(spark, sf_dir).table("benchmark")
+    return b.select("item_id", T.extract_words("text", refdata.CORESTOPS).alias("words"))
+
+
+@register("double_stops")
+def double_stops(spark, sf_dir):
+    """Whitespace tokens of conversation turns minus two stop lists (duplicates kept)."""
+    cv = _c(spark, sf_dir).table("conversations")
+    return cv.select("conv_id", "turn", _joined(T.double_stops(T.split_ws("text"))).alias("cleaned"))
+
+
+@register("scrub_text")
+def scrub_text(spark, sf_dir):
+    """ASCII alphabetic tokens (2+ chars, lower case) of conversation turns."""
+    cv = _c(spark, sf_dir).table("conversations")
+    return cv.select("conv_id", "turn", _joined(T.scrub_text("text")).alias("scrubbed"))
+
+
+@register("min_len_tokens")
+def min_len_tokens(spark, sf_dir):
+    """Track tokens longer than three characters (topic-model preparation)."""
+    dw = _c(spark, sf_dir).doc_words
+    t = T.min_len_tokens(F.col("words"))
+    return dw.select("doc_id", F.size(t).cast("bigint").alias("ntok"), _joined(t).alias("words"))
+
+
+@register("title_tokens")
+def title_tokens(spark, sf_dir):
+    """Cleaned registry title tokens plus the joined title token."""
+    from ..sources import tables as TB
+    c = _c(spark, sf_dir)
+    reg = TB.registry(c.documents, c.labels, c.index)
+    return reg.select("dtag", _joined(T.title_tokens("title", with_joined=True)).alias("title_tokens"))
+
+
+# --------------------------------------------------------------------------- filters / joins
+
+@register("min_count")
+def min_count(spark, sf_dir):
+    """words with corpus frequency >= 2 (base-class default)."""
+    return S.word_freq(_c(spark, sf_dir).doc_words, 2)
+
+
+@register("filter_extremes")
+def filter_extremes(spark, sf_dir):
+    """words in >= 30 tracks and <= 50% of tracks."""
+    from ..operators import filters as FL
+    c = _c(spark, sf_dir)
+    return FL.filter_extremes(c.counts, c.n_total, 30, 0.5)
+
+
+@register("tfidf_filter")
+def tfidf_filter(spark, sf_dir):
+    """tracks after the per-artist 30th-percentile tf-idf filter (empty tracks dropped)."""
+    from ..operators import filters as FL
+    c = _c(spark, sf_dir)
+    out = FL.tfidf_filter(c.doc_words, c.counts, c.idf, c.tfidf_artist)
+    out = out.join(c.index.select("doc_id", "dtag"), "doc_id")
+    return out.select("dtag", F.size("words").cast("bigint").alias("ntok"), _joined("words").alias("words"))
+
+
+@register("tfidf_outliers")
+def tfidf_outliers(spark, sf_dir):
+    """per artist, share of tf-idf values outside the 2nd-98th percentile band."""
+    from ..operators import filters as FL
+    return FL.tfidf_outliers(_c(spark, sf_dir).tfidf_artist)
+
+
+@register("extra_training_filter")
+def extra_training_filter(spark, sf_dir):
+    """per track, words whose artist tf-idf exceeds 0.0299."""
+    from ..operators import filters as FL
+    c = _c(spark, sf_dir)
+    out = FL.extra_training_filter(c.doc_words, c.tfidf_artist)
+    return out.select("doc_id", F.size("words").cast("bigint").alias("ntok"), _joined("words").alias("words"))
+
+
+@register("rare_words")
+def rare_words(spark, sf_dir):
+    """words used by few artists but frequent enough."""
+    from ..operators import filters as FL
+    c = _c(spark, sf_dir)
+    n_art = S.scalar(c.counts.select("genre", "artist").distinct().agg(F.count(F.lit(1))))
+    wa = S.word_artists(c.counts)
+    return FL.rare_words(wa, S.word_freq(c.doc_words, 3), n_art).select("word", "n_artists", "cnt")
+
+
+@register("registry_join")
+def registry_join(spark, sf_dir):
+    """JN1: tag assignment: the k-th registry tag of the artist, else a synthesized tag."""
+    from ..operators.ordinals import group_ordinal
+    from ..sources import tables as TB
+    c = _c(spark, sf_dir)
+    reg = TB.registry(c.documents, c.labels, c.index)
+    k = group_ordinal(reg.select("genre", "artist", "track_no"), ["genre", "artist"], "track_no", "k")
+    regk = (reg.join(k, ["genre", "artist", "track_no"])
+            .select("genre", "artist", F.col("k").alias("track_no"), F.col("dtag").alias("reg_tag"), "title"))
+    j = c.index.join(regk, ["genre", "artist", "track_no"], "left")
+    return j.select("doc_id", "dtag", F.coalesce("reg_tag", "dtag").alias("assigned_tag"), "title")
+
+
+# --------------------------------------------------------------------------- aggregates
+
+@register("corpus_counts")
+def corpus_counts(spark, sf_dir):
+    """A2: tracks, tokens, empty tracks and per-track distinct words per artist."""
+    return S.corpus_counts(_c(spark, sf_dir).doc_words)
+
+
+@register("vocabulary_size")
+def vocabulary_size(spark, sf_dir):
+    """A2: corpus vocabulary before pruning and raw token total."""
+    return S.vocabulary_size(_c(spark, sf_dir).doc_words)
+
+
+@register("artist_tf")
+def artist_tf(spark, sf_dir):
+    c = _c(spark, sf_dir)
+    return S.artist_tf(c.counts, c.doc_words).select("genre", "artist", "word", "cnt", "denom", "tf")
+
+
+@register("word_artists")
+def word_artists(spark, sf_dir):
+    return S.word_artists(_c(spark, sf_dir).counts)
+
+
+@register("idf_mean")
+def idf_mean(spark, sf_dir):
+    """Mean idf over the vocabulary."""
+    i = _c(spark, sf_dir).idf
+    return i.agg(F.sum("idf4").alias("sum_idf4"), F.count(F.lit(1)).alias("n_words")).select(
+        "sum_idf4", "n_words", (F.col("sum_idf4") / F.col("n_words") / F.lit(10000.0)).alias("idf_mean"))
+
+
+@register("tfidf_track")
+def tfidf_track(spark, sf_dir):
+    c = _c(spark, sf_dir)
+    t = S.tfidf_track(c.counts, c.idf, c.covered)
+    return t.select("dtag", "word", S.as_double(F.col("tf4")).alias("tf"), S.as_double(F.col("tfidf4")).alias("tfidf"))
+
+
+@register("tfidf_artist_simple")
+def tfidf_artist_simple(spark, sf_dir):
+    c = _c(spark, sf_dir)
+    t = S.tfidf_artist_simple(c.counts, c.doc_words, c.idf)
+    return t.select("genre", "artist", "word", S.as_double(F.col("tfidf4")).alias("tfidf"))
+
+
+@register("bow")
+def bow(spark, sf_dir):
+    """Artist bag of words over words with frequency >= 2, dense term ids."""
+    c = _c(spark, sf_dir)
+    return S.bow(c.counts, c.doc_words, 2)
+
+
+@register("doc_bow")
+def doc_bow(spark, sf_dir):
+    """Track bag of words over the F3-filtered dictionary (term ids in word order)."""
+    from ..operators import filters as FL
+    c = _c(spark, sf_dir)
+    kept = FL.filter_extremes(c.counts, c.n_total, 30, 0.5)
+    vocab = S.dense_vocab(kept.select("word"))
+    j = c.counts.join(vocab, "word").join(c.index.select("doc_id", "dtag"), "doc_id")
+    return j.select("dtag", "term_id", "word", "cnt")
+
+
+@register("cloud_weights")
+def cloud_weights(spark, sf_dir):
+    """Top 120 cloud words (length >= 4, minus the lyric stop list)."""
+    from .. import refdata
+    return S.cloud_weights(_c(spark, sf_dir).doc_words, refdata.STOP_LYRICS)
+
+
+@register("tfidf_histogram")
+def tfidf_histogram(spark, sf_dir):
+    """Per artist histogram of tf-idf values on [0.0006, median + 3 std]."""
+    from .. import refdata
+    t = _c(spark, sf_dir).tfidf_artist.withColumn("v", S.as_double(F.col("tfidf4")))
+    return S.histogram(t, "v", refdata.TFIDF_HIST_MIN)
+
+
+@register("tf_histogram")
+def tf_histogram(spark, sf_dir):
+    """Per artist histogram of artist tf values on [0.002, median + 3 std]."""
+    from .. import refdata
+    c = _c(spark, sf_dir)
+    t = S.artist_tf(c.counts, c.doc_words).withColumn("v", F.col("tf"))
+    return S.histogram(t, "v", refdata.TF_HIST_MIN)
+
+
+@register("compare_histogram")
+def compare_histogram(spark, sf_dir):
+    """200 equal bins between each artist's min and max tf-idf."""
+    t = _c(spark, sf_dir).tfidf_artist.withColumn("v", S.as_double(F.col("tfidf4")))
+    return S.minmax_histogram(t, "v")
+
+
+@register("train_test_split")
+def train_test_split(spark, sf_dir, every: int = 5):
+    """Corpus-order ordinal of each track; every ``every``-th track is test."""
+    from ..operators.ordinals import global_ordinal
+    c = _c(spark, sf_dir)
+    o = global_ordinal(c.index.select("genre", "artist", "track_no"), ["genre", "artist", "track_no"], "ordinal")
+    j = c.index.join(o, ["genre", "artist", "track_no"])
+    return j.select("dtag", F.col("ordinal").cast("bigint").alias("ordinal"),
+                    ((F.col("ordinal") % every) == 0).alias("is_test"))

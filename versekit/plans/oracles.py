@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import sqltext as Q
+from .. import refdata  # noqa: F401
 
 ORACLES: dict[str, str] = {}
 
@@ -33,3 +34,247 @@ SELECT word, df, idf4 / 10000.0 AS idf FROM idf"""
 
 ORACLES["tfidf_artist"] = BASE + ",\n" + Q.TFIDF_ARTIST + """
 SELECT genre, artist, word, mtf4 / 10000.0 AS mean_tf, tfidf4 / 10000.0 AS tfidf FROM tfidf_artist"""
+
+# --------------------------------------------------------------------------- sources on tables
+
+_LINES = """lns AS (
+  SELECT doc_id, lang AS genre, source AS artist, CAST(i - 1 AS BIGINT) AS line_no, ls[i] AS line,
+         (SELECT max(j) FROM unnest(generate_series(1, len(ls))) AS u(j) WHERE length(ls[j]) >= 5) AS last_i, i
+  FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS ls FROM documents) d,
+       unnest(generate_series(1, len(ls))) AS t(i)
+  WHERE length(ls[i]) >= 5)"""
+
+ORACLES["lines"] = "WITH " + _LINES + """
+SELECT doc_id, line_no, (i = last_i) AS eot, CAST(len(tok) AS BIGINT) AS ntok, array_to_string(tok, ' ') AS cleaned
+FROM (SELECT *, """ + Q.clean_tokens_sql("line") + """ AS tok FROM lns)"""
+
+_TITLES = """titles AS (
+  SELECT doc_id, array_to_string(list_slice(""" + Q.split_ws_sql("string_split(text, chr(10))[1]") + """, 1, 5), ' ') AS title
+  FROM documents),
+reg AS (
+  SELECT t.genre, t.artist, t.dtag, t.doc_id, t.track_no, ti.title
+  FROM tracks t JOIN titles ti ON t.doc_id = ti.doc_id
+  WHERE t.doc_id IN (SELECT doc_id FROM labels))"""
+
+ORACLES["registry"] = "WITH " + Q.TRACKS + ",\n" + _TITLES + """
+SELECT genre, artist, dtag, title FROM reg"""
+
+ORACLES["track_by_tag"] = "WITH " + Q.TRACKS + ",\n" + _TITLES + ",\n" + _LINES + """,
+per AS (
+  SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
+         string_agg(cleaned, ' | ' ORDER BY line_no) AS lyrics
+  FROM (SELECT doc_id, line_no, array_to_string(""" + Q.clean_tokens_sql("line") + """, ' ') AS cleaned FROM lns)
+  GROUP BY doc_id)
+SELECT r.dtag, r.title, coalesce(p.n_lines, 0) AS n_lines, coalesce(p.lyrics, '') AS lyrics
+FROM reg r LEFT JOIN per p ON r.doc_id = p.doc_id"""
+
+ORACLES["titled_tracks"] = "WITH " + Q.TRACKS + ",\n" + _TITLES + ",\n" + Q.doc_words_cte() + """
+SELECT r.dtag, CAST(len(w) AS BIGINT) AS ntok, array_to_string(w, ' ') AS words
+FROM (SELECT r.dtag, list_concat(d.words, """ + Q.clean_tokens_sql("r.title") + """) AS w
+      FROM reg r JOIN dw d ON r.doc_id = d.doc_id) r"""
+
+ORACLES["select_corpus"] = """
+SELECT doc_id, lang AS genre, source AS artist FROM documents
+WHERE lang IN ('de', 'en', 'fr') AND lang NOT IN ('de') AND source NOT IN ('src3', 'src7')"""
+
+ORACLES["genre_artists"] = """
+WITH req(genre) AS (VALUES ('de'), ('en'), ('es'), ('fr'), ('it')),
+per AS (SELECT lang AS genre, list_sort(list(DISTINCT source)) AS a FROM documents
+        WHERE lang IN ('de', 'en', 'es', 'fr', 'it') GROUP BY lang)
+SELECT r.genre, CAST(coalesce(len(p.a), 0) AS BIGINT) AS n_artists, coalesce(array_to_string(p.a, ','), '') AS artists
+FROM req r LEFT JOIN per p ON r.genre = p.genre"""
+
+# --------------------------------------------------------------------------- text on tables
+
+ORACLES["clean_string"] = """
+SELECT conv_id, turn, array_to_string(""" + Q.clean_tokens_sql("text") + """, ' ') AS cleaned FROM conversations"""
+
+_EMBED = "EmbedShare URLCopyEmbedCopy"
+ORACLES["normalize_markers"] = """
+WITH n AS (
+  SELECT doc_id, text,
+    CASE WHEN strpos(text, '""" + _EMBED + """') > 0 THEN replace(text, '""" + _EMBED + """', chr(10) || 'SONGBREAK' || chr(10))
+         WHEN strpos(text, 'songbreak') > 0 THEN replace(text, 'songbreak', chr(10) || 'SONGBREAK' || chr(10))
+         WHEN strpos(text, 'SONGBREAK') > 0 THEN text
+         WHEN regexp_matches(text, '(?m)^\\n\\n') THEN regexp_replace(text, '(?m)^\\n\\n', chr(10) || 'SONGBREAK' || chr(10), 'g')
+    END AS conv
+  FROM documents)
+SELECT doc_id, CAST(CASE WHEN conv IS NULL THEN 13 ELSE 0 END AS BIGINT) AS status,
+       CAST(length(coalesce(regexp_replace(conv, '(?m)^\\n', '', 'g'), text)) AS BIGINT) AS n_chars,
+       md5(coalesce(regexp_replace(conv, '(?m)^\\n', '', 'g'), text)) AS md5
+FROM n"""
+
+ORACLES["extract_words"] = """
+SELECT item_id, CASE WHEN len(t) > 0 THEN ' ' ELSE '' END || array_to_string(t, ' ') AS words
+FROM (SELECT item_id, list_filter(list_transform(""" + Q.split_ws_sql("regexp_replace(text, '[^\\p{L}\\p{N}_]', ' ', 'g')") + """,
+      lambda w: lower(w)), lambda w: NOT list_contains(""" + Q.str_list(Q.refdata.CORESTOPS) + """, w)) AS t
+      FROM benchmark)"""
+
+ORACLES["double_stops"] = """
+SELECT conv_id, turn, array_to_string(list_filter(list_filter(""" + Q.split_ws_sql("text") + """,
+  lambda w: NOT list_contains(""" + Q.str_list(Q.refdata.GS_STOP) + """, w)),
+  lambda w: NOT list_contains(""" + Q.str_list(Q.refdata.STOP_LYRICS) + """, w)), ' ') AS cleaned
+FROM conversations"""
+
+ORACLES["scrub_text"] = """
+SELECT conv_id, turn, array_to_string(list_transform(list_filter(""" + Q.split_ws_sql(
+    "regexp_replace(translate(text, chr(10) || '.', '  '), '[^\\x{00}-\\x{7F}]', '', 'g')") + """,
+  lambda w: length(w) >= 2 AND regexp_full_match(w, '[A-Za-z]+')), lambda w: lower(w)), ' ') AS scrubbed
+FROM conversations"""
+
+ORACLES["min_len_tokens"] = "WITH " + Q.doc_words_cte() + """
+SELECT doc_id, CAST(len(t) AS BIGINT) AS ntok, array_to_string(t, ' ') AS words
+FROM (SELECT doc_id, list_filter(words, lambda w: length(w) >= 4) AS t FROM dw)"""
+
+ORACLES["title_tokens"] = "WITH " + Q.TRACKS + ",\n" + _TITLES + """
+SELECT dtag, array_to_string(CASE WHEN len(t) > 0 THEN list_append(t, array_to_string(t, '')) ELSE t END, ' ') AS title_tokens
+FROM (SELECT dtag, """ + Q.clean_tokens_sql("title") + """ AS t FROM reg)"""
+
+# --------------------------------------------------------------------------- filters / joins
+
+ORACLES["min_count"] = "WITH " + Q.doc_words_cte() + """
+SELECT t.word, CAST(count(*) AS BIGINT) AS cnt FROM dw, unnest(dw.words) AS t(word)
+GROUP BY t.word HAVING count(*) >= 2"""
+
+ORACLES["filter_extremes"] = BASE + """
+SELECT word, df FROM idf WHERE df >= 30 AND df <= 0.5 * """ + Q.NTOTAL
+
+_CUT = """cut AS (
+  SELECT genre, artist, CAST(round(quantile_cont(tfidf4, 0.3) * 10, 0) AS BIGINT) AS cut10
+  FROM tfidf_artist GROUP BY genre, artist),
+im AS (SELECT sum(idf4) AS s, count(*) AS n FROM idf)"""
+
+_POS = """pos AS (
+  SELECT d.doc_id, d.genre, d.artist, d.uniq, CAST(t.i - 1 AS BIGINT) AS pos, d.words[t.i] AS word
+  FROM dw d, unnest(generate_series(1, len(d.words))) AS t(i))"""
+
+ORACLES["tfidf_filter"] = BASE + ",\n" + Q.TFIDF_ARTIST + ",\n" + _CUT + ",\n" + _POS + """,
+keep AS (
+  SELECT c.doc_id, c.word FROM counts c
+  LEFT JOIN idf i ON c.word = i.word
+  LEFT JOIN cut k ON c.genre = k.genre AND c.artist = k.artist
+  WHERE CASE WHEN coalesce(i.idf4, 0) <> 0 THEN c.cnt * i.idf4 * 10 > coalesce(k.cut10, 0) * c.uniq
+             ELSE c.cnt * (CAST((SELECT s FROM im) AS DOUBLE) / (SELECT n FROM im)) * 10 > CAST(coalesce(k.cut10, 0) * c.uniq AS DOUBLE) END),
+kept AS (
+  SELECT p.doc_id, list(p.word ORDER BY p.pos) AS w FROM pos p
+  WHERE (p.doc_id, p.word) IN (SELECT (doc_id, word) FROM keep)
+  GROUP BY p.doc_id)
+SELECT t.dtag, CAST(len(k.w) AS BIGINT) AS ntok, array_to_string(k.w, ' ') AS words
+FROM kept k JOIN tracks t ON k.doc_id = t.doc_id"""
+
+ORACLES["tfidf_outliers"] = BASE + ",\n" + Q.TFIDF_ARTIST + """,
+b AS (SELECT genre, artist, CAST(round(quantile_cont(tfidf4, 0.02) * 100, 0) AS BIGINT) AS lo100,
+             CAST(round(quantile_cont(tfidf4, 0.98) * 100, 0) AS BIGINT) AS hi100, count(*) AS vocab
+      FROM tfidf_artist GROUP BY genre, artist),
+per AS (SELECT t.genre, t.artist, max(b.vocab) AS vocab,
+               CAST(sum(CASE WHEN t.tfidf4 * 100 > b.hi100 OR t.tfidf4 * 100 < b.lo100 THEN 1 ELSE 0 END) AS BIGINT) AS removed
+        FROM tfidf_artist t JOIN b ON t.genre = b.genre AND t.artist = b.artist GROUP BY t.genre, t.artist)
+SELECT genre, artist, CAST(vocab AS BIGINT) AS vocab, removed, ((removed * 2000 + vocab) // (vocab * 2)) / 1000.0 AS removed_frac FROM per"""
+
+ORACLES["extra_training_filter"] = BASE + ",\n" + Q.TFIDF_ARTIST + ",\n" + _POS + """,
+kept AS (
+  SELECT p.doc_id, list(p.word ORDER BY p.pos) AS w FROM pos p
+  JOIN tfidf_artist a ON p.genre = a.genre AND p.artist = a.artist AND p.word = a.word
+  WHERE a.tfidf4 > 299 GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(coalesce(len(k.w), 0) AS BIGINT) AS ntok, coalesce(array_to_string(k.w, ' '), '') AS words
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id"""
+
+ORACLES["rare_words"] = BASE + """,
+wa AS (SELECT word, CAST(count(*) AS BIGINT) AS n_artists FROM (SELECT DISTINCT genre, artist, word FROM counts) GROUP BY word),
+wf AS (SELECT t.word, CAST(count(*) AS BIGINT) AS cnt FROM dw, unnest(dw.words) AS t(word) GROUP BY t.word HAVING count(*) >= 3),
+na AS (SELECT count(*) AS n FROM (SELECT DISTINCT genre, artist FROM counts))
+SELECT wa.word, wa.n_artists, wf.cnt FROM wa JOIN wf ON wa.word = wf.word
+WHERE wa.n_artists <= floor((SELECT n FROM na) * 0.4 + 0.5) AND wf.cnt > 5"""
+
+ORACLES["registry_join"] = "WITH " + Q.TRACKS + ",\n" + _TITLES + """,
+regk AS (SELECT genre, artist, dtag AS reg_tag, title,
+                CAST(row_number() OVER (PARTITION BY genre, artist ORDER BY track_no) - 1 AS BIGINT) AS k FROM reg)
+SELECT t.doc_id, t.dtag, coalesce(r.reg_tag, t.dtag) AS assigned_tag, r.title
+FROM tracks t LEFT JOIN regk r ON t.genre = r.genre AND t.artist = r.artist AND t.track_no = r.k"""
+
+# --------------------------------------------------------------------------- aggregates
+
+ORACLES["corpus_counts"] = "WITH " + Q.doc_words_cte() + """
+SELECT genre, artist, CAST(count(*) AS BIGINT) AS n_tracks, CAST(sum(ntok) AS BIGINT) AS n_tokens,
+       CAST(sum(CASE WHEN ntok = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_empty, CAST(sum(uniq) AS BIGINT) AS sum_uniq
+FROM dw GROUP BY genre, artist"""
+
+ORACLES["vocabulary_size"] = "WITH " + Q.doc_words_cte() + """
+SELECT CAST(count(DISTINCT t.word) AS BIGINT) AS n_words, CAST(count(*) AS BIGINT) AS n_tokens
+FROM dw, unnest(dw.words) AS t(word)"""
+
+_ATF = """atf AS (
+  SELECT n.genre, n.artist, n.word, n.cnt, d.denom, n.cnt / d.denom AS tf
+  FROM (SELECT genre, artist, word, CAST(sum(cnt) AS BIGINT) AS cnt FROM counts GROUP BY genre, artist, word) n
+  JOIN (SELECT genre, artist, CAST(sum(uniq) AS BIGINT) AS denom FROM dw GROUP BY genre, artist) d
+    ON n.genre = d.genre AND n.artist = d.artist)"""
+
+ORACLES["artist_tf"] = BASE + ",\n" + _ATF + """
+SELECT genre, artist, word, cnt, denom, tf FROM atf"""
+
+ORACLES["word_artists"] = BASE + """
+SELECT word, CAST(count(*) AS BIGINT) AS n_artists FROM (SELECT DISTINCT genre, artist, word FROM counts) GROUP BY word"""
+
+ORACLES["idf_mean"] = BASE + """
+SELECT CAST(sum(idf4) AS BIGINT) AS sum_idf4, CAST(count(*) AS BIGINT) AS n_words,
+       sum(idf4) / count(*) / 10000.0 AS idf_mean FROM idf"""
+
+ORACLES["tfidf_track"] = BASE + """,
+im AS (SELECT CAST(sum(idf4) AS DOUBLE) / count(*) AS m FROM idf)
+SELECT v.dtag, c.word, ((c.cnt * 20000 + c.uniq) // (2 * c.uniq)) / 10000.0 AS tf,
+       CASE WHEN coalesce(i.idf4, 0) <> 0 THEN (((c.cnt * 20000 + c.uniq) // (2 * c.uniq)) * i.idf4 + 5000) // 10000
+            ELSE CAST(floor(((c.cnt * 20000 + c.uniq) // (2 * c.uniq)) * (SELECT m FROM im) / 10000 + 0.5) AS BIGINT) END / 10000.0 AS tfidf
+FROM counts c JOIN covered v ON c.doc_id = v.doc_id LEFT JOIN idf i ON c.word = i.word"""
+
+ORACLES["tfidf_artist_simple"] = BASE + ",\n" + _ATF + """
+SELECT a.genre, a.artist, a.word, CAST(floor(a.tf * i.idf4 + 0.5) AS BIGINT) / 10000.0 AS tfidf
+FROM atf a JOIN idf i ON a.word = i.word"""
+
+ORACLES["bow"] = "WITH " + Q.doc_words_cte() + ",\n" + Q.COUNTS + """,
+vocab AS (SELECT word, CAST(row_number() OVER (ORDER BY word) - 1 AS BIGINT) AS term_id FROM (
+  SELECT t.word FROM dw, unnest(dw.words) AS t(word) GROUP BY t.word HAVING count(*) >= 2))
+SELECT c.genre, c.artist, v.term_id, c.word, CAST(sum(c.cnt) AS BIGINT) AS cnt
+FROM counts c JOIN vocab v ON c.word = v.word GROUP BY c.genre, c.artist, v.term_id, c.word"""
+
+ORACLES["doc_bow"] = BASE + """,
+vocab AS (SELECT word, CAST(row_number() OVER (ORDER BY word) - 1 AS BIGINT) AS term_id FROM idf
+          WHERE df >= 30 AND df <= 0.5 * """ + Q.NTOTAL + """)
+SELECT t.dtag, v.term_id, c.word, c.cnt FROM counts c JOIN vocab v ON c.word = v.word JOIN tracks t ON c.doc_id = t.doc_id"""
+
+ORACLES["cloud_weights"] = "WITH " + Q.doc_words_cte() + """
+SELECT word, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, word) AS BIGINT) AS rank FROM (
+  SELECT t.word, CAST(count(*) AS BIGINT) AS cnt FROM dw, unnest(dw.words) AS t(word)
+  WHERE length(t.word) >= 4 AND NOT list_contains(""" + Q.str_list(Q.refdata.STOP_LYRICS) + """, t.word)
+  GROUP BY t.word ORDER BY cnt DESC, word LIMIT 120)"""
+
+
+def _hist_sql(values_cte: str, lo: float) -> str:
+    return values_cte + """,
+st AS (SELECT genre, artist, median(v) AS med, stddev_pop(v) AS sd FROM vals GROUP BY genre, artist),
+bd AS (SELECT genre, artist, """ + repr(lo) + """ AS lo, med + sd * 3 AS hi,
+              CAST(round((med + sd * 3 - """ + repr(lo) + """) / 0.0002, 0) + 2 AS BIGINT) AS n_bins FROM st)
+SELECT v.genre, v.artist, CAST(least(floor((v.v - b.lo) / ((b.hi - b.lo) / b.n_bins)), b.n_bins - 1) AS BIGINT) AS bin,
+       CAST(count(*) AS BIGINT) AS cnt
+FROM vals v JOIN bd b ON v.genre = b.genre AND v.artist = b.artist
+WHERE v.v >= b.lo AND v.v <= b.hi GROUP BY 1, 2, 3"""
+
+
+ORACLES["tfidf_histogram"] = _hist_sql(BASE + ",\n" + Q.TFIDF_ARTIST + """,
+vals AS (SELECT genre, artist, tfidf4 / 10000.0 AS v FROM tfidf_artist)""", 0.0006)
+
+ORACLES["tf_histogram"] = _hist_sql(BASE + ",\n" + _ATF + """,
+vals AS (SELECT genre, artist, tf AS v FROM atf)""", 0.002)
+
+ORACLES["compare_histogram"] = BASE + ",\n" + Q.TFIDF_ARTIST + """,
+vals AS (SELECT genre, artist, tfidf4 / 10000.0 AS v FROM tfidf_artist),
+b AS (SELECT genre, artist, min(v) AS mn, max(v) AS mx FROM vals GROUP BY genre, artist),
+bd AS (SELECT genre, artist, CASE WHEN mx = mn THEN mn - 0.5 ELSE mn END AS lo,
+              CASE WHEN mx = mn THEN mx + 0.5 ELSE mx END AS hi FROM b)
+SELECT v.genre, v.artist, CAST(least(floor((v.v - d.lo) / ((d.hi - d.lo) / 200)), 199) AS BIGINT) AS bin,
+       CAST(count(*) AS BIGINT) AS cnt
+FROM vals v JOIN bd d ON v.genre = d.genre AND v.artist = d.artist GROUP BY 1, 2, 3"""
+
+ORACLES["train_test_split"] = "WITH " + Q.TRACKS + """
+SELECT dtag, CAST(row_number() OVER (ORDER BY genre, artist, track_no) - 1 AS BIGINT) AS ordinal,
+       (row_number() OVER (ORDER BY genre, artist, track_no) - 1) % 5 = 0 AS is_test
+FROM tracks"""

@@ -6,7 +6,7 @@ correctness gate; they are not executed by the library itself.
 
 from __future__ import annotations
 
-from .. import refdata
+from .. import refdata  # noqa: F401
 from ..functions import text as T
 
 
