@@ -390,3 +390,215 @@ def train_test_split(spark, sf_dir, every: int = 5):
     j = c.index.join(o, ["genre", "artist", "track_no"])
     return j.select("dtag", F.col("ordinal").cast("bigint").alias("ordinal"),
                     ((F.col("ordinal") % every) == 0).alias("is_test"))
+
+
+# --------------------------------------------------------------------------- phrases
+
+PHRASE_MIN_COUNT = 10
+PHRASE_THRESHOLD = 10.0
+
+
+def _sentences(spark, sf_dir, table="documents"):
+    """Cleaned token arrays of tracks (phrase training) or benchmark items (test sentences)."""
+    c = _c(spark, sf_dir)
+    if table == "documents":
+        return c.doc_words.select(F.col("doc_id").alias("sid"), "words")
+    t = c.table("benchmark")
+    return t.select(F.col("item_id").alias("sid"), T.document_tokens("text").alias("words"))
+
+
+def _phrase_model(spark, sf_dir):
+    from ..operators import phrases as P
+    tr = _sentences(spark, sf_dir)
+    return P.score(P.unigram_counts(tr), P.bigram_counts(tr), PHRASE_MIN_COUNT, PHRASE_THRESHOLD)
+
+
+@register("phrase_scores")
+def phrase_scores(spark, sf_dir):
+    """Scored bigram phrases of the track corpus (delimiter '-')."""
+    return _phrase_model(spark, sf_dir)
+
+
+@register("find_phrases")
+def find_phrases(spark, sf_dir):
+    """Model phrases found in the benchmark sentences."""
+    from ..operators import phrases as P
+    return P.find_phrases(_sentences(spark, sf_dir, "benchmark"), _phrase_model(spark, sf_dir))
+
+
+@register("apply_phrases")
+def apply_phrases(spark, sf_dir):
+    """Benchmark sentences rewritten with detected phrases joined by '-'."""
+    from ..operators import phrases as P
+    out = P.apply_phrases(_sentences(spark, sf_dir, "benchmark"), _phrase_model(spark, sf_dir), "sid")
+    return out.select(F.col("sid").alias("item_id"), F.size("words").cast("bigint").alias("ntok"),
+                      _joined("words").alias("words"))
+
+
+@register("merge_phrase_counts")
+def merge_phrase_counts(spark, sf_dir):
+    """Phrase model after adding the benchmark sentences' counts to the corpus counts."""
+    from ..operators import phrases as P
+    a, b = _sentences(spark, sf_dir), _sentences(spark, sf_dir, "benchmark")
+    uni = P.merge_counts(P.unigram_counts(a), P.unigram_counts(b), ["word"])
+    bi = P.merge_counts(P.bigram_counts(a), P.bigram_counts(b), ["w1", "w2"])
+    return P.score(uni, bi, PHRASE_MIN_COUNT, PHRASE_THRESHOLD)
+
+
+@register("phrase_stats")
+def phrase_stats(spark, sf_dir):
+    """Summary statistics of the phrase scores."""
+    from ..operators import phrases as P
+    return P.phrase_stats(_phrase_model(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- vectors (embeddings table)
+
+def _emb(spark, sf_dir):
+    return _c(spark, sf_dir).table("embeddings")
+
+
+@register("normed_vector")
+def normed_vector(spark, sf_dir):
+    """Dimension and length of every vector (unit vectors are ``vectors.unit``)."""
+    from ..operators import vectors as V
+    e = _emb(spark, sf_dir)
+    return e.select("vec_id", F.size("embedding").cast("bigint").alias("dim"), V.r6(V.norm(F.col("embedding"))).alias("norm"))
+
+
+def _centroids(e):
+    from ..operators import vectors as V
+    return V.group_mean(e.select("label", V.unit(F.col("embedding")).alias("u")), "label", "u")
+
+
+@register("most_similar_vec")
+def most_similar_vec(spark, sf_dir):
+    """The 10 vectors most similar to each label centroid (similar_by_vector)."""
+    from ..operators import vectors as V
+    e = _emb(spark, sf_dir)
+    t = V.top_k_similar(e, "vec_id", "embedding", _centroids(e), "label", "u", 10)
+    return t.select("label", "rank", "vec_id", V.r6(F.col("sim")).alias("sim"))
+
+
+def _analogy_inputs(e):
+    """Per label L: positives = two smallest ids of L, negative = smallest id of the next label."""
+    a1 = e.groupBy("label").agg(F.min("vec_id").alias("a1"))
+    a2 = (e.join(a1, "label").filter(F.col("vec_id") > F.col("a1"))
+          .groupBy("label").agg(F.min("vec_id").alias("a2")))
+    from pyspark.sql import Window as W
+    nxt = a1.withColumn("nl", F.coalesce(F.lead("label").over(W.orderBy("label")),
+                                         F.min("label").over(W.partitionBy())))
+    neg = nxt.select("label", "nl").join(a1.select(F.col("label").alias("nl"), F.col("a1").alias("n1")), "nl")
+    q = a1.join(a2, "label").join(neg.select("label", "n1"), "label")
+    return q.select("label", F.array("a1", "a2").alias("pos"), F.array("n1").alias("neg"))
+
+
+def _analogy_vectors(e, inputs):
+    from ..operators import vectors as V
+    u = e.select("vec_id", V.unit(F.col("embedding")).alias("u"))
+    terms = (inputs.select("label", F.explode("pos").alias("vec_id")).withColumn("w", F.lit(1.0))
+             .unionByName(inputs.select("label", F.explode("neg").alias("vec_id")).withColumn("w", F.lit(-1.0))))
+    lng = terms.join(u, "vec_id").select("label", "w", F.posexplode("u").alias("dim", "x"))
+    per = lng.groupBy("label", "dim").agg(F.sum(F.col("x") * F.col("w")).alias("x"))
+    vec = (per.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("_v"))
+           .select("label", F.transform("_v", lambda s: s["x"]).alias("q")))
+    excl = (inputs.select("label", F.explode(F.concat("pos", "neg")).alias("vec_id")))
+    return vec, excl
+
+
+@register("analogy")
+def analogy(spark, sf_dir):
+    """most_similar(positive, negative): top 10 by cosine to the signed mean of unit vectors."""
+    from ..operators import vectors as V
+    e = _emb(spark, sf_dir)
+    vec, excl = _analogy_vectors(e, _analogy_inputs(e))
+    t = V.top_k_similar(e, "vec_id", "embedding", vec, "label", "q", 10, exclude=excl)
+    return t.select("label", "rank", "vec_id", V.r6(F.col("sim")).alias("sim"))
+
+
+@register("analogy_cosmul")
+def analogy_cosmul(spark, sf_dir):
+    """most_similar_cosmul (3CosMul) for the same analogy questions."""
+    from ..operators import vectors as V
+    e = _emb(spark, sf_dir)
+    inp = _analogy_inputs(e)
+    emb_by_id = e.select("vec_id", "embedding")
+    def vecs(col):
+        x = inp.select("label", F.posexplode(col).alias("i", "vec_id")).join(emb_by_id, "vec_id")
+        return x.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "embedding"))).alias("_v")) \
+            .select("label", F.transform("_v", lambda s: s["embedding"]).alias(col))
+    q = vecs("pos").join(vecs("neg"), "label")
+    excl = inp.select("label", F.explode(F.concat("pos", "neg")).alias("vec_id"))
+    t = V.top_k_similar(e, "vec_id", "embedding", q, "label", "pos", 10, exclude=excl, mode="cosmul", neg="neg")
+    return t.select("label", "rank", "vec_id", V.r6(F.col("sim")).alias("score"))
+
+
+@register("odd_one_out")
+def odd_one_out(spark, sf_dir):
+    """doesnt_match per label: the member least similar to the label's mean unit vector."""
+    from ..operators import vectors as V
+    e = _emb(spark, sf_dir)
+    cen = _centroids(e)
+    j = e.join(cen, "label").select("label", "vec_id", V.cosine(F.col("embedding"), F.col("u")).alias("sim"))
+    best = j.groupBy("label").agg(F.min(F.struct("sim", "vec_id")).alias("m"))
+    return best.select("label", F.col("m.vec_id").alias("vec_id"), V.r6(F.col("m.sim")).alias("sim"))
+
+
+def _pairs(e):
+    from ..operators import vectors as V
+    a = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea"), F.col("label").alias("la"))
+    b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"), F.col("label").alias("lb"))
+    j = a.join(b, F.col("b") == F.col("a") + 1)
+    return j.select("a", "b", V.cosine(F.col("ea"), F.col("eb")).alias("sim"),
+                    F.when(F.col("la") == F.col("lb"), 1.0).otherwise(0.0).alias("human"))
+
+
+@register("pair_similarity")
+def pair_similarity(spark, sf_dir):
+    """similarity(a, b) for every pair of consecutive ids."""
+    from ..operators import vectors as V
+    return _pairs(_emb(spark, sf_dir)).select("a", "b", V.r6(F.col("sim")).alias("sim"))
+
+
+@register("set_similarity")
+def set_similarity(spark, sf_dir):
+    """n_similarity(even ids, odd ids) of each label."""
+    from ..operators import vectors as V
+    e = _emb(spark, sf_dir)
+    u = e.select("label", (F.col("vec_id") % 2).alias("half"), V.unit(F.col("embedding")).alias("u"))
+    g = u.select(F.concat_ws(":", "label", "half").alias("g"), "label", "half", "u")
+    m = V.group_mean(g.select("g", "u"), "g", "u")
+    m = m.join(g.select("g", "label", "half").distinct(), "g")
+    a = m.filter(F.col("half") == 0).select("label", F.col("u").alias("ua"))
+    b = m.filter(F.col("half") == 1).select("label", F.col("u").alias("ub"))
+    return a.join(b, "label").select("label", V.r6(V.cosine(F.col("ua"), F.col("ub"))).alias("sim"))
+
+
+@register("eval_word_pairs")
+def eval_word_pairs(spark, sf_dir):
+    """Pearson correlation of pair similarity with a same-label score."""
+    from ..operators import vectors as V
+    p = _pairs(_emb(spark, sf_dir))
+    return p.agg(F.count(F.lit(1)).alias("n_pairs"), V.r6(F.corr("sim", "human")).alias("pearson"))
+
+
+@register("vocab_lookup")
+def vocab_lookup(spark, sf_dir):
+    """For every benchmark word: is it in the corpus vocabulary and how often."""
+    c = _c(spark, sf_dir)
+    words = S.explode_words(_sentences(spark, sf_dir, "benchmark")).select("word").distinct()
+    wf = S.word_freq(c.doc_words, 1)
+    return (words.join(wf, "word", "left")
+            .select("word", F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt"),
+                    F.col("cnt").isNotNull().alias("in_vocab")))
+
+
+@register("similar_docs")
+def similar_docs(spark, sf_dir, k: int = 10):
+    """E5: top-10 tracks per benchmark sentence by exact sparse tf-idf cosine."""
+    from ..operators import similarity as SIM
+    c = _c(spark, sf_dir)
+    q = _sentences(spark, sf_dir, "benchmark").withColumn("uniq", F.size(F.array_distinct("words")).cast("bigint"))
+    qc = S.explode_words(q, "sid", "uniq").groupBy("sid", "uniq", "word").agg(F.count(F.lit(1)).alias("cnt"))
+    out = SIM.sparse_top_k(qc, "sid", c.counts, "doc_id", c.idf, k)
+    return out.select(F.col("sid").alias("item_id"), "rank", "doc_id", "sim")

@@ -278,3 +278,137 @@ ORACLES["train_test_split"] = "WITH " + Q.TRACKS + """
 SELECT dtag, CAST(row_number() OVER (ORDER BY genre, artist, track_no) - 1 AS BIGINT) AS ordinal,
        (row_number() OVER (ORDER BY genre, artist, track_no) - 1) % 5 = 0 AS is_test
 FROM tracks"""
+
+# --------------------------------------------------------------------------- phrases
+
+def _sents(table: str) -> str:
+    if table == "documents":
+        return f"SELECT doc_id AS sid, {Q.document_tokens_sql('text')} AS words FROM documents"
+    return f"SELECT item_id AS sid, {Q.document_tokens_sql('text')} AS words FROM benchmark"
+
+
+def _counts_sql(src: str) -> str:
+    return f"""uni AS (SELECT t.w AS word, count(*) AS n FROM ({src}) s, unnest(s.words) AS t(w) GROUP BY 1),
+bi AS (SELECT s.words[t.i] AS w1, s.words[t.i + 1] AS w2, count(*) AS n12
+       FROM ({src}) s, unnest(generate_series(1, len(s.words) - 1)) AS t(i) GROUP BY 1, 2)"""
+
+
+_SCORE = """phr AS (
+  SELECT b.w1, b.w2, b.w1 || '-' || b.w2 AS phrase, CAST(b.n12 AS BIGINT) AS n12, CAST(u1.n AS BIGINT) AS n1,
+         CAST(u2.n AS BIGINT) AS n2,
+         CAST((b.n12 - 10) * ((SELECT count(*) FROM uni) + (SELECT count(*) FROM bi)) AS DOUBLE) / CAST(u1.n * u2.n AS DOUBLE) AS score
+  FROM bi b JOIN uni u1 ON b.w1 = u1.word JOIN uni u2 ON b.w2 = u2.word WHERE b.n12 > 10)"""
+
+_PHR = "WITH " + _counts_sql(_sents("documents")) + ",\n" + _SCORE
+
+ORACLES["phrase_scores"] = _PHR + """
+SELECT w1, w2, phrase, n12, n1, n2, score FROM phr WHERE score > 10.0"""
+
+ORACLES["find_phrases"] = _PHR + """,
+tb AS (SELECT DISTINCT s.words[t.i] AS w1, s.words[t.i + 1] AS w2
+       FROM (""" + _sents("benchmark") + """) s, unnest(generate_series(1, len(s.words) - 1)) AS t(i))
+SELECT p.phrase, p.score FROM tb JOIN phr p ON tb.w1 = p.w1 AND tb.w2 = p.w2 WHERE p.score > 10.0"""
+
+_BOTH = "(" + _sents("documents") + " UNION ALL " + _sents("benchmark") + ")"
+ORACLES["merge_phrase_counts"] = ("WITH " + _counts_sql(_BOTH.strip("()")).replace(
+    f"FROM ({_BOTH.strip('()')})", f"FROM {_BOTH}") + ",\n" + _SCORE + """
+SELECT w1, w2, phrase, n12, n1, n2, score FROM phr WHERE score > 10.0""")
+
+ORACLES["phrase_stats"] = _PHR + """
+SELECT CAST(count(*) AS BIGINT) AS n_phrases, floor(avg(score) * 1e6 + 0.5) / 1e6 AS mean_score,
+       floor(median(score) * 1e6 + 0.5) / 1e6 AS median_score, floor(stddev_pop(score) * 1e6 + 0.5) / 1e6 AS std_score,
+       floor(max(score) * 1e6 + 0.5) / 1e6 AS max_score
+FROM phr WHERE score > 10.0"""
+
+# --------------------------------------------------------------------------- vectors
+
+_R6 = "floor(({x}) * 1e6 + 0.5) / 1e6"
+_U = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, label, v, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM e),
+cen AS (SELECT label, list(x ORDER BY i) AS c FROM (
+          SELECT label, t.i, avg(u.u[t.i]) AS x FROM u, unnest(generate_series(1, len(u.u))) AS t(i) GROUP BY label, t.i)
+        GROUP BY label)"""
+
+
+def _cos(a: str, b: str) -> str:
+    return f"(list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))))"
+
+
+ORACLES["normed_vector"] = "WITH " + _U + """
+SELECT vec_id, CAST(len(v) AS BIGINT) AS dim, """ + _R6.format(x="sqrt(list_sum(list_transform(v, lambda y: y * y)))") + """ AS norm FROM u"""
+
+ORACLES["most_similar_vec"] = "WITH " + _U + """
+SELECT label, rank, vec_id, """ + _R6.format(x="sim") + """ AS sim FROM (
+  SELECT c.label, u.vec_id, """ + _cos("c.c", "u.u") + """ AS sim,
+         CAST(row_number() OVER (PARTITION BY c.label ORDER BY """ + _cos("c.c", "u.u") + """ DESC, u.vec_id) AS BIGINT) AS rank
+  FROM cen c CROSS JOIN u) WHERE rank <= 10"""
+
+_AN = """a1 AS (SELECT label, min(vec_id) AS a1 FROM e GROUP BY label),
+a2 AS (SELECT e.label, min(e.vec_id) AS a2 FROM e JOIN a1 ON e.label = a1.label WHERE e.vec_id > a1.a1 GROUP BY e.label),
+nx AS (SELECT label, coalesce(lead(label) OVER (ORDER BY label), min(label) OVER ()) AS nl FROM a1),
+qi AS (SELECT a1.label, a1.a1, a2.a2, n.a1 AS n1 FROM a1 JOIN a2 ON a1.label = a2.label
+       JOIN nx ON a1.label = nx.label JOIN a1 n ON nx.nl = n.label),
+qv AS (SELECT qi.label, qi.a1, qi.a2, qi.n1, p1.u AS p1, p2.u AS p2, m1.u AS m1 FROM qi
+       JOIN u p1 ON qi.a1 = p1.vec_id JOIN u p2 ON qi.a2 = p2.vec_id JOIN u m1 ON qi.n1 = m1.vec_id)"""
+
+ORACLES["analogy"] = "WITH " + _U + ",\n" + _AN + """
+SELECT label, rank, vec_id, """ + _R6.format(x="sim") + """ AS sim FROM (
+  SELECT label, vec_id, sim, CAST(row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS BIGINT) AS rank FROM (
+    SELECT q.label, u.vec_id, """ + _cos("list_transform(list_zip(q.p1, q.p2, q.m1), lambda z: z[1] + z[2] - z[3])", "u.u") + """ AS sim
+    FROM qv q CROSS JOIN u WHERE u.vec_id NOT IN (q.a1, q.a2, q.n1)))
+WHERE rank <= 10"""
+
+ORACLES["analogy_cosmul"] = "WITH " + _U + ",\n" + _AN + """
+SELECT label, rank, vec_id, """ + _R6.format(x="score") + """ AS score FROM (
+  SELECT label, vec_id, score, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS BIGINT) AS rank FROM (
+    SELECT q.label, u.vec_id,
+           ((1 + """ + _cos("q.p1", "u.u") + """) / 2) * ((1 + """ + _cos("q.p2", "u.u") + """) / 2)
+           / ((1 + """ + _cos("q.m1", "u.u") + """) / 2 + 1e-6) AS score
+    FROM qv q CROSS JOIN u WHERE u.vec_id NOT IN (q.a1, q.a2, q.n1)))
+WHERE rank <= 10"""
+
+ORACLES["odd_one_out"] = "WITH " + _U + """
+SELECT label, arg_min(vec_id, struct_pack(s := sim, i := vec_id)) AS vec_id,
+       """ + _R6.format(x="min(sim)") + """ AS sim
+FROM (SELECT u.label, u.vec_id, """ + _cos("u.v", "c.c") + """ AS sim FROM u JOIN cen c ON u.label = c.label)
+GROUP BY label"""
+
+_PAIRS = """pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, """ + _cos("a.v", "b.v") + """ AS sim,
+                 CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END AS human
+          FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)"""
+
+ORACLES["pair_similarity"] = "WITH " + _U + ",\n" + _PAIRS + """
+SELECT a, b, """ + _R6.format(x="sim") + """ AS sim FROM pairs"""
+
+ORACLES["set_similarity"] = "WITH " + _U + """,
+hm AS (SELECT label, half, list(x ORDER BY i) AS m FROM (
+         SELECT label, vec_id % 2 AS half, t.i, avg(u.u[t.i]) AS x FROM u, unnest(generate_series(1, len(u.u))) AS t(i)
+         GROUP BY label, vec_id % 2, t.i) GROUP BY label, half)
+SELECT a.label, """ + _R6.format(x=_cos("a.m", "b.m")) + """ AS sim
+FROM hm a JOIN hm b ON a.label = b.label AND a.half = 0 AND b.half = 1"""
+
+ORACLES["eval_word_pairs"] = "WITH " + _U + ",\n" + _PAIRS + """
+SELECT CAST(count(*) AS BIGINT) AS n_pairs, """ + _R6.format(x="corr(sim, human)") + """ AS pearson FROM pairs"""
+
+ORACLES["vocab_lookup"] = "WITH " + Q.doc_words_cte() + """,
+bw AS (SELECT DISTINCT t.w AS word FROM (""" + _sents("benchmark") + """) s, unnest(s.words) AS t(w)),
+wf AS (SELECT t.word, CAST(count(*) AS BIGINT) AS cnt FROM dw, unnest(dw.words) AS t(word) GROUP BY t.word)
+SELECT b.word, coalesce(wf.cnt, 0) AS cnt, wf.cnt IS NOT NULL AS in_vocab FROM bw b LEFT JOIN wf ON b.word = wf.word"""
+
+ORACLES["similar_docs"] = BASE + """,
+qs AS (SELECT s.sid, t.w AS word, CAST(len(list_distinct(s.words)) AS BIGINT) AS uniq
+       FROM (""" + _sents("benchmark") + """) s, unnest(s.words) AS t(w)),
+qc AS (SELECT sid, uniq, word, count(*) AS cnt FROM qs GROUP BY sid, uniq, word),
+qw AS (SELECT q.sid, q.word, (((q.cnt * 20000 + q.uniq) // (2 * q.uniq)) * i.idf4 + 5000) // 10000 AS wq
+       FROM qc q JOIN idf i ON q.word = i.word),
+dwt AS (SELECT c.doc_id, c.word, (((c.cnt * 20000 + c.uniq) // (2 * c.uniq)) * i.idf4 + 5000) // 10000 AS wd
+        FROM counts c JOIN idf i ON c.word = i.word),
+qn AS (SELECT sid, sum(wq * wq) AS nq FROM qw WHERE wq > 0 GROUP BY sid),
+dn AS (SELECT doc_id, sum(wd * wd) AS nd FROM dwt WHERE wd > 0 GROUP BY doc_id),
+dots AS (SELECT q.sid, d.doc_id, sum(q.wq * d.wd) AS dot FROM qw q JOIN dwt d ON q.word = d.word
+         WHERE q.wq > 0 AND d.wd > 0 GROUP BY q.sid, d.doc_id),
+sims AS (SELECT d.sid, d.doc_id, CAST(d.dot AS DOUBLE) / (sqrt(CAST(qn.nq AS DOUBLE)) * sqrt(CAST(dn.nd AS DOUBLE))) AS sim
+         FROM dots d JOIN qn ON d.sid = qn.sid JOIN dn ON d.doc_id = dn.doc_id)
+SELECT sid AS item_id, rank, doc_id, sim FROM (
+  SELECT sid, doc_id, sim, CAST(row_number() OVER (PARTITION BY sid ORDER BY sim DESC, doc_id) AS BIGINT) AS rank FROM sims)
+WHERE rank <= 10"""
