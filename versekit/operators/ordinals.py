@@ -2,53 +2,83 @@
 
 ``row_number() OVER (PARTITION BY g ORDER BY k)`` sorts a whole group in one
 task; a group holding a third of the rows then becomes the job.  Here the
-(g, k) keys are range partitioned (a hot group spans many partitions), each
-partition numbers its rows in sorted order, and a small per-(partition, group)
-block table supplies the offsets.  The block table has at most
-``partitions + groups`` rows.
+order key is cut into deterministic buckets (a monotone function of the key:
+fixed-width ranges of a numeric key, or a fixed-length prefix of a string
+key).  Each (group, bucket) is numbered by its own small window, and a block
+table of per-(group, bucket) counts, whose running sum per group is the
+bucket's offset, completes the ordinal.  No sampling is involved, so the two
+uses of the bucketed rows always agree, also when a stage is recomputed after
+an executor loss.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+ROWS_PER_BUCKET = 1_000_000
 
 
-def group_ordinal(df: DataFrame, group_cols: Sequence[str], order_col: str,
-                  out_col: str = "ordinal", num_partitions: int | None = None) -> DataFrame:
+def numeric_bucket(df: DataFrame, order_col: str, rows_per_bucket: int | None = None) -> Column:
+    """floor((k - min) / width) with width chosen so a bucket holds <= rows_per_bucket keys.
+
+    min, max and count are scalar subqueries (no join); unique keys per group
+    mean a (group, bucket) holds at most ``width`` rows.
+    """
+    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
+    st = df.agg(F.min(order_col).alias("mn"), F.max(order_col).alias("mx"), F.count(F.lit(1)).alias("n"))
+    mn = st.select("mn").scalar()
+    mx = st.select("mx").scalar()
+    n = st.select("n").scalar()
+    n_buckets = F.greatest(F.lit(1), F.ceil(n / F.lit(rows_per_bucket)))
+    width = F.greatest(F.lit(1), F.ceil((mx - mn + 1) / n_buckets))
+    return F.floor((F.col(order_col) - mn) / width)
+
+
+def prefix_bucket(order_col: str, chars: int = 3) -> Column:
+    """String keys: the first ``chars`` characters (order-preserving under binary comparison)."""
+    return F.substring(F.col(order_col), 1, chars)
+
+
+def group_ordinal(df: DataFrame, group_cols: Sequence[str], order_col: str, out_col: str = "ordinal",
+                  bucket: Column | None = None) -> DataFrame:
     """0-based position of each row inside its group, ordered by ``order_col``.
 
-    ``order_col`` must be unique inside a group (ties would make positions
-    depend on arrival order).  Returns ``group_cols + [order_col, out_col]``.
+    ``order_col`` must be unique inside a group.  Returns
+    ``group_cols + [order_col, out_col]``.
     """
-    n = num_partitions or shuffle_partitions(df.sparkSession)
     keys = [*group_cols, order_col]
-    ranged = (df.select(*keys)
-              .repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys])
-              .sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    blocks = (ranged.groupBy("_pid", *group_cols)
-              .agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n")))
-    w = Window.partitionBy(*group_cols).orderBy("_pid")
-    blocks = blocks.withColumn("_offset", F.sum("_n").over(w) - F.col("_n"))
-    return (ranged.join(blocks, ["_pid", *group_cols])
-            .select(*keys, (F.col("_offset") + F.col("_mid") - F.col("_first")).alias(out_col)))
-
-
-def global_ordinal(df: DataFrame, order_cols: Sequence[str], out_col: str = "ordinal",
-                   num_partitions: int | None = None) -> DataFrame:
-    """0-based position of each row in the total order of ``order_cols`` (unique)."""
-    tmp = df.select(*order_cols).withColumn("_all", F.lit(0))
-    *lead, last = order_cols
-    if lead:
-        # order by a struct of the leading keys + last key so the helper sees one unique key
-        tmp = tmp.withColumn("_k", F.struct(*order_cols))
-        out = group_ordinal(tmp.select("_all", "_k"), ["_all"], "_k", out_col, num_partitions)
-        return out.select(*[F.col(f"_k.{c}").alias(c) for c in order_cols], out_col)
-    out = group_ordinal(tmp, ["_all"], last, out_col, num_partitions)
-    return out.select(last, out_col)
+    base = df.select(*keys)
+    if bucket is None:
+        bucket = numeric_bucket(base, order_col)
+    b = base.withColumn("_b", bucket)
+    blocks = b.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    wb = Window.partitionBy(*group_cols).orderBy("_b") if group_cols else Window.orderBy("_b")
+    blocks = blocks.withColumn("_off", F.sum("_n").over(wb) - F.col("_n")).drop("_n")
+    wl = Window.partitionBy(*group_cols, "_b").orderBy(order_col)
+    local = b.withColumn("_local", F.row_number().over(wl) - 1)
+    return (local.join(blocks, [*group_cols, "_b"])
+            .select(*keys, (F.col("_off") + F.col("_local")).cast("bigint").alias(out_col)))
+
+
+def dense_rank_strings(words: DataFrame, col: str = "word", out_col: str = "term_id") -> DataFrame:
+    """Dense 0-based ids of distinct strings in binary order (prefix buckets)."""
+    d = words.select(col).distinct().withColumn("_all", F.lit(0))
+    out = group_ordinal(d, ["_all"], col, out_col, bucket=prefix_bucket(col))
+    return out.select(col, out_col)
+
+
+def ordinal_after_groups(df: DataFrame, group_cols: Sequence[str], within_col: str,
+                         out_col: str = "ordinal") -> DataFrame:
+    """Global ordinal in (group_cols, within_col) order when ``within_col`` is already
+    the 0-based ordinal inside the group: offset of the group + within ordinal.
+
+    The offsets come from one row per group (the group table is the bounded
+    side: one row per artist)."""
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy(*group_cols)
+    offs = sizes.withColumn("_off", F.sum("_n").over(w) - F.col("_n")).drop("_n")
+    return (df.join(offs, list(group_cols))
+            .withColumn(out_col, (F.col("_off") + F.col(within_col)).cast("bigint")).drop("_off"))

@@ -194,9 +194,9 @@ def top_terms(tfidf: DataFrame, k: int = 10, value: str = "tfidf4",
 # --------------------------------------------------------------------------- A11 / A12 bag of words
 
 def dense_vocab(words: DataFrame) -> DataFrame:
-    """(word, term_id): dense ids in word order (global ordinal without a single-task sort)."""
-    from .ordinals import global_ordinal
-    return global_ordinal(words.select("word").distinct(), ["word"], "term_id")
+    """(word, term_id): dense ids in word order (bucketed ordinal, no single-task sort)."""
+    from .ordinals import dense_rank_strings
+    return dense_rank_strings(words, "word", "term_id")
 
 
 def bow(counts: DataFrame, doc_words: DataFrame, min_count: int = 2, key=("genre", "artist")) -> DataFrame:

@@ -31,7 +31,7 @@ def register(name: str):
 @register("artist_top_terms")
 def artist_top_terms(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """W2 over A10: the k highest tf-idf words of every artist."""
-    c = Corpus(spark, sf_dir)
+    c = Corpus.shared(spark, sf_dir)
     top = S.top_terms(c.tfidf_artist, k)
     return top.select("genre", "artist", "rank", "word", S.as_double(F.col("tfidf4")).alias("tfidf"))
 
@@ -41,45 +41,45 @@ def artist_top_terms(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame
 @register("clean_tokens")
 def clean_tokens(spark, sf_dir):
     """T1/T2 on whole tracks: cleaned token count and cleaned text per track."""
-    c = Corpus(spark, sf_dir)
+    c = Corpus.shared(spark, sf_dir)
     return c.doc_words.select("doc_id", "ntok", F.array_join("words", " ").alias("cleaned"))
 
 
 @register("track_tags")
 def track_tags(spark, sf_dir):
     """Per-artist ordinal and tag of every track."""
-    return Corpus(spark, sf_dir).index.select("doc_id", "genre", "artist", "track_no", "dtag")
+    return Corpus.shared(spark, sf_dir).index.select("doc_id", "genre", "artist", "track_no", "dtag")
 
 
 # --------------------------------------------------------------------------- aggregates
 
 @register("word_freq")
 def word_freq(spark, sf_dir, min_count: int = 3):
-    return S.word_freq(Corpus(spark, sf_dir).doc_words, min_count)
+    return S.word_freq(Corpus.shared(spark, sf_dir).doc_words, min_count)
 
 
 @register("track_tf")
 def track_tf(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
+    c = Corpus.shared(spark, sf_dir)
     tf = S.track_tf(c.counts).join(c.index.select("doc_id", "dtag"), "doc_id")
     return tf.select("dtag", "word", "cnt", "uniq", S.as_double(F.col("tf4")).alias("tf"))
 
 
 @register("idf")
 def idf(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
+    c = Corpus.shared(spark, sf_dir)
     return c.idf.select("word", "df", S.as_double(F.col("idf4")).alias("idf"))
 
 
 @register("tfidf_artist")
 def tfidf_artist(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
+    c = Corpus.shared(spark, sf_dir)
     return c.tfidf_artist.select("genre", "artist", "word", S.as_double(F.col("mtf4")).alias("mean_tf"),
                                  S.as_double(F.col("tfidf4")).alias("tfidf"))
 
 
 def _c(spark, sf_dir) -> Corpus:
-    return Corpus(spark, sf_dir)
+    return Corpus.shared(spark, sf_dir)
 
 
 def _joined(col):
@@ -384,10 +384,9 @@ def compare_histogram(spark, sf_dir):
 @register("train_test_split")
 def train_test_split(spark, sf_dir, every: int = 5):
     """Corpus-order ordinal of each track; every ``every``-th track is test."""
-    from ..operators.ordinals import global_ordinal
+    from ..operators.ordinals import ordinal_after_groups
     c = _c(spark, sf_dir)
-    o = global_ordinal(c.index.select("genre", "artist", "track_no"), ["genre", "artist", "track_no"], "ordinal")
-    j = c.index.join(o, ["genre", "artist", "track_no"])
+    j = ordinal_after_groups(c.index, ["genre", "artist"], "track_no", "ordinal")
     return j.select("dtag", F.col("ordinal").cast("bigint").alias("ordinal"),
                     ((F.col("ordinal") % every) == 0).alias("is_test"))
 
@@ -602,3 +601,213 @@ def similar_docs(spark, sf_dir, k: int = 10):
     qc = S.explode_words(q, "sid", "uniq").groupBy("sid", "uniq", "word").agg(F.count(F.lit(1)).alias("cnt"))
     out = SIM.sparse_top_k(qc, "sid", c.counts, "doc_id", c.idf, k)
     return out.select(F.col("sid").alias("item_id"), "rank", "doc_id", "sim")
+
+
+# --------------------------------------------------------------------------- ML models (rows-only checks)
+
+W2V = dict(dim=32, window=5, min_count=5, epochs=1, seed=42, partitions=4)
+
+
+def _w2v(spark, sf_dir):
+    from ..operators import models as M
+    c = _c(spark, sf_dir)
+    key = ("w2v", sf_dir)
+    cache = getattr(c, "_models", None)
+    if cache is None:
+        cache = c._models = {}
+    if key not in cache:
+        cache[key] = M.fit_word2vec(c.doc_words, **W2V)
+    return cache[key]
+
+
+@register("word2vec")
+def word2vec(spark, sf_dir):
+    """Skip-gram word vectors of the track corpus (word, dim, norm)."""
+    from ..operators import models as M
+    from ..operators import vectors as V
+    wv = M.word_vectors(_w2v(spark, sf_dir))
+    return wv.select("word", F.size("v").cast("bigint").alias("dim"), V.r6(V.norm(F.col("v"))).alias("norm"))
+
+
+@register("subsample_tokens")
+def subsample_tokens(spark, sf_dir):
+    """Tokens kept per track by frequent-word subsampling (sample = 1e-3)."""
+    from ..operators import models as M
+    c = _c(spark, sf_dir)
+    k = M.subsample_keep(c.doc_words, S.word_freq(c.doc_words, 1))
+    return k.groupBy("doc_id").agg(F.count(F.lit(1)).alias("ntok"),
+                                   F.sum(F.col("keep").cast("int")).cast("bigint").alias("kept"))
+
+
+def _doc_weights(c):
+    return S.tfidf_track(c.counts, c.idf, c.index.withColumn("reg_size", F.lit(None))) \
+        .join(c.index.select("doc_id", "dtag"), "dtag").select("doc_id", "word", F.col("tfidf4").alias("w"))
+
+
+@register("doc_vectors")
+def doc_vectors(spark, sf_dir):
+    """Tf-idf weighted mean word vector of every track."""
+    from ..operators import models as M
+    from ..operators import vectors as V
+    c = _c(spark, sf_dir)
+    dv = M.weighted_doc_vectors(_doc_weights(c), "doc_id", M.word_vectors(_w2v(spark, sf_dir)))
+    return dv.select("doc_id", F.size("v").cast("bigint").alias("dim"), V.r6(V.norm(F.col("v"))).alias("norm"))
+
+
+def _query_vectors(spark, sf_dir):
+    from ..operators import models as M
+    c = _c(spark, sf_dir)
+    q = _sentences(spark, sf_dir, "benchmark").withColumn("uniq", F.size(F.array_distinct("words")).cast("bigint"))
+    qc = S.explode_words(q, "sid", "uniq").groupBy("sid", "uniq", "word").agg(F.count(F.lit(1)).alias("cnt"))
+    from ..operators.similarity import weights
+    return M.weighted_doc_vectors(weights(qc, "sid", c.idf), "sid", M.word_vectors(_w2v(spark, sf_dir)))
+
+
+@register("infer_doc")
+def infer_doc(spark, sf_dir):
+    """Vectors of unseen benchmark sentences with the trained word vectors."""
+    from ..operators import vectors as V
+    qv = _query_vectors(spark, sf_dir)
+    return qv.select(F.col("sid").alias("item_id"), F.size("v").cast("bigint").alias("dim"),
+                     V.r6(V.norm(F.col("v"))).alias("norm"))
+
+
+@register("predict_center")
+def predict_center(spark, sf_dir):
+    """The 10 vocabulary words nearest to each benchmark sentence's mean vector."""
+    from ..operators import models as M
+    from ..operators import vectors as V
+    wv = M.word_vectors(_w2v(spark, sf_dir))
+    qv = _query_vectors(spark, sf_dir)
+    t = V.top_k_similar(wv, "word", "v", qv, "sid", "v", 10)
+    return t.select(F.col("sid").alias("item_id"), "rank", "word", V.r6(F.col("sim")).alias("sim"))
+
+
+@register("pca_2d")
+def pca_2d(spark, sf_dir):
+    """2-D principal-component projection of the embedding vectors."""
+    from ..operators import models as M
+    return M.pca_2d(_emb(spark, sf_dir), "vec_id", "embedding")
+
+
+@register("kmeans")
+def kmeans(spark, sf_dir):
+    """K-means (k = 10) cluster of every embedding vector."""
+    from ..operators import models as M
+    return M.kmeans(_emb(spark, sf_dir), "vec_id", "embedding", 10)
+
+
+@register("eval_analogies")
+def eval_analogies(spark, sf_dir):
+    """Analogy accuracy per label: is the top answer of the label's question in that label."""
+    a = analogy(spark, sf_dir).filter(F.col("rank") == 1)
+    e = _emb(spark, sf_dir).select("vec_id", F.col("label").alias("answer_label"))
+    j = a.join(e, "vec_id")
+    return j.groupBy("label").agg(F.avg((F.col("answer_label") == F.col("label")).cast("double")).alias("accuracy"))
+
+
+# --------------------------------------------------------------------------- topics
+
+LDA_K = 20
+LDA_MIN_DF = 30
+
+
+def _lda(spark, sf_dir, seed=7):
+    from ..operators import topics as TP
+    c = _c(spark, sf_dir)
+    cache = getattr(c, "_models", None)
+    if cache is None:
+        cache = c._models = {}
+    key = ("lda", seed)
+    if key not in cache:
+        docs = c.doc_words.select("doc_id", T.min_len_tokens(F.col("words")).alias("words"))
+        cv = cache.get("cv") or TP.fit_dictionary(docs, LDA_MIN_DF, 0.5)
+        cache["cv"] = cv
+        bow = cv.transform(docs)
+        cache[key] = (cv, TP.fit_lda(bow, LDA_K, 10, seed), bow)
+    return cache[key]
+
+
+@register("lda_fit")
+def lda_fit(spark, sf_dir):
+    """Fitted online LDA summary: log likelihood and log perplexity of the corpus."""
+    cv, m, bow = _lda(spark, sf_dir)
+    test = bow.filter(F.col("doc_id") % 5 == 0)
+    return spark.createDataFrame([(LDA_K, len(cv.vocabulary), float(m.logLikelihood(test)),
+                                   float(m.logPerplexity(test)))],
+                                 "k int, vocab int, log_likelihood double, log_perplexity double")
+
+
+@register("topic_terms")
+def topic_terms(spark, sf_dir):
+    """L2: the 8 heaviest words of every topic."""
+    from ..operators import topics as TP
+    cv, m, _ = _lda(spark, sf_dir)
+    return TP.topic_terms(m, TP.vocab_table(spark, cv), 8)
+
+
+@register("doc_topics")
+def doc_topics(spark, sf_dir):
+    """L3: dominant topic of every track."""
+    from ..operators import topics as TP
+    _, m, bow = _lda(spark, sf_dir)
+    return TP.doc_topics(m, bow, "doc_id")
+
+
+@register("infer_topics")
+def infer_topics(spark, sf_dir):
+    """Dominant topic of unseen benchmark sentences through the fitted dictionary."""
+    from ..operators import topics as TP
+    cv, m, _ = _lda(spark, sf_dir)
+    q = _sentences(spark, sf_dir, "benchmark").select("sid", T.min_len_tokens(F.col("words")).alias("words"))
+    return TP.doc_topics(m, cv.transform(q), "sid").withColumnRenamed("sid", "item_id")
+
+
+@register("topic_diff")
+def topic_diff(spark, sf_dir):
+    """Hellinger distances between the topics of two differently seeded models."""
+    from ..operators import topics as TP
+    cv, m1, _ = _lda(spark, sf_dir, 7)
+    _, m2, _ = _lda(spark, sf_dir, 11)
+    return TP.topic_diff(m1, m2, len(cv.vocabulary))
+
+
+@register("topic_coherence")
+def topic_coherence(spark, sf_dir):
+    """UMass coherence of every topic's 6 top words over the track corpus."""
+    from ..operators import topics as TP
+    cv, m, _ = _lda(spark, sf_dir)
+    top = TP.topic_terms(m, TP.vocab_table(spark, cv), 6)
+    return TP.umass_coherence(top, _c(spark, sf_dir).counts)
+
+
+@register("topic_weights")
+def topic_weights(spark, sf_dir):
+    """Full topic-term weight table (topic, term_id, weight), normalised per topic."""
+    cv, m, _ = _lda(spark, sf_dir)
+    d = m.describeTopics(len(cv.vocabulary))
+    z = d.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("r", "t"))
+    return z.select(F.col("topic").cast("bigint").alias("topic"), F.col("t.termIndices").cast("bigint").alias("term_id"),
+                    F.col("t.termWeights").alias("weight"))
+
+
+@register("cooccurrence")
+def cooccurrence(spark, sf_dir, n: int = 20):
+    """Tracks containing both words, for every pair of the 20 most frequent words."""
+    from ..operators import topics as TP
+    c = _c(spark, sf_dir)
+    top = S.word_freq(c.doc_words, 1).orderBy(F.col("cnt").desc(), F.col("word")).limit(n)
+    return TP.cooccurrence(c.counts, top)
+
+
+# --------------------------------------------------------------------------- payload gate on pages
+
+@register("ingest_gate")
+def ingest_gate(spark, sf_dir):
+    """Pages whose url ends with 'html' and whose text exceeds 80 characters, with the
+    url-sliced title and per-site ordinals that count kept pages only."""
+    from ..sources import payloads as PL
+    pg = _c(spark, sf_dir).table("pages").select(
+        F.regexp_extract("url", "://([^/]+)", 1).alias("site"), "page_id", "url", F.col("html").alias("text"))
+    g = PL.ingest_gate(pg, suffix="html", key="site", order="page_id")
+    return g.select("site", "page_id", "track_no", "dtag", "title")

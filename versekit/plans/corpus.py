@@ -9,24 +9,46 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import stats as S
 from ..sources import tables as TB
 
 
+_SHARED: dict = {}
+
+
 class Corpus:
-    def __init__(self, spark: SparkSession, sf_dir: str, stops=None):
+    """Base tables of one corpus.  ``persist=True`` keeps the token tables
+    (per-track token arrays and per-track word counts) at MEMORY_AND_DISK: a
+    plan that reads them from several branches, and later queries of the same
+    session, then clean the text once.  A lost cached block is recomputed
+    from lineage, which is deterministic."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, stops=None, persist: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
         self.stops = stops
+        self.persist = persist
+
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str) -> "Corpus":
+        key = (id(spark), sf_dir)
+        if key not in _SHARED:
+            _SHARED[key] = cls(spark, sf_dir)
+        return _SHARED[key]
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else df
 
     def table(self, name: str) -> DataFrame:
         return TB.read_table(self.spark, self.sf_dir, name)
 
     @cached_property
     def documents(self) -> DataFrame:
-        return TB.spread(self.table("documents"), "doc_id")
+        return self.table("documents")
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -34,11 +56,16 @@ class Corpus:
 
     @cached_property
     def doc_words(self) -> DataFrame:
-        return TB.doc_words(self.documents, self.stops)
+        # only the text path is spread over the cores; narrow per-track columns are read directly
+        # the explicit key filter equals the one joins on doc_id would infer, so every
+        # branch of a plan has the same token-count exchange and Spark re-uses it
+        text = TB.spread(self.documents.select("doc_id", "lang", "source", "text")
+                         .filter(F.col("doc_id").isNotNull()), "doc_id")
+        return self._keep(TB.doc_words(text, self.stops))
 
     @cached_property
     def counts(self) -> DataFrame:
-        return S.token_counts(self.doc_words)
+        return self._keep(S.token_counts(self.doc_words))
 
     @cached_property
     def index(self) -> DataFrame:

@@ -412,3 +412,16 @@ sims AS (SELECT d.sid, d.doc_id, CAST(d.dot AS DOUBLE) / (sqrt(CAST(qn.nq AS DOU
 SELECT sid AS item_id, rank, doc_id, sim FROM (
   SELECT sid, doc_id, sim, CAST(row_number() OVER (PARTITION BY sid ORDER BY sim DESC, doc_id) AS BIGINT) AS rank FROM sims)
 WHERE rank <= 10"""
+
+ORACLES["cooccurrence"] = BASE + """,
+top AS (SELECT t.word FROM dw, unnest(dw.words) AS t(word) GROUP BY t.word ORDER BY count(*) DESC, t.word LIMIT 20),
+d AS (SELECT DISTINCT doc_id, word FROM counts WHERE word IN (SELECT word FROM top))
+SELECT a.word AS w1, b.word AS w2, CAST(count(*) AS BIGINT) AS n_docs
+FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY 1, 2"""
+
+ORACLES["ingest_gate"] = """
+SELECT site, page_id, track_no, printf('%s%03d', site, track_no) AS dtag, title FROM (
+  SELECT regexp_extract(url, '://([^/]+)', 1) AS site, page_id,
+         CAST(row_number() OVER (PARTITION BY regexp_extract(url, '://([^/]+)', 1) ORDER BY page_id) - 1 AS BIGINT) AS track_no,
+         substring(url, 20, length(url) - 26) AS title
+  FROM pages WHERE ends_with(url, 'html') AND length(html) > 80)"""
