@@ -101,3 +101,58 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() >= 0 and "tfidf" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_stop_file_and_lines(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "stops.txt")
+    _write(p, "alpha\nbeta \n\nha\n")
+    words = {r.word for r in FS.read_stop_file(spark, p).collect()}
+    assert {"alpha", "beta", "ha", "songbreak"} <= words and "" not in words
+    lp = os.path.join(tmpdir_path, "l.txt")
+    _write(lp, "one two three\nabc\nfour five\n")
+    toks = [list(r.tokens) for r in FS.read_lines(spark, lp).collect()]
+    assert toks == [["one", "two", "three"], ["four", "five"]]
+    out = os.path.join(tmpdir_path, "saved")
+    FS.save_text(spark.createDataFrame([("x y",)], "s string"), "s", out)
+    assert [r.value for r in spark.read.text(out).collect()] == ["x y"]
+
+
+def test_genre_selection(spark):
+    import pytest
+    from versekit.sources import tables as TB
+    assert TB.resolve_genres("all")[0] == "rap" and TB.resolve_genres(["rock"]) == ["rock"]
+    with pytest.raises(ValueError):
+        TB.resolve_genres(["rock", "polka"])
+    tr = spark.createDataFrame([("rock", "a"), ("rap", "b"), ("pop", "c")], "genre string, artist string")
+    allowed = spark.createDataFrame([("rock", "a")], "genre string, artist string")
+    assert TB.select_genres(tr, ["rock", "rap"], allowed).count() == 1
+
+
+def test_registry_stream_appends(spark, tmpdir_path):
+    from versekit.streaming import incremental as ST
+    src = os.path.join(tmpdir_path, "regin")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.json"), "w") as fh:
+        for i, t in enumerate(["T0", "T1", "T2"]):
+            fh.write(json.dumps({"genre": "rock", "artist": "BandA", "title": t, "seq": i}) + "\n")
+    reg, ck = os.path.join(tmpdir_path, "reg"), os.path.join(tmpdir_path, "ck2")
+    ST.start_registry_appends(spark, src, reg, ck).awaitTermination(120)
+    with open(os.path.join(src, "b.json"), "w") as fh:
+        fh.write(json.dumps({"genre": "rock", "artist": "BandA", "title": "T3", "seq": 9}) + "\n")
+    ST.start_registry_appends(spark, src, reg, ck).awaitTermination(120)
+    got = sorted((r.track_no, r.title) for r in spark.read.parquet(reg).collect())
+    assert got == [(0, "T0"), (1, "T1"), (2, "T2"), (3, "T3")]
+
+
+def test_lda_save_load_and_album_summary(spark, tmpdir_path):
+    from versekit.operators import topics as TP
+    docs = spark.createDataFrame([(i, ["sun", "moon", "star", "rain"][i % 4:] + ["sky"]) for i in range(12)],
+                                 "doc_id long, words array<string>")
+    cv = TP.fit_dictionary(docs, 1, 1.0)
+    m = TP.fit_lda(cv.transform(docs), k=2, max_iter=2, seed=1)
+    p = os.path.join(tmpdir_path, "lda")
+    FS.save_model(m, p)
+    back = FS.load_lda(p)
+    assert back.vocabSize() == len(cv.vocabulary)
+    albums = spark.createDataFrame([(1, (10, "A", ("X",)), [(1, (100, "S", "u"))])], PL.ALBUM_SCHEMA)
+    assert PL.album_summary(albums).first().n_tracks == 1

@@ -36,18 +36,13 @@ def _c(col: Column | str) -> Column:
 
 
 def map_chars(col: Column | str) -> Column:
-    """lower-case, then the two fixed character conversion tables."""
-    src, dst = refdata.char_map_from_to()
-    c = F.translate(F.lower(_c(col)), src, dst)
-    return F.translate(c, refdata.QUOTEDASH_FROM, refdata.QUOTEDASH_TO)
+    """lower-case, then the two fixed character conversion tables (composed into one pass)."""
+    src, dst = refdata.composed_char_map()
+    return F.translate(F.lower(_c(col)), src, dst)
 
 
-def expand_contractions(col: Column | str,
-                        contractions: Sequence[tuple[str, str]] | None = None,
-                        word_boundary: bool = False) -> Column:
-    """Ordered literal substring expansion (keys match inside words, as in the original)."""
-    c = _c(col)
-    for key, repl in (contractions if contractions is not None else refdata.CONTRACTIONS):
+def _replace_chain(c: Column, pairs, word_boundary: bool) -> Column:
+    for key, repl in pairs:
         if word_boundary:
             c = F.regexp_replace(c, r"\b" + _re_escape(key) + r"\b", repl.replace("$", r"\$"))
         else:
@@ -55,6 +50,24 @@ def expand_contractions(col: Column | str,
     return c
 
 
+def expand_contractions(col: Column | str,
+                        contractions: Sequence[tuple[str, str]] | None = None,
+                        word_boundary: bool = False) -> Column:
+    """Ordered literal substring expansion (keys match inside words, as in the original).
+
+    When no replacement value contains an apostrophe, a text without one can
+    only ever match the apostrophe-free keys, so such texts run the short
+    chain of those keys (same relative order) — the result is identical and
+    most texts skip most of the passes."""
+    c = _c(col)
+    pairs = list(contractions if contractions is not None else refdata.CONTRACTIONS)
+    if any("'" in v for _, v in pairs):
+        return _replace_chain(c, pairs, word_boundary)
+    plain = [(k, v) for k, v in pairs if "'" not in k]
+    return F.when(F.instr(c, "'") > 0, _replace_chain(c, pairs, word_boundary)) \
+        .otherwise(_replace_chain(c, plain, word_boundary))
+
+
 def _re_escape(s: str) -> str:
     return "".join("\\" + ch if ch in r".^$*+?()[]{}|\/" else ch for ch in s)
 
@@ -139,10 +152,8 @@ def normalize_markers(text: Column | str, marker: str = refdata.TRACK_MARKER) ->
 
 def clean_name(col: Column | str) -> Column:
     """T4: character maps, then spaces removed."""
-    src, dst = refdata.char_map_from_to()
-    c = F.translate(_c(col), src, dst)
-    c = F.translate(c, refdata.QUOTEDASH_FROM, refdata.QUOTEDASH_TO)
-    return F.replace(c, F.lit(" "), F.lit(""))
+    src, dst = refdata.composed_char_map()
+    return F.replace(F.translate(_c(col), src, dst), F.lit(" "), F.lit(""))
 
 
 def file_safe_name(col: Column | str) -> Column:

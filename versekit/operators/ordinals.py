@@ -82,3 +82,27 @@ def ordinal_after_groups(df: DataFrame, group_cols: Sequence[str], within_col: s
     offs = sizes.withColumn("_off", F.sum("_n").over(w) - F.col("_n")).drop("_n")
     return (df.join(offs, list(group_cols))
             .withColumn(out_col, (F.col("_off") + F.col(within_col)).cast("bigint")).drop("_off"))
+
+
+def average_rank(df: DataFrame, col: str, out_col: str, rows_per_bucket: int | None = None) -> DataFrame:
+    """1-based average rank of ``col`` over all rows (ties share the mean of their positions).
+
+    Works on the distinct values: (#rows with a smaller value) + (ties + 1) / 2.
+    Distinct values are cut into deterministic value-range buckets, cumulative
+    counts run inside a bucket, and bucket offsets come from one row per
+    bucket, so no task sorts the whole table.  Returns ``df`` plus ``out_col``.
+    """
+    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
+    freq = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    st = freq.agg(F.min(col).alias("mn"), F.max(col).alias("mx"), F.count(F.lit(1)).alias("n"))
+    mn, mx, n = st.select("mn").scalar(), st.select("mx").scalar(), st.select("n").scalar()
+    nb = F.greatest(F.lit(1), F.ceil(n / F.lit(rows_per_bucket)))
+    width = (mx - mn) / nb
+    b = F.when(width > 0, F.least(F.floor((F.col(col) - mn) / width), nb - 1)).otherwise(F.lit(0))
+    fb = freq.withColumn("_b", b.cast("bigint"))
+    blocks = fb.groupBy("_b").agg(F.sum("_c").alias("_bn"))
+    blocks = blocks.withColumn("_off", F.sum("_bn").over(Window.orderBy("_b")) - F.col("_bn")).drop("_bn")
+    w = Window.partitionBy("_b").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    fr = (fb.withColumn("_cum", F.sum("_c").over(w)).join(blocks, "_b")
+          .select(col, (F.col("_off") + F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(out_col)))
+    return df.join(fr, col)

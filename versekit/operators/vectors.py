@@ -62,12 +62,6 @@ def group_mean(vecs: DataFrame, group: str, vec: str, weight: str | None = None)
             .select(group, F.transform("_v", lambda s: s["x"]).alias(vec)))
 
 
-def _check_broadcast(n_rows: int, dim: int) -> int:
-    """Rows per broadcast chunk so one chunk stays under MAX_BROADCAST_BYTES."""
-    per_row = max(8 * max(dim, 1) + 64, 1)
-    return max(1, min(n_rows, MAX_BROADCAST_BYTES // per_row))
-
-
 def top_k_similar(keys: DataFrame, key: str, vec: str, queries: DataFrame, qkey: str, qvec: str,
                   k: int = 10, exclude: DataFrame | None = None, mode: str = "cos",
                   neg: str | None = None) -> DataFrame:
@@ -94,20 +88,28 @@ def top_k_similar(keys: DataFrame, key: str, vec: str, queries: DataFrame, qkey:
         excl = exclude.select(F.col(qkey).alias("q"), F.col(key).alias("k")).distinct()
         extra = excl.groupBy("q").count().agg(F.max("count")).first()[0] or 0
     cols = [F.col(qkey).alias("q"), F.col(qvec).alias("v")] + ([F.col(neg).alias("n")] if neg else [])
-    qs = queries.select(*cols)
-    n_q = qs.count()
+    # the query side is a bounded set: plan it once, then read its ids and sizes in one job
+    qs = queries.select(*cols).persist()
     payload = F.length(F.to_json(F.struct(*[c for c in qs.columns if c != "q"]))).alias("b")
-    row_bytes = qs.select(payload).agg(F.max("b")).first()[0] if n_q else 1
-    chunk = max(1, min(n_q, MAX_BROADCAST_BYTES // max(int(row_bytes or 1), 1)))
-    ids = [r[0] for r in qs.select("q").orderBy("q").collect()]  # bounded: one id per query
+    meta = sorted((r.q, r.b) for r in qs.select("q", payload).collect())
+    chunks, cur, size = [], [], 0
+    for q, b in meta:  # cut into chunks whose serialized size stays under the broadcast budget
+        if cur and size + b > MAX_BROADCAST_BYTES:
+            chunks.append(cur)
+            cur, size = [], 0
+        cur.append(q)
+        size += b
+    if cur:
+        chunks.append(cur)
     kk_want = k + int(extra)
 
     def unit_rows(m):
         return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-300)
 
     outs = []
-    for s in range(0, len(ids), chunk):
-        qpd = qs.filter(F.col("q").isin(ids[s:s + chunk])).toPandas()
+    for part in chunks:
+        # chunks are contiguous in query-id order, so a range filter selects one exactly
+        qpd = qs.filter((F.col("q") >= F.lit(part[0])) & (F.col("q") <= F.lit(part[-1]))).toPandas()
         qid = qpd["q"].to_numpy()
         if mode == "cos":
             qmat = unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in qpd["v"]]))

@@ -92,7 +92,7 @@ def _joined(col):
 def lines(spark, sf_dir):
     """Used lines with cleaned tokens and end-of-track flag."""
     from ..sources import tables as TB
-    ln = TB.lines(_c(spark, sf_dir).documents)
+    ln = TB.lines(_c(spark, sf_dir).text_docs)
     return ln.select("doc_id", "line_no", "eot", F.size("tokens").cast("bigint").alias("ntok"),
                      _joined("tokens").alias("cleaned"))
 
@@ -111,7 +111,7 @@ def track_by_tag(spark, sf_dir):
     from ..sources import tables as TB
     c = _c(spark, sf_dir)
     reg = TB.registry(c.documents, c.labels, c.index)
-    ln = TB.lines(c.documents).select("doc_id", "line_no", _joined("tokens").alias("cleaned"))
+    ln = TB.lines(c.text_docs).select("doc_id", "line_no", _joined("tokens").alias("cleaned"))
     per = (ln.groupBy("doc_id")
            .agg(F.count(F.lit(1)).alias("n_lines"),
                 F.array_sort(F.collect_list(F.struct("line_no", "cleaned"))).alias("_l")))
@@ -174,7 +174,7 @@ def clean_string(spark, sf_dir):
 @register("normalize_markers")
 def normalize_markers(spark, sf_dir):
     """Marker normalisation of every track text (status 13 when no rule applies)."""
-    d = _c(spark, sf_dir).documents
+    d = _c(spark, sf_dir).text_docs
     txt, status = T.normalize_markers("text")
     return d.select("doc_id", status.cast("bigint").alias("status"),
                     F.length(txt).cast("bigint").alias("n_chars"), F.md5(txt).alias("md5"))
@@ -408,8 +408,8 @@ def _sentences(spark, sf_dir, table="documents"):
 
 def _phrase_model(spark, sf_dir):
     from ..operators import phrases as P
-    tr = _sentences(spark, sf_dir)
-    return P.score(P.unigram_counts(tr), P.bigram_counts(tr), PHRASE_MIN_COUNT, PHRASE_THRESHOLD)
+    c = _c(spark, sf_dir)
+    return P.score(c.unigrams, c.bigrams, PHRASE_MIN_COUNT, PHRASE_THRESHOLD)
 
 
 @register("phrase_scores")
@@ -438,9 +438,9 @@ def apply_phrases(spark, sf_dir):
 def merge_phrase_counts(spark, sf_dir):
     """Phrase model after adding the benchmark sentences' counts to the corpus counts."""
     from ..operators import phrases as P
-    a, b = _sentences(spark, sf_dir), _sentences(spark, sf_dir, "benchmark")
-    uni = P.merge_counts(P.unigram_counts(a), P.unigram_counts(b), ["word"])
-    bi = P.merge_counts(P.bigram_counts(a), P.bigram_counts(b), ["w1", "w2"])
+    c, b = _c(spark, sf_dir), _sentences(spark, sf_dir, "benchmark")
+    uni = P.merge_counts(c.unigrams, P.unigram_counts(b), ["word"])
+    bi = P.merge_counts(c.bigrams, P.bigram_counts(b), ["w1", "w2"])
     return P.score(uni, bi, PHRASE_MIN_COUNT, PHRASE_THRESHOLD)
 
 
@@ -575,10 +575,15 @@ def set_similarity(spark, sf_dir):
 
 @register("eval_word_pairs")
 def eval_word_pairs(spark, sf_dir):
-    """Pearson correlation of pair similarity with a same-label score."""
+    """Pearson and Spearman (average ranks) correlation of pair similarity with a
+    same-label score."""
     from ..operators import vectors as V
-    p = _pairs(_emb(spark, sf_dir))
-    return p.agg(F.count(F.lit(1)).alias("n_pairs"), V.r6(F.corr("sim", "human")).alias("pearson"))
+    from ..operators.ordinals import average_rank
+    p = _pairs(_emb(spark, sf_dir)).withColumn("sim6", V.r6(F.col("sim")))
+    r = average_rank(average_rank(p, "sim6", "rs"), "human", "rh")
+    pear = p.agg(F.count(F.lit(1)).alias("n_pairs"), V.r6(F.corr("sim", "human")).alias("pearson"))
+    spear = r.agg(V.r6(F.corr("rs", "rh")).alias("spearman"))
+    return pear.select("n_pairs", "pearson", spear.select("spearman").scalar().alias("spearman"))
 
 
 @register("vocab_lookup")
@@ -811,3 +816,25 @@ def ingest_gate(spark, sf_dir):
         F.regexp_extract("url", "://([^/]+)", 1).alias("site"), "page_id", "url", F.col("html").alias("text"))
     g = PL.ingest_gate(pg, suffix="html", key="site", order="page_id")
     return g.select("site", "page_id", "track_no", "dtag", "title")
+
+
+# --------------------------------------------------------------------------- sampling / continued training
+
+@register("random_pick")
+def random_pick(spark, sf_dir, seed: int = 42):
+    """One pseudo-random track (seeded hash order; the pick is the feature, so a limit)."""
+    idx = _c(spark, sf_dir).index
+    return (idx.withColumn("h", F.xxhash64("dtag", F.lit(seed)))
+            .orderBy("h", "dtag").limit(1).select("dtag", "doc_id"))
+
+
+@register("continued_training")
+def continued_training(spark, sf_dir):
+    """SO2: word vectors refit on the track corpus united with the benchmark sentences
+    (MLlib has no warm start; the union is refit)."""
+    from ..operators import models as M
+    from ..operators import vectors as V
+    c = _c(spark, sf_dir)
+    both = c.doc_words.select("words").unionByName(_sentences(spark, sf_dir, "benchmark").select("words"))
+    wv = M.word_vectors(M.fit_word2vec(both, **W2V))
+    return wv.select("word", V.r6(V.norm(F.col("v"))).alias("norm"))

@@ -55,13 +55,18 @@ class Corpus:
         return self.table("labels")
 
     @cached_property
-    def doc_words(self) -> DataFrame:
-        # only the text path is spread over the cores; narrow per-track columns are read directly
-        # the explicit key filter equals the one joins on doc_id would infer, so every
-        # branch of a plan has the same token-count exchange and Spark re-uses it
-        text = TB.spread(self.documents.select("doc_id", "lang", "source", "text")
+    def text_docs(self) -> DataFrame:
+        """(doc_id, lang, source, text) spread over the cores when the scan is not split.
+
+        Only the text path is spread; narrow per-track columns are read directly.
+        The explicit key filter equals the one joins on doc_id would infer, so
+        every branch of a plan sees the same subtree."""
+        return TB.spread(self.documents.select("doc_id", "lang", "source", "text")
                          .filter(F.col("doc_id").isNotNull()), "doc_id")
-        return self._keep(TB.doc_words(text, self.stops))
+
+    @cached_property
+    def doc_words(self) -> DataFrame:
+        return self._keep(TB.doc_words(self.text_docs, self.stops))
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -85,8 +90,20 @@ class Corpus:
 
     @cached_property
     def idf(self) -> DataFrame:
-        return S.idf(self.counts, self.n_total)
+        return self._keep(S.idf(self.counts, self.n_total))
 
     @cached_property
     def tfidf_artist(self) -> DataFrame:
-        return S.tfidf_artist(self.counts, self.idf, self.covered, self.n_total)
+        return self._keep(S.tfidf_artist(self.counts, self.idf, self.covered, self.n_total))
+
+    @cached_property
+    def unigrams(self) -> DataFrame:
+        """Phrase-model unigram counts of the track corpus."""
+        from ..operators import phrases as P
+        return self._keep(P.unigram_counts(self.doc_words))
+
+    @cached_property
+    def bigrams(self) -> DataFrame:
+        """Phrase-model bigram counts of the track corpus."""
+        from ..operators import phrases as P
+        return self._keep(P.bigram_counts(self.doc_words))

@@ -387,8 +387,12 @@ hm AS (SELECT label, half, list(x ORDER BY i) AS m FROM (
 SELECT a.label, """ + _R6.format(x=_cos("a.m", "b.m")) + """ AS sim
 FROM hm a JOIN hm b ON a.label = b.label AND a.half = 0 AND b.half = 1"""
 
-ORACLES["eval_word_pairs"] = "WITH " + _U + ",\n" + _PAIRS + """
-SELECT CAST(count(*) AS BIGINT) AS n_pairs, """ + _R6.format(x="corr(sim, human)") + """ AS pearson FROM pairs"""
+ORACLES["eval_word_pairs"] = "WITH " + _U + ",\n" + _PAIRS + """,
+p6 AS (SELECT sim, human, """ + _R6.format(x="sim") + """ AS sim6 FROM pairs),
+rk AS (SELECT (rank() OVER (ORDER BY sim6) - 1) + (count(*) OVER (PARTITION BY sim6) + 1) / 2.0 AS rs,
+              (rank() OVER (ORDER BY human) - 1) + (count(*) OVER (PARTITION BY human) + 1) / 2.0 AS rh FROM p6)
+SELECT CAST(count(*) AS BIGINT) AS n_pairs, """ + _R6.format(x="corr(sim, human)") + """ AS pearson,
+       (SELECT """ + _R6.format(x="corr(rs, rh)") + """ FROM rk) AS spearman FROM pairs"""
 
 ORACLES["vocab_lookup"] = "WITH " + Q.doc_words_cte() + """,
 bw AS (SELECT DISTINCT t.w AS word FROM (""" + _sents("benchmark") + """) s, unnest(s.words) AS t(w)),

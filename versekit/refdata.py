@@ -233,3 +233,29 @@ def char_map_from_to() -> tuple[str, str]:
     keep = [(a, b) for a, b in CHAR_CONVERSION if b]
     drop = [a for a, b in CHAR_CONVERSION if not b]
     return "".join(a for a, _ in keep) + "".join(drop), "".join(b for _, b in keep)
+
+
+def composed_char_map() -> tuple[str, str]:
+    """CHAR_CONVERSION followed by the quote/dash map as ONE (from, to) pair.
+
+    Exact composition: every character is sent through the first map, then
+    the second; characters the first map already handles keep its result
+    unless the second map changes that result (it never does: its targets of
+    the first map's outputs are identities)."""
+    m1 = {a: b for a, b in CHAR_CONVERSION}
+    m2 = {}
+    for a, b in zip(QUOTEDASH_FROM, QUOTEDASH_TO):
+        m2.setdefault(a, b)
+
+    def apply(c: str) -> str:
+        out = m1.get(c, c)
+        return "".join(m2.get(x, x) for x in out)
+
+    keep, drop = [], []
+    for c in list(dict.fromkeys(list(m1) + list(m2))):
+        r = apply(c)
+        if r == c:
+            continue
+        assert len(r) <= 1
+        (keep if r else drop).append((c, r))
+    return "".join(a for a, _ in keep) + "".join(a for a, _ in drop), "".join(b for _, b in keep)

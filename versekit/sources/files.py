@@ -143,3 +143,13 @@ def save_model(model, path: str) -> None:
 def load_lda(path: str):
     from pyspark.ml.clustering import LocalLDAModel
     return LocalLDAModel.load(path)
+
+
+# --------------------------------------------------------------------------- stop words
+
+def read_stop_file(spark: SparkSession, path: str, extra=None) -> DataFrame:
+    """Stop words of a file (one per line, trimmed) united with the ad-hoc list, distinct."""
+    extra = refdata.ADHOC_STOPS if extra is None else extra
+    f = spark.read.text(path).select(F.trim("value").alias("word")).filter(F.col("word") != "")
+    add = spark.createDataFrame([(w,) for w in dict.fromkeys(extra)], "word string")
+    return f.unionByName(add).distinct()

@@ -87,7 +87,7 @@ def lines(documents: DataFrame, stops: Iterable[str] | None = None) -> DataFrame
 
 
 def first_words(text: Column | str, n: int = 5) -> Column:
-    first_line = F.split(T._c(text), "\n").getItem(0)
+    first_line = F.substring_index(T._c(text), "\n", 1)
     return F.array_join(F.slice(T.split_ws(first_line), 1, n), " ")
 
 
@@ -110,3 +110,23 @@ def covered_tracks(index: DataFrame, sizes: DataFrame) -> DataFrame:
     return (index.join(sizes, ["genre", "artist"])
             .filter(F.col("track_no") < F.col("reg_size"))
             .select("doc_id", "genre", "artist", "track_no", "dtag", "reg_size"))
+
+
+def resolve_genres(gen) -> list[str]:
+    """genre selection: 'all', one genre or a list; unknown genres raise ValueError."""
+    if gen == "all":
+        return list(refdata.GENRES)
+    req = [gen] if isinstance(gen, str) else list(gen)
+    bad = [g for g in req if g not in refdata.GENRES]
+    if bad:
+        raise ValueError(f"not a valid genre: {bad}")
+    return req
+
+
+def select_genres(tracks: DataFrame, genres: list[str], allowed: DataFrame | None = None) -> DataFrame:
+    """F1/JN4: tracks of the requested genres; ``allowed`` (artist table) restricts by
+    membership with a left-semi join."""
+    out = tracks.filter(F.col("genre").isin(genres))
+    if allowed is not None:
+        out = out.join(allowed.select("genre", "artist").distinct(), ["genre", "artist"], "left_semi")
+    return out
