@@ -93,6 +93,12 @@ def word_freq(doc_words: DataFrame, min_count: int = 3) -> DataFrame:
             .filter(F.col("cnt") >= min_count))
 
 
+def word_freq_counts(counts: DataFrame, min_count: int = 3) -> DataFrame:
+    """A1/F2 from the per-track counts (already combined per track: a smaller shuffle)."""
+    return (counts.groupBy("word").agg(F.sum("cnt").alias("cnt"))
+            .filter(F.col("cnt") >= min_count))
+
+
 def corpus_counts(doc_words: DataFrame) -> DataFrame:
     """A2: per artist: tracks, raw tokens, empty tracks, sum of per-track distinct words."""
     return (doc_words.groupBy("genre", "artist")
@@ -102,10 +108,10 @@ def corpus_counts(doc_words: DataFrame) -> DataFrame:
                  F.sum("uniq").alias("sum_uniq")))
 
 
-def vocabulary_size(doc_words: DataFrame) -> DataFrame:
+def vocabulary_size(counts: DataFrame) -> DataFrame:
     """A2: distinct words before pruning and raw token total of the corpus."""
-    toks = explode_words(doc_words)
-    return toks.agg(F.count_distinct("word").alias("n_words"), F.count(F.lit(1)).alias("n_tokens"))
+    per_word = counts.groupBy("word").agg(F.sum("cnt").alias("cnt"))
+    return per_word.agg(F.count(F.lit(1)).alias("n_words"), F.sum("cnt").alias("n_tokens"))
 
 
 # --------------------------------------------------------------------------- A3 / A4 / A5
@@ -201,7 +207,7 @@ def dense_vocab(words: DataFrame) -> DataFrame:
 
 def bow(counts: DataFrame, doc_words: DataFrame, min_count: int = 2, key=("genre", "artist")) -> DataFrame:
     """(key..., term_id, word, cnt) over words with corpus frequency >= min_count."""
-    vocab_words = word_freq(doc_words, min_count).select("word")
+    vocab_words = word_freq_counts(counts, min_count).select("word")
     vocab = dense_vocab(vocab_words)
     per = counts.groupBy(*key, "word").agg(F.sum("cnt").alias("cnt"))
     return per.join(vocab, "word").select(*key, "term_id", "word", "cnt")
@@ -209,17 +215,18 @@ def bow(counts: DataFrame, doc_words: DataFrame, min_count: int = 2, key=("genre
 
 # --------------------------------------------------------------------------- A13 cloud
 
-def cloud_weights(doc_words: DataFrame, stops=(), min_len: int = refdata.CLOUD_MIN_WORD_LEN,
+def cloud_weights(counts: DataFrame, stops=(), min_len: int = refdata.CLOUD_MIN_WORD_LEN,
                   max_words: int = refdata.CLOUD_MAX_WORDS) -> DataFrame:
     """Word counts minus stops and short words, top ``max_words`` (count desc, word)."""
-    toks = explode_words(doc_words).filter(F.length("word") >= min_len)
+    c = counts.filter(F.length("word") >= min_len)
     stops = list(dict.fromkeys(stops))
     if stops:
-        toks = toks.filter(~F.col("word").isin(stops))
-    cnt = toks.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.orderBy(F.col("cnt").desc(), F.col("word"))
-    # a global top-k: Spark plans TakeOrderedAndProject (k rows per task, then merge)
+        c = c.filter(~F.col("word").isin(stops))
+    cnt = c.groupBy("word").agg(F.sum("cnt").alias("cnt"))
+    # a global top-k: Spark plans TakeOrderedAndProject (k rows per task, then merge);
+    # the rank window then runs over the k surviving rows only
     top = cnt.orderBy(F.col("cnt").desc(), F.col("word")).limit(max_words)
+    w = Window.orderBy(F.col("cnt").desc(), F.col("word"))
     return top.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 

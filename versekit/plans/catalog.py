@@ -55,7 +55,7 @@ def track_tags(spark, sf_dir):
 
 @register("word_freq")
 def word_freq(spark, sf_dir, min_count: int = 3):
-    return S.word_freq(Corpus.shared(spark, sf_dir).doc_words, min_count)
+    return S.word_freq_counts(Corpus.shared(spark, sf_dir).counts, min_count)
 
 
 @register("track_tf")
@@ -224,7 +224,7 @@ def title_tokens(spark, sf_dir):
 @register("min_count")
 def min_count(spark, sf_dir):
     """words with corpus frequency >= 2 (base-class default)."""
-    return S.word_freq(_c(spark, sf_dir).doc_words, 2)
+    return S.word_freq_counts(_c(spark, sf_dir).counts, 2)
 
 
 @register("filter_extremes")
@@ -268,7 +268,7 @@ def rare_words(spark, sf_dir):
     c = _c(spark, sf_dir)
     n_art = S.scalar(c.counts.select("genre", "artist").distinct().agg(F.count(F.lit(1))))
     wa = S.word_artists(c.counts)
-    return FL.rare_words(wa, S.word_freq(c.doc_words, 3), n_art).select("word", "n_artists", "cnt")
+    return FL.rare_words(wa, S.word_freq_counts(c.counts, 3), n_art).select("word", "n_artists", "cnt")
 
 
 @register("registry_join")
@@ -296,7 +296,7 @@ def corpus_counts(spark, sf_dir):
 @register("vocabulary_size")
 def vocabulary_size(spark, sf_dir):
     """A2: corpus vocabulary before pruning and raw token total."""
-    return S.vocabulary_size(_c(spark, sf_dir).doc_words)
+    return S.vocabulary_size(_c(spark, sf_dir).counts)
 
 
 @register("artist_tf")
@@ -354,7 +354,7 @@ def doc_bow(spark, sf_dir):
 def cloud_weights(spark, sf_dir):
     """Top 120 cloud words (length >= 4, minus the lyric stop list)."""
     from .. import refdata
-    return S.cloud_weights(_c(spark, sf_dir).doc_words, refdata.STOP_LYRICS)
+    return S.cloud_weights(_c(spark, sf_dir).counts, refdata.STOP_LYRICS)
 
 
 @register("tfidf_histogram")
@@ -591,7 +591,7 @@ def vocab_lookup(spark, sf_dir):
     """For every benchmark word: is it in the corpus vocabulary and how often."""
     c = _c(spark, sf_dir)
     words = S.explode_words(_sentences(spark, sf_dir, "benchmark")).select("word").distinct()
-    wf = S.word_freq(c.doc_words, 1)
+    wf = S.word_freq_counts(c.counts, 1)
     return (words.join(wf, "word", "left")
             .select("word", F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt"),
                     F.col("cnt").isNotNull().alias("in_vocab")))
@@ -639,7 +639,7 @@ def subsample_tokens(spark, sf_dir):
     """Tokens kept per track by frequent-word subsampling (sample = 1e-3)."""
     from ..operators import models as M
     c = _c(spark, sf_dir)
-    k = M.subsample_keep(c.doc_words, S.word_freq(c.doc_words, 1))
+    k = M.subsample_keep(c.doc_words, S.word_freq_counts(c.counts, 1))
     return k.groupBy("doc_id").agg(F.count(F.lit(1)).alias("ntok"),
                                    F.sum(F.col("keep").cast("int")).cast("bigint").alias("kept"))
 
@@ -801,7 +801,7 @@ def cooccurrence(spark, sf_dir, n: int = 20):
     """Tracks containing both words, for every pair of the 20 most frequent words."""
     from ..operators import topics as TP
     c = _c(spark, sf_dir)
-    top = S.word_freq(c.doc_words, 1).orderBy(F.col("cnt").desc(), F.col("word")).limit(n)
+    top = S.word_freq_counts(c.counts, 1).orderBy(F.col("cnt").desc(), F.col("word")).limit(n)
     return TP.cooccurrence(c.counts, top)
 
 

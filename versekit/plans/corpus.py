@@ -64,9 +64,21 @@ class Corpus:
         return TB.spread(self.documents.select("doc_id", "lang", "source", "text")
                          .filter(F.col("doc_id").isNotNull()), "doc_id")
 
+    @cached_property
+    def _joined(self) -> DataFrame:
+        """Cleaned tokens cached as one space-joined string per track: the in-memory
+        columnar cache stores flat strings compactly and reads them back fast,
+        while cached ARRAY<STRING> columns are slower to read than re-cleaning."""
+        dw = TB.doc_words(self.text_docs, self.stops)
+        return self._keep(dw.select("doc_id", "genre", "artist", "ntok", "uniq",
+                                    F.array_join("words", " ").alias("joined")))
+
     @cached_property
     def doc_words(self) -> DataFrame:
-        return self._keep(TB.doc_words(self.text_docs, self.stops))
+        """(doc_id, genre, artist, words, ntok, uniq) — tokens never contain a space."""
+        j = self._joined
+        words = F.when(F.col("ntok") > 0, F.split("joined", " ")).otherwise(F.array().cast("array<string>"))
+        return j.select("doc_id", "genre", "artist", words.alias("words"), "ntok", "uniq")
 
     @cached_property
     def counts(self) -> DataFrame:

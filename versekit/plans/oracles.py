@@ -429,3 +429,20 @@ SELECT site, page_id, track_no, printf('%s%03d', site, track_no) AS dtag, title
          CAST(row_number() OVER (PARTITION BY regexp_extract(url, '://([^/]+)', 1) ORDER BY page_id) - 1 AS BIGINT) AS track_no,
          substring(url, 20, length(url) - 26) AS title
   FROM pages WHERE ends_with(url, 'html') AND length(html) > 80)"""
+
+ORACLES["apply_phrases"] = _PHR + """,
+sb AS (""" + _sents("benchmark") + """),
+pos AS (SELECT s.sid, t.i - 1 AS pos, s.words[t.i] AS word, s.words[t.i + 1] AS nxt
+        FROM sb s, unnest(generate_series(1, len(s.words))) AS t(i)),
+cand AS (SELECT p.sid, p.pos FROM pos p JOIN phr f ON p.word = f.w1 AND p.nxt = f.w2 WHERE f.score > 10.0),
+runs AS (SELECT sid, pos, pos - row_number() OVER (PARTITION BY sid ORDER BY pos) AS grp FROM cand),
+taken AS (SELECT sid, pos FROM (SELECT sid, pos, min(pos) OVER (PARTITION BY sid, grp) AS st FROM runs)
+          WHERE (pos - st) % 2 = 0),
+toks AS (SELECT p.sid, p.pos,
+                CASE WHEN t1.pos IS NOT NULL THEN p.word || '-' || p.nxt
+                     WHEN t2.pos IS NOT NULL THEN NULL ELSE p.word END AS tok
+         FROM pos p LEFT JOIN taken t1 ON p.sid = t1.sid AND p.pos = t1.pos
+                    LEFT JOIN taken t2 ON p.sid = t2.sid AND p.pos = t2.pos + 1),
+per AS (SELECT sid, list(tok ORDER BY pos) FILTER (WHERE tok IS NOT NULL) AS w FROM toks GROUP BY sid)
+SELECT s.sid AS item_id, CAST(coalesce(len(p.w), 0) AS BIGINT) AS ntok, coalesce(array_to_string(p.w, ' '), '') AS words
+FROM sb s LEFT JOIN per p ON s.sid = p.sid"""
