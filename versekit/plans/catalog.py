@@ -645,8 +645,9 @@ def subsample_tokens(spark, sf_dir):
 
 
 def _doc_weights(c):
-    return S.tfidf_track(c.counts, c.idf, c.index.withColumn("reg_size", F.lit(None))) \
-        .join(c.index.select("doc_id", "dtag"), "dtag").select("doc_id", "word", F.col("tfidf4").alias("w"))
+    """(doc_id, word, w): integer tf-idf weights of every track's terms."""
+    from ..operators.similarity import weights
+    return weights(c.counts, "doc_id", c.idf)
 
 
 @register("doc_vectors")
@@ -838,3 +839,24 @@ def continued_training(spark, sf_dir):
     both = c.doc_words.select("words").unionByName(_sentences(spark, sf_dir, "benchmark").select("words"))
     wv = M.word_vectors(M.fit_word2vec(both, **W2V))
     return wv.select("word", V.r6(V.norm(F.col("v"))).alias("norm"))
+
+
+# --------------------------------------------------------------------------- streaming
+
+@register("incremental_counts")
+def incremental_counts(spark, sf_dir, n_files: int = 4):
+    """ST1: conversation turns landed as text files (written by Spark into the shared
+    checkpoint folder), streamed one file per micro-batch into per-batch partial
+    counts, and merged: the bigram counts of the grown corpus."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..streaming import incremental as ST
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/incremental-" + uuid.uuid4().hex
+    cv = _c(spark, sf_dir).table("conversations")
+    (cv.select((F.col("conv_id") % n_files).alias("part"), F.col("text"))
+     .withColumn("text", F.regexp_replace("text", "\n", " "))
+     .write.partitionBy("part").text(base + "/in"))
+    q = ST.start_incremental_counts(spark, base + "/in/*", base + "/out", base + "/ck", max_files_per_trigger=1)
+    q.awaitTermination()
+    _, bi = ST.merged_counts(spark, base + "/out")
+    return bi.select("w1", "w2", F.col("n12").cast("bigint").alias("n12"))

@@ -446,3 +446,8 @@ toks AS (SELECT p.sid, p.pos,
 per AS (SELECT sid, list(tok ORDER BY pos) FILTER (WHERE tok IS NOT NULL) AS w FROM toks GROUP BY sid)
 SELECT s.sid AS item_id, CAST(coalesce(len(p.w), 0) AS BIGINT) AS ntok, coalesce(array_to_string(p.w, ' '), '') AS words
 FROM sb s LEFT JOIN per p ON s.sid = p.sid"""
+
+ORACLES["incremental_counts"] = """
+WITH s AS (SELECT """ + Q.document_tokens_sql("replace(text, chr(10), ' ')") + """ AS words FROM conversations)
+SELECT s.words[t.i] AS w1, s.words[t.i + 1] AS w2, CAST(count(*) AS BIGINT) AS n12
+FROM s, unnest(generate_series(1, len(s.words) - 1)) AS t(i) GROUP BY 1, 2"""
