@@ -28,10 +28,9 @@ def numeric_bucket(df: DataFrame, order_col: str, rows_per_bucket: int | None =
     mean a (group, bucket) holds at most ``width`` rows.
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    st = df.agg(F.min(order_col).alias("mn"), F.max(order_col).alias("mx"), F.count(F.lit(1)).alias("n"))
-    mn = st.select("mn").scalar()
-    mx = st.select("mx").scalar()
-    n = st.select("n").scalar()
+    st = df.agg(F.struct(F.min(order_col).alias("mn"), F.max(order_col).alias("mx"),
+                         F.count(F.lit(1)).alias("n")).alias("s")).scalar()
+    mn, mx, n = st["mn"], st["mx"], st["n"]
     n_buckets = F.greatest(F.lit(1), F.ceil(n / F.lit(rows_per_bucket)))
     width = F.greatest(F.lit(1), F.ceil((mx - mn + 1) / n_buckets))
     return F.floor((F.col(order_col) - mn) / width)
@@ -94,8 +93,9 @@ def average_rank(df: DataFrame, col: str, out_col: str, rows_per_bucket: int | N
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
     freq = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    st = freq.agg(F.min(col).alias("mn"), F.max(col).alias("mx"), F.count(F.lit(1)).alias("n"))
-    mn, mx, n = st.select("mn").scalar(), st.select("mx").scalar(), st.select("n").scalar()
+    st = freq.agg(F.struct(F.min(col).alias("mn"), F.max(col).alias("mx"),
+                           F.count(F.lit(1)).alias("n")).alias("s")).scalar()
+    mn, mx, n = st["mn"], st["mx"], st["n"]
     nb = F.greatest(F.lit(1), F.ceil(n / F.lit(rows_per_bucket)))
     width = (mx - mn) / nb
     b = F.when(width > 0, F.least(F.floor((F.col(col) - mn) / width), nb - 1)).otherwise(F.lit(0))

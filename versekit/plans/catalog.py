@@ -736,11 +736,10 @@ def _lda(spark, sf_dir, seed=7):
 
 @register("lda_fit")
 def lda_fit(spark, sf_dir):
-    """Fitted online LDA summary: log likelihood and log perplexity of the corpus."""
+    """Fitted online LDA summary: log likelihood and log perplexity over the whole corpus."""
     cv, m, bow = _lda(spark, sf_dir)
-    test = bow.filter(F.col("doc_id") % 5 == 0)
-    return spark.createDataFrame([(LDA_K, len(cv.vocabulary), float(m.logLikelihood(test)),
-                                   float(m.logPerplexity(test)))],
+    return spark.createDataFrame([(LDA_K, len(cv.vocabulary), float(m.logLikelihood(bow)),
+                                   float(m.logPerplexity(bow)))],
                                  "k int, vocab int, log_likelihood double, log_perplexity double")
 
 
