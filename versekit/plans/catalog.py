@@ -55,11 +55,13 @@ def track_tags(spark, sf_dir):
 
 @register("word_freq")
 def word_freq(spark, sf_dir, min_count: int = 3):
+    """A1/F2: corpus word counts with count >= 3 (main-class default)."""
     return S.word_freq_counts(Corpus.shared(spark, sf_dir).counts, min_count)
 
 
 @register("track_tf")
 def track_tf(spark, sf_dir):
+    """A3: tf = round(count / distinct words of the track, 4) for every track and word."""
     c = Corpus.shared(spark, sf_dir)
     tf = S.track_tf(c.counts).join(c.index.select("doc_id", "dtag"), "doc_id")
     return tf.select("dtag", "word", "cnt", "uniq", S.as_double(F.col("tf4")).alias("tf"))
@@ -67,12 +69,14 @@ def track_tf(spark, sf_dir):
 
 @register("idf")
 def idf(spark, sf_dir):
+    """Document frequency and round(ln(#tracks / df), 4) of every word."""
     c = Corpus.shared(spark, sf_dir)
     return c.idf.select("word", "df", S.as_double(F.col("idf4")).alias("idf"))
 
 
 @register("tfidf_artist")
 def tfidf_artist(spark, sf_dir):
+    """A10: per artist and word, mean track tf over registry-covered tracks times idf."""
     c = Corpus.shared(spark, sf_dir)
     return c.tfidf_artist.select("genre", "artist", "word", S.as_double(F.col("mtf4")).alias("mean_tf"),
                                  S.as_double(F.col("tfidf4")).alias("tfidf"))
@@ -301,12 +305,14 @@ def vocabulary_size(spark, sf_dir):
 
 @register("artist_tf")
 def artist_tf(spark, sf_dir):
+    """A4: artist tf = word count over the artist / sum of per-track distinct words."""
     c = _c(spark, sf_dir)
     return S.artist_tf(c.counts, c.doc_words).select("genre", "artist", "word", "cnt", "denom", "tf")
 
 
 @register("word_artists")
 def word_artists(spark, sf_dir):
+    """A5: number of artists using each word."""
     return S.word_artists(_c(spark, sf_dir).counts)
 
 
@@ -320,6 +326,7 @@ def idf_mean(spark, sf_dir):
 
 @register("tfidf_track")
 def tfidf_track(spark, sf_dir):
+    """round(track tf x idf, 4) for registry-covered tracks (idf 0 -> mean idf)."""
     c = _c(spark, sf_dir)
     t = S.tfidf_track(c.counts, c.idf, c.covered)
     return t.select("dtag", "word", S.as_double(F.col("tf4")).alias("tf"), S.as_double(F.col("tfidf4")).alias("tfidf"))
@@ -327,6 +334,7 @@ def tfidf_track(spark, sf_dir):
 
 @register("tfidf_artist_simple")
 def tfidf_artist_simple(spark, sf_dir):
+    """round(artist tf x idf, 4) with a zero idf kept."""
     c = _c(spark, sf_dir)
     t = S.tfidf_artist_simple(c.counts, c.doc_words, c.idf)
     return t.select("genre", "artist", "word", S.as_double(F.col("tfidf4")).alias("tfidf"))

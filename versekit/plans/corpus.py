@@ -86,7 +86,8 @@ class Corpus:
 
     @cached_property
     def index(self) -> DataFrame:
-        return TB.track_index(self.documents)
+        """Track tags (one narrow row per track), kept because most queries join it."""
+        return self._keep(TB.track_index(self.documents))
 
     @cached_property
     def reg_sizes(self) -> DataFrame:
