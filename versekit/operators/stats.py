@@ -121,9 +121,12 @@ def track_tf(counts: DataFrame) -> DataFrame:
     return counts.withColumn("tf4", ratio4(F.col("cnt"), F.col("uniq")))
 
 
-def artist_tf(counts: DataFrame, doc_words: DataFrame) -> DataFrame:
-    """A4: Σ count of the word over the artist / Σ over tracks of distinct words (unrounded)."""
-    denom = doc_words.groupBy("genre", "artist").agg(F.sum("uniq").alias("denom"))
+def artist_tf(counts: DataFrame, doc_words: DataFrame | None = None) -> DataFrame:
+    """A4: Σ count of the word over the artist / Σ over tracks of distinct words (unrounded).
+
+    Σ over tracks of distinct words = number of (track, word) rows of the artist,
+    so both parts come from the per-track counts."""
+    denom = counts.groupBy("genre", "artist").agg(F.count(F.lit(1)).alias("denom"))
     num = counts.groupBy("genre", "artist", "word").agg(F.sum("cnt").alias("cnt"))
     return (num.join(denom, ["genre", "artist"])
             .withColumn("tf", (F.col("cnt") / F.col("denom")).cast("double")))

@@ -7,6 +7,8 @@ once per query plan and Spark re-uses their exchange.
 
 from __future__ import annotations
 
+import hashlib
+import os
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -27,11 +29,14 @@ class Corpus:
     session, then clean the text once.  A lost cached block is recomputed
     from lineage, which is deterministic."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, stops=None, persist: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, stops=None, persist: bool | str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.stops = stops
-        self.persist = persist
+        # True / "memory": MEMORY_AND_DISK persist; "table": written parquet tables in the
+        # shared checkpoint folder (cuts lineage, survives executor loss without recompute);
+        # False: nothing kept.  Default from VERSEKIT_KEEP (memory).
+        self.persist = persist if persist is not None else os.environ.get("VERSEKIT_KEEP", "memory")
 
     @classmethod
     def shared(cls, spark: SparkSession, sf_dir: str) -> "Corpus":
@@ -40,8 +45,16 @@ class Corpus:
             _SHARED[key] = cls(spark, sf_dir)
         return _SHARED[key]
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else df
+    def _keep(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        if not self.persist or self.persist == "none":
+            return df
+        if self.persist == "table" and name:
+            from ..session import ensure_checkpoint_dir
+            tag = hashlib.sha1(f"{self.sf_dir}|{self.stops}".encode()).hexdigest()[:12]
+            path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/versekit-{tag}/{name}"
+            df.write.mode("overwrite").parquet(path)
+            return self.spark.read.parquet(path)
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
 
     def table(self, name: str) -> DataFrame:
         return TB.read_table(self.spark, self.sf_dir, name)
@@ -71,7 +84,7 @@ class Corpus:
         while cached ARRAY<STRING> columns are slower to read than re-cleaning."""
         dw = TB.doc_words(self.text_docs, self.stops)
         return self._keep(dw.select("doc_id", "genre", "artist", "ntok", "uniq",
-                                    F.array_join("words", " ").alias("joined")))
+                                    F.array_join("words", " ").alias("joined")), "tokens")
 
     @cached_property
     def doc_words(self) -> DataFrame:
@@ -82,12 +95,12 @@ class Corpus:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return self._keep(S.token_counts(self.doc_words))
+        return self._keep(S.token_counts(self.doc_words), "counts")
 
     @cached_property
     def index(self) -> DataFrame:
         """Track tags (one narrow row per track), kept because most queries join it."""
-        return self._keep(TB.track_index(self.documents))
+        return self._keep(TB.track_index(self.documents), "track_index")
 
     @cached_property
     def reg_sizes(self) -> DataFrame:
@@ -103,20 +116,20 @@ class Corpus:
 
     @cached_property
     def idf(self) -> DataFrame:
-        return self._keep(S.idf(self.counts, self.n_total))
+        return self._keep(S.idf(self.counts, self.n_total), "idf")
 
     @cached_property
     def tfidf_artist(self) -> DataFrame:
-        return self._keep(S.tfidf_artist(self.counts, self.idf, self.covered, self.n_total))
+        return self._keep(S.tfidf_artist(self.counts, self.idf, self.covered, self.n_total), "tfidf_artist")
 
     @cached_property
     def unigrams(self) -> DataFrame:
         """Phrase-model unigram counts of the track corpus."""
         from ..operators import phrases as P
-        return self._keep(P.unigram_counts(self.doc_words))
+        return self._keep(P.unigram_counts(self.doc_words), "unigrams")
 
     @cached_property
     def bigrams(self) -> DataFrame:
         """Phrase-model bigram counts of the track corpus."""
         from ..operators import phrases as P
-        return self._keep(P.bigram_counts(self.doc_words))
+        return self._keep(P.bigram_counts(self.doc_words), "bigrams")
