@@ -156,3 +156,18 @@ def test_lda_save_load_and_album_summary(spark, tmpdir_path):
     assert back.vocabSize() == len(cv.vocabulary)
     albums = spark.createDataFrame([(1, (10, "A", ("X",)), [(1, (100, "S", "u"))])], PL.ALBUM_SCHEMA)
     assert PL.album_summary(albums).first().n_tracks == 1
+
+
+def test_payload_fallbacks(spark):
+    # No album among the first three carries an artist name -> 'unk'
+    albums = spark.createDataFrame([(2, (20, "A", None), [(1, (200, "S", "u"))]),
+                                    (2, (21, "B", None), [])], PL.ALBUM_SCHEMA)
+    at = {r.albumid: r for r in PL.album_tracks(albums).collect()}
+    assert at[20].artist == "unk" and at[21].n_tracks == 0
+    # Exact name beats zero-width-prefixed name beats title case; else first hit
+    hits = [(0, 1, "The Band Tribute"), (1, 2, "the band".title()), (2, 3, "\u200bthe band")]
+    s = spark.createDataFrame([("the band", hits)], PL.SEARCH_SCHEMA)
+    r = PL.resolve_artist(s).first()
+    assert (r.id, r.exact) == (3, True)
+    s2 = spark.createDataFrame([("the band", hits[:2])], PL.SEARCH_SCHEMA)
+    assert PL.resolve_artist(s2).first().id == 2
