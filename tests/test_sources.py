@@ -50,12 +50,12 @@ def test_artist_info_and_clean_corpus(spark, tmpdir_path):
     FS.save_artist_info(rec, os.path.join(tmpdir_path, "art"))
     back = FS.read_artist_info(spark, os.path.join(tmpdir_path, "art")).first()
     assert back.name_cln == "TheBand"
-    tr = spark.createDataFrame([("rock", "BandA", 0, "Hello there world\nok\nThe end came")],
+    tr = spark.createDataFrame([("rock", "BandA", 0, "Hello there world\nok\nrain\nThe end came")],
                                "genre string, artist string, track_no long, text string")
     out = os.path.join(tmpdir_path, "clean")
     FS.write_clean_corpus(tr, out)
     lines = [r.value for r in spark.read.text(out).collect()]
-    assert sorted(lines) == ["end came", "hello world"]
+    assert sorted(lines) == ["end came", "hello world", "rain"]      # 4-char line kept, 2-char line skipped
 
 
 def test_payload_shaping(spark):

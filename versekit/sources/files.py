@@ -123,10 +123,14 @@ def save_text(df: DataFrame, col: str, path: str, mode: str = "overwrite") -> No
     df.select(F.col(col).cast("string").alias("value")).write.mode(mode).text(path)
 
 
-def write_clean_corpus(tracks: DataFrame, path: str) -> None:
-    """Cleaned tracks (one cleaned line per used line) partitioned by genre and artist."""
+def write_clean_corpus(tracks: DataFrame, path: str, min_chars: int = refdata.MIN_LINE_CHARS - 1) -> None:
+    """Cleaned tracks (one cleaned line per used line) partitioned by genre and artist.
+
+    The file cleaner skips a line only when it is shorter than 5 characters
+    counting its newline, i.e. it keeps lines of 4+ visible characters (one
+    fewer than the track reader)."""
     lines = tracks.select("genre", "artist", "track_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.filter(F.length("line") >= refdata.MIN_LINE_CHARS)
+    lines = lines.filter(F.length("line") >= min_chars)
     out = lines.select("genre", "artist", "track_no", "line_no", TX.clean_string("line").alias("value"))
     # range partitioning keeps files in track order and splits a hot artist over several tasks
     keys = ["genre", "artist", "track_no", "line_no"]
