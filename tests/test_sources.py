@@ -67,10 +67,10 @@ def test_payload_shaping(spark):
     assert at[10].artist == "Artist One" and at[10].n_tracks == 2 and at[10].songs[100].endswith("lyrics")
     assert PL.clean_tracks(albums).count() == 3
     fetched = spark.createDataFrame([
-        ("A", 1, "https://genius.com/a-song-lyrics", "x" * 81),
-        ("A", 2, "https://genius.com/b-song-lyrics", "x" * 80),
-        ("A", 3, "https://genius.com/c-song-other", "x" * 200),
-        ("A", 4, "https://genius.com/d-song-lyrics", "y" * 90)], PL.FETCHED_SCHEMA)
+        ("A", 1, "https://site.test1/a-song-lyrics", "x" * 81),
+        ("A", 2, "https://site.test1/b-song-lyrics", "x" * 80),
+        ("A", 3, "https://site.test1/c-song-other", "x" * 200),
+        ("A", 4, "https://site.test1/d-song-lyrics", "y" * 90)], PL.FETCHED_SCHEMA)
     g = sorted((r.song_id, r.track_no, r.title) for r in PL.ingest_gate(fetched).collect())
     assert g == [(1, 0, "a-song"), (4, 1, "d-song")]
     s = spark.createDataFrame([("abba", [(0, 5, "Abba Tribute"), (1, 6, "abba")]), ("x", [(0, 9, "y")]), ("none", [])],
