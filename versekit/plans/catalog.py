@@ -392,11 +392,9 @@ def compare_histogram(spark, sf_dir):
 @register("train_test_split")
 def train_test_split(spark, sf_dir, every: int = 5):
     """Corpus-order ordinal of each track; every ``every``-th track is test."""
-    from ..operators.ordinals import ordinal_after_groups
-    c = _c(spark, sf_dir)
-    j = ordinal_after_groups(c.index, ["genre", "artist"], "track_no", "ordinal")
-    return j.select("dtag", F.col("ordinal").cast("bigint").alias("ordinal"),
-                    ((F.col("ordinal") % every) == 0).alias("is_test"))
+    from ..operators.evaluate import split
+    j = split(_c(spark, sf_dir).index, every)
+    return j.select("dtag", F.col("ordinal").cast("bigint").alias("ordinal"), "is_test")
 
 
 # --------------------------------------------------------------------------- phrases
@@ -586,12 +584,12 @@ def eval_word_pairs(spark, sf_dir):
     """Pearson and Spearman (average ranks) correlation of pair similarity with a
     same-label score."""
     from ..operators import vectors as V
-    from ..operators.ordinals import average_rank
+    from ..operators.evaluate import correlations
     p = _pairs(_emb(spark, sf_dir)).withColumn("sim6", V.r6(F.col("sim")))
-    r = average_rank(average_rank(p, "sim6", "rs"), "human", "rh")
+    # ranks on the 6-digit similarity so ties are the same in every engine
+    c = correlations(p, "sim6", "human").select("n", V.r6(F.col("spearman")).alias("spearman"))
     pear = p.agg(F.count(F.lit(1)).alias("n_pairs"), V.r6(F.corr("sim", "human")).alias("pearson"))
-    spear = r.agg(V.r6(F.corr("rs", "rh")).alias("spearman"))
-    return pear.select("n_pairs", "pearson", spear.select("spearman").scalar().alias("spearman"))
+    return pear.select("n_pairs", "pearson", c.select("spearman").scalar().alias("spearman"))
 
 
 @register("vocab_lookup")
@@ -714,10 +712,9 @@ def kmeans(spark, sf_dir):
 @register("eval_analogies")
 def eval_analogies(spark, sf_dir):
     """Analogy accuracy per label: is the top answer of the label's question in that label."""
-    a = analogy(spark, sf_dir).filter(F.col("rank") == 1)
+    from ..operators.evaluate import analogy_accuracy
     e = _emb(spark, sf_dir).select("vec_id", F.col("label").alias("answer_label"))
-    j = a.join(e, "vec_id")
-    return j.groupBy("label").agg(F.avg((F.col("answer_label") == F.col("label")).cast("double")).alias("accuracy"))
+    return analogy_accuracy(analogy(spark, sf_dir), e, "label")
 
 
 # --------------------------------------------------------------------------- topics
