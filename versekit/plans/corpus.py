@@ -40,10 +40,12 @@ class Corpus:
 
     @classmethod
     def shared(cls, spark: SparkSession, sf_dir: str) -> "Corpus":
-        key = (id(spark), sf_dir)
-        if key not in _SHARED:
-            _SHARED[key] = cls(spark, sf_dir)
-        return _SHARED[key]
+        """One corpus per (running application, folder); a new session gets fresh tables."""
+        key = (spark.sparkContext.applicationId, sf_dir)
+        cur = _SHARED.get(key)
+        if cur is None or cur.spark is not spark:
+            cur = _SHARED[key] = cls(spark, sf_dir)
+        return cur
 
     def _keep(self, df: DataFrame, name: str | None = None) -> DataFrame:
         if not self.persist or self.persist == "none":
