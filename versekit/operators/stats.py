@@ -245,7 +245,8 @@ def hist_bounds(values: DataFrame, value: str, lo: float, key=("genre", "artist"
 
 def histogram(values: DataFrame, value: str, lo: float, key=("genre", "artist")) -> DataFrame:
     """Equal-width counts over [lo, median + 3 std] (numpy ``hist`` bin rule)."""
-    b = hist_bounds(values, value, lo, key)
+    # a group whose range is empty (upper bound <= lower bound) has no histogram
+    b = hist_bounds(values, value, lo, key).filter(F.col("hi") > F.col("lo"))
     j = values.join(b, list(key))
     j = j.filter((F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))
     width = (F.col("hi") - F.col("lo")) / F.col("n_bins")

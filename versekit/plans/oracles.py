@@ -256,7 +256,7 @@ bd AS (SELECT genre, artist, """ + repr(lo) + """ AS lo, med + sd * 3 AS hi,
 SELECT v.genre, v.artist, CAST(least(floor((v.v - b.lo) / ((b.hi - b.lo) / b.n_bins)), b.n_bins - 1) AS BIGINT) AS bin,
        CAST(count(*) AS BIGINT) AS cnt
 FROM vals v JOIN bd b ON v.genre = b.genre AND v.artist = b.artist
-WHERE v.v >= b.lo AND v.v <= b.hi GROUP BY 1, 2, 3"""
+WHERE b.hi > b.lo AND v.v >= b.lo AND v.v <= b.hi GROUP BY 1, 2, 3"""
 
 
 ORACLES["tfidf_histogram"] = _hist_sql(BASE + ",\n" + Q.TFIDF_ARTIST + """,
