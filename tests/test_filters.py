@@ -88,3 +88,14 @@ def test_outliers_and_extra_training(spark):
     extra = {r.doc_id: list(r.words) for r in FL.extra_training_filter(dw, ta).collect()}
     for d, _, art, t in rows:
         assert extra[d] == [w for w in _tokens(t) if vals[art].get(w, 0) > 0.0299]
+
+
+def test_drop_outliers_keeps_the_rest(spark):
+    rows = [("g", "a", f"w{i}", v) for i, v in enumerate([1, 5, 5, 6, 7, 8, 9, 9, 10, 400])]
+    ta = spark.createDataFrame(rows, "genre string, artist string, word string, tfidf4 long")
+    kept = sorted(r.tfidf4 for r in FL.drop_outliers(ta).collect())
+    v = np.array([r[3] for r in rows], dtype=float)
+    hi, lo = np.percentile(v, 98), np.percentile(v, 2)
+    assert kept == sorted(int(x) for x in v if lo <= x <= hi)
+    s = FL.tfidf_outliers(ta).first()
+    assert s.removed == len(rows) - len(kept) and s.removed_frac == round(s.removed / len(rows), 3)

@@ -62,7 +62,7 @@ def tfidf_filter(doc_words: DataFrame, counts: DataFrame, idf_df: DataFrame, tfi
              .withColumn("cut10", F.coalesce("cut10", F.lit(0))))
     # cnt/uniq * idf4/1e4 > cut10/1e5  <=>  10 * cnt * idf4 > cut10 * uniq   (exact integers)
     keep_idf = F.col("cnt") * F.col("idf4") * 10 > F.col("cut10") * F.col("uniq")
-    mean = sums.cast("double") / nw
+    mean = F.try_divide(sums.cast("double"), nw)
     keep_mean = F.col("cnt") * mean * 10 > (F.col("cut10") * F.col("uniq")).cast("double")
     keep = F.when(F.coalesce("idf4", F.lit(0)) != 0, keep_idf).otherwise(keep_mean)
     kept_pairs = pairs.filter(keep).select("doc_id", "word")
@@ -70,18 +70,30 @@ def tfidf_filter(doc_words: DataFrame, counts: DataFrame, idf_df: DataFrame, tfi
     return regroup(kept.select("doc_id", "pos", "word"))
 
 
-def tfidf_outliers(tfidf_artist: DataFrame, lo: int = refdata.OUTLIER_LO_PCT,
-                   hi: int = refdata.OUTLIER_HI_PCT) -> DataFrame:
-    """per artist, values above the hi-th or below the lo-th percentile are removed.
-
-    Returns (genre, artist, vocab, removed, removed_frac) and is joined back
-    on the artist key to flag rows (see ``outlier_rows``)."""
+def _outlier_flags(tfidf_artist: DataFrame, lo: int, hi: int):
     b = tfidf_artist.groupBy("genre", "artist").agg(
         pct_numerator(F.col("tfidf4"), lo, 100).alias("lo100"),
         pct_numerator(F.col("tfidf4"), hi, 100).alias("hi100"),
         F.count(F.lit(1)).alias("vocab"))
     j = tfidf_artist.join(b, ["genre", "artist"])
     out = (F.col("tfidf4") * 100 > F.col("hi100")) | (F.col("tfidf4") * 100 < F.col("lo100"))
+    return j, out
+
+
+def drop_outliers(tfidf_artist: DataFrame, lo: int = refdata.OUTLIER_LO_PCT,
+                  hi: int = refdata.OUTLIER_HI_PCT) -> DataFrame:
+    """the artist tf-idf rows that remain after removing each artist's outliers."""
+    j, out = _outlier_flags(tfidf_artist, lo, hi)
+    return j.filter(~out).select(*tfidf_artist.columns)
+
+
+def tfidf_outliers(tfidf_artist: DataFrame, lo: int = refdata.OUTLIER_LO_PCT,
+                   hi: int = refdata.OUTLIER_HI_PCT) -> DataFrame:
+    """per artist, values above the hi-th or below the lo-th percentile are removed.
+
+    Returns (genre, artist, vocab, removed, removed_frac); ``drop_outliers``
+    returns the remaining rows themselves."""
+    j, out = _outlier_flags(tfidf_artist, lo, hi)
     per = j.groupBy("genre", "artist").agg(F.max("vocab").alias("vocab"),
                                            F.sum(F.when(out, 1).otherwise(0)).cast("bigint").alias("removed"))
     frac = S.idiv(F.col("removed") * 2000 + F.col("vocab"), F.col("vocab") * 2) / F.lit(1000.0)

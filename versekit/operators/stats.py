@@ -151,7 +151,7 @@ def idf(counts: DataFrame, n_total: Column) -> DataFrame:
 
 def idf_mean4(idf_df: DataFrame) -> Column:
     """Mean idf in ten-thousandths as a DOUBLE scalar (Σ idf4 / #words)."""
-    return scalar(idf_df.agg((F.sum("idf4").cast("double") / F.count(F.lit(1))).alias("m")))
+    return scalar(idf_df.agg(F.try_divide(F.sum("idf4").cast("double"), F.count(F.lit(1))).alias("m")))
 
 
 # --------------------------------------------------------------------------- A8 / A9 / A10

@@ -32,8 +32,9 @@ def norm(arr: Column) -> Column:
 
 
 def unit(arr: Column) -> Column:
+    """Unit-length vector; a zero vector gives NULL components (no ANSI division error)."""
     n = norm(arr)
-    return F.transform(arr, lambda x: x.cast("double") / n)
+    return F.transform(arr, lambda x: F.try_divide(x.cast("double"), n))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,7 +43,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Cosine similarity; NULL when either vector is all zeros."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def to_long(vecs: DataFrame, key: str, vec: str) -> DataFrame:

@@ -321,7 +321,7 @@ def idf_mean(spark, sf_dir):
     """Mean idf over the vocabulary."""
     i = _c(spark, sf_dir).idf
     return i.agg(F.sum("idf4").alias("sum_idf4"), F.count(F.lit(1)).alias("n_words")).select(
-        "sum_idf4", "n_words", (F.col("sum_idf4") / F.col("n_words") / F.lit(10000.0)).alias("idf_mean"))
+        "sum_idf4", "n_words", (F.try_divide(F.col("sum_idf4"), F.col("n_words")) / F.lit(10000.0)).alias("idf_mean"))
 
 
 @register("tfidf_track")
