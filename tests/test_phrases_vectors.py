@@ -41,3 +41,20 @@ def test_top_k_similar_exact(spark):
         want = list(np.argsort(-sims[j], kind="stable")[:7])
         have = [r.id for r in sorted([r for r in got if r.q == j], key=lambda r: r.rank)]
         assert have == want
+
+
+def test_relaxed_wmd_bruteforce(spark):
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(12)]
+    vecs = {w: rng.normal(size=5) for w in words}
+    wv = spark.createDataFrame([(w, v.tolist()) for w, v in vecs.items()], "word string, v array<double>")
+    a = {"w0": 2.0, "w1": 1.0, "w2": 1.0}
+    b = {"w3": 1.0, "w4": 3.0}
+    rows = [(7, 0, w, x) for w, x in a.items()] + [(7, 1, w, x) for w, x in b.items()]
+    pairs = spark.createDataFrame(rows, "pair long, side int, word string, w double")
+    got = V.relaxed_wmd(pairs, "pair", "side", wv).first().rwmd
+    u = {w: v / np.linalg.norm(v) for w, v in vecs.items()}
+    def one(x, y):
+        tot = sum(x.values())
+        return sum(wx / tot * min(np.linalg.norm(u[k] - u[j]) for j in y) for k, wx in x.items())
+    assert abs(got - max(one(a, b), one(b, a))) < 1e-12

@@ -152,3 +152,38 @@ def top_k_similar(keys: DataFrame, key: str, vec: str, queries: DataFrame, qkey:
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(F.col("q").alias(qkey), F.col("rank").cast("bigint").alias("rank"),
                     F.col("k").alias(key), "sim"))
+
+
+def relaxed_wmd(pairs: DataFrame, pair: str, side: str, word_vecs: DataFrame, weight: str = "w") -> DataFrame:
+    """Relaxed word mover's distance (Kusner et al. 2015) of every sentence pair.
+
+    ``pairs``: (pair, side in {0, 1}, word, w) — the normalised bag-of-words
+    weight of each distinct word of each side.  Vectors are unit length (as
+    the original's default ``norm=True``); the distance is
+    max(sum_a w_a min_b |a - b|, sum_b w_b min_a |a - b|).  One group is one
+    sentence pair, bounded by the two sentences; the |A| x |B| distances are
+    computed in numpy inside the task and never emitted as rows.  Pairs with
+    a side that has no known word get NULL.
+    """
+    wv = word_vecs.select("word", F.col("v"))
+    j = pairs.join(wv, "word").select(pair, side, "word", weight, "v")
+
+    def rwmd(pdf: pd.DataFrame) -> pd.DataFrame:
+        pid = pdf[pair].iloc[0]
+        a = pdf[pdf[side] == 0]
+        b = pdf[pdf[side] == 1]
+        if len(a) == 0 or len(b) == 0:
+            return pd.DataFrame({pair: [pid], "rwmd": [None]})
+        ma = np.stack([np.asarray(v, dtype=np.float64) for v in a["v"]])
+        mb = np.stack([np.asarray(v, dtype=np.float64) for v in b["v"]])
+        ma = ma / np.maximum(np.linalg.norm(ma, axis=1, keepdims=True), 1e-300)
+        mb = mb / np.maximum(np.linalg.norm(mb, axis=1, keepdims=True), 1e-300)
+        d = np.sqrt(np.maximum(((ma[:, None, :] - mb[None, :, :]) ** 2).sum(axis=2), 0.0))
+        wa = a[weight].to_numpy(dtype=np.float64)
+        wb = b[weight].to_numpy(dtype=np.float64)
+        wa, wb = wa / wa.sum(), wb / wb.sum()
+        val = max(float((wa * d.min(axis=1)).sum()), float((wb * d.min(axis=0)).sum()))
+        return pd.DataFrame({pair: [pid], "rwmd": [val]})
+
+    ptype = dict(pairs.dtypes)[pair]
+    return j.groupBy(pair).applyInPandas(rwmd, f"{pair} {ptype}, rwmd double")

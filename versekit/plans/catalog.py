@@ -864,3 +864,21 @@ def incremental_counts(spark, sf_dir, n_files: int = 4):
     q.awaitTermination()
     _, bi = ST.merged_counts(spark, base + "/out")
     return bi.select("w1", "w2", F.col("n12").cast("bigint").alias("n12"))
+
+
+@register("relaxed_wmd")
+def relaxed_wmd(spark, sf_dir):
+    """Relaxed word mover's distance between consecutive benchmark sentences
+    (item i vs item i + 1) with the trained word vectors."""
+    from ..operators import models as M
+    from ..operators import vectors as V
+    s = _sentences(spark, sf_dir, "benchmark")
+    bag = (S.explode_words(s, "sid").groupBy("sid", "word").agg(F.count(F.lit(1)).alias("c")))
+    side_a = bag.select(F.col("sid").alias("pair"), F.lit(0).alias("side"), "word", F.col("c").cast("double").alias("w"))
+    side_b = bag.select((F.col("sid") - 1).alias("pair"), F.lit(1).alias("side"), "word", F.col("c").cast("double").alias("w"))
+    ids = s.select(F.col("sid").alias("pair"))
+    pairs = side_a.unionByName(side_b).join(ids, "pair", "left_semi") \
+        .join(ids.select((F.col("pair") - 1).alias("pair")), "pair", "left_semi")
+    out = V.relaxed_wmd(pairs, "pair", "side", M.word_vectors(_w2v(spark, sf_dir)))
+    return out.select(F.col("pair").alias("item_a"), (F.col("pair") + 1).alias("item_b"),
+                      V.r6(F.col("rwmd")).alias("rwmd"))
