@@ -171,3 +171,12 @@ def test_payload_fallbacks(spark):
     assert (r.id, r.exact) == (3, True)
     s2 = spark.createDataFrame([("the band", hits[:2])], PL.SEARCH_SCHEMA)
     assert PL.resolve_artist(s2).first().id == 2
+
+
+def test_registry_past_999(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "reg1000")
+    rows = [("rock", "Band9", f"Band9{i:03d}", f"t{i}") for i in range(1003)]
+    e = spark.createDataFrame(rows, "genre string, artist string, dtag string, title string")
+    FS.append_registry(spark, e, path)
+    got = {r.dtag: (r.artist, r.track_no) for r in FS.read_registry(spark, path).collect()}
+    assert got["Band91000"] == ("Band9", 1000) and got["Band9007"] == ("Band9", 7) and len(got) == 1003

@@ -78,11 +78,19 @@ def read_lines(spark: SparkSession, path: str, split_words: bool = True) -> Data
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of {dtag: title} maps -> (genre, artist, track_no, dtag, title)."""
     raw = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("_fp"))
-    m = raw.select("_fp", F.explode(F.from_json("value", "map<string,string>")).alias("dtag", "title"))
+    # one JSON object per artist and append, entries in track order: when a tag ends
+    # with its entry position (zero padded) that position is the ordinal, so ordinals
+    # past 999 stay correct; otherwise the last three digits are (the original rule)
+    m = raw.select("_fp", F.posexplode(F.from_json("value", "map<string,string>")).alias("pos", "dtag", "title"))
     genre = F.regexp_extract("_fp", r"genre=([^/]+)", 1)
-    return m.select(F.when(genre != "", genre).alias("genre"),
-                    F.expr("substring(dtag, 1, length(dtag) - 3)").alias("artist"),
-                    F.expr("cast(substring(dtag, -3) as bigint)").alias("track_no"), "dtag", "title")
+    suffix = F.format_string("%03d", F.col("pos"))
+    fits = F.col("dtag").endswith(suffix)
+    artist = F.when(fits, F.expr("substring(dtag, 1, length(dtag) - length(format_string('%03d', pos)))")) \
+        .otherwise(F.expr("substring(dtag, 1, length(dtag) - 3)"))
+    # an object appended later starts at position 0: there the tag's last three digits decide
+    track_no = F.when(fits, F.col("pos")).otherwise(F.expr("cast(substring(dtag, -3) as bigint)"))
+    return m.select(F.when(genre != "", genre).alias("genre"), artist.alias("artist"),
+                    track_no.cast("bigint").alias("track_no"), "dtag", "title")
 
 
 def append_registry(spark: SparkSession, entries: DataFrame, path: str) -> DataFrame:
@@ -98,7 +106,9 @@ def append_registry(spark: SparkSession, entries: DataFrame, path: str) -> DataF
     except Exception:  # noqa: BLE001 - first write: nothing to de-duplicate against
         pass
     per = (new.groupBy("genre", "artist")
-           .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dtag", "title")))).alias("m")))
+           .agg(F.map_from_entries(F.transform(
+               F.array_sort(F.collect_list(F.struct(F.length("dtag").alias("n"), "dtag", "title"))),
+               lambda e: F.struct(e["dtag"], e["title"]))).alias("m")))
     per.select("genre", F.to_json("m").alias("value")).write.mode("append").partitionBy("genre").text(path)
     return new
 
