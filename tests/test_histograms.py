@@ -1,7 +1,6 @@
 """A14-A16 histograms against numpy's histogram on 4-digit values."""
 import numpy as np
 
-from pyspark.sql import functions as F
 
 from versekit.operators import stats as S
 

@@ -2,7 +2,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from versekit.sources import files as FS
 from versekit.sources import payloads as PL
@@ -149,7 +148,7 @@ def test_lda_save_load_and_album_summary(spark, tmpdir_path):
     docs = spark.createDataFrame([(i, ["sun", "moon", "star", "rain"][i % 4:] + ["sky"]) for i in range(12)],
                                  "doc_id long, words array<string>")
     cv = TP.fit_dictionary(docs, 1, 1.0)
-    m = TP.fit_lda(cv.transform(docs), k=2, max_iter=2, seed=1)
+    m = TP.fit_lda(cv.transform(docs), k=2, max_iter=2, seed=1)  # explicit iteration count
     p = os.path.join(tmpdir_path, "lda")
     FS.save_model(m, p)
     back = FS.load_lda(p)

@@ -735,7 +735,7 @@ def _lda(spark, sf_dir, seed=7):
         cv = cache.get("cv") or TP.fit_dictionary(docs, LDA_MIN_DF, 0.5)
         cache["cv"] = cv
         bow = cv.transform(docs)
-        cache[key] = (cv, TP.fit_lda(bow, LDA_K, 10, seed), bow)
+        cache[key] = (cv, TP.fit_lda(bow, LDA_K, passes=4, seed=seed), bow)
     return cache[key]
 
 

@@ -32,16 +32,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
     A many-file table on a cluster already scans in parallel and is returned
     unchanged (no shuffle); a single unsplittable file (one parquet row group)
-    would otherwise run all text work in one task.  The spread hashes
-    ``xxhash64(key)`` rather than ``key`` on purpose: the per-track token
-    aggregation then keeps its own exchange, which Spark re-uses between the
-    branches of a plan, so the text is cleaned once per query.
+    would otherwise run all text work in one task.  Spreading by the track
+    key itself lets later per-track aggregates and joins on the key reuse
+    this partitioning instead of shuffling again (the cleaned tokens are
+    cached, so no branch repeats the cleaning).
     """
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target, F.xxhash64(key))
+    return df.repartition(target, key)
 
 
 def dtag_col(genre: Column | str, artist: Column | str, ordinal: Column | str) -> Column:
