@@ -1,0 +1 @@
+"""Structured Streaming jobs for incremental corpus updates."""
