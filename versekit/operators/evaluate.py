@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ def split(index: DataFrame, every: int = 5, group=("genre", "artist"), within: s
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, pearson, spearman); Spearman is Pearson on average ranks
     (ties share the mean rank), ranks from ``ordinals.average_rank``."""
+    # the rank plans read ``df`` several times (scalar bounds, buckets, join back): keep it once
+    df = df.select(x, y).persist(StorageLevel.MEMORY_AND_DISK)
     r = average_rank(average_rank(df, x, "_rx"), y, "_ry")
     pear = df.agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("pearson"))
     spear = r.agg(F.corr("_rx", "_ry").alias("s"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,7 +93,8 @@ def average_rank(df: DataFrame, col: str, out_col: str, rows_per_bucket: int | N
     bucket, so no task sorts the whole table.  Returns ``df`` plus ``out_col``.
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    freq = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    # the distinct-value table feeds the bounds, the buckets and the join back: keep it once
+    freq = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c")).persist(StorageLevel.MEMORY_AND_DISK)
     st = freq.agg(F.struct(F.min(col).alias("mn"), F.max(col).alias("mx"),
                            F.count(F.lit(1)).alias("n")).alias("s")).scalar()
     mn, mx, n = st["mn"], st["mx"], st["n"]
