@@ -861,7 +861,7 @@ def incremental_counts(spark, sf_dir, n_files: int = 4):
      .withColumn("text", F.regexp_replace("text", "\n", " "))
      .write.partitionBy("part").text(base + "/in"))
     q = ST.start_incremental_counts(spark, base + "/in/*", base + "/out", base + "/ck", max_files_per_trigger=1)
-    q.awaitTermination()
+    ST.run_to_completion(q)
     _, bi = ST.merged_counts(spark, base + "/out")
     return bi.select("w1", "w2", F.col("n12").cast("bigint").alias("n12"))
 

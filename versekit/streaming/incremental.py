@@ -81,3 +81,14 @@ def start_registry_appends(spark: SparkSession, in_dir: str, registry_dir: str,
 
     return (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def run_to_completion(query, timeout_s: float = 1800.0) -> None:
+    """Wait for an ``availableNow`` query; stop it and raise if it does not finish in time
+    or failed (a stuck stream must not hang the caller)."""
+    done = query.awaitTermination(timeout_s)
+    if not done:
+        query.stop()
+        raise TimeoutError(f"streaming query {query.id} did not finish in {timeout_s:.0f} s")
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
