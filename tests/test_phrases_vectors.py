@@ -58,3 +58,19 @@ def test_relaxed_wmd_bruteforce(spark):
         tot = sum(x.values())
         return sum(wx / tot * min(np.linalg.norm(u[k] - u[j]) for j in y) for k, wx in x.items())
     assert abs(got - max(one(a, b), one(b, a))) < 1e-12
+
+
+def test_top_k_similar_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(V, "MAX_BROADCAST_BYTES", 400)   # forces several query chunks
+    rng = np.random.default_rng(2)
+    keys = rng.normal(size=(120, 6))
+    qs = rng.normal(size=(9, 6))
+    kdf = spark.createDataFrame([(i, keys[i].tolist()) for i in range(120)], "id long, v array<double>").repartition(3)
+    qdf = spark.createDataFrame([(10 * j, qs[j].tolist()) for j in range(9)], "q long, v array<double>")
+    got = V.top_k_similar(kdf, "id", "v", qdf, "q", "v", 4).collect()
+    kn = keys / np.linalg.norm(keys, axis=1, keepdims=True)
+    qn = qs / np.linalg.norm(qs, axis=1, keepdims=True)
+    for j in range(9):
+        want = list(np.argsort(-(qn[j] @ kn.T), kind="stable")[:4])
+        have = [r.id for r in sorted([r for r in got if r.q == 10 * j], key=lambda r: r.rank)]
+        assert have == want, j

@@ -14,6 +14,8 @@ global top-k.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -90,28 +92,36 @@ def top_k_similar(keys: DataFrame, key: str, vec: str, queries: DataFrame, qkey:
         excl = exclude.select(F.col(qkey).alias("q"), F.col(key).alias("k")).distinct()
         extra = excl.groupBy("q").count().agg(F.max("count")).first()[0] or 0
     cols = [F.col(qkey).alias("q"), F.col(qvec).alias("v")] + ([F.col(neg).alias("n")] if neg else [])
-    # the query side is a bounded set: plan it once, then read its ids and sizes in one job
+    # the query side is planned once; its total serialized size decides how many
+    # broadcast-sized chunks it needs.  Chunks are id ranges cut at approximate
+    # quantiles (targeting half the budget each), so the driver only ever holds
+    # the chunk boundaries, never the list of query ids.
     qs = queries.select(*cols).persist()
-    payload = F.length(F.to_json(F.struct(*[c for c in qs.columns if c != "q"]))).alias("b")
-    meta = sorted((r.q, r.b) for r in qs.select("q", payload).collect())
-    chunks, cur, size = [], [], 0
-    for q, b in meta:  # cut into chunks whose serialized size stays under the broadcast budget
-        if cur and size + b > MAX_BROADCAST_BYTES:
-            chunks.append(cur)
-            cur, size = [], 0
-        cur.append(q)
-        size += b
-    if cur:
-        chunks.append(cur)
+    payload = F.length(F.to_json(F.struct(*[c for c in qs.columns if c != "q"])))
+    total = qs.agg(F.sum(payload).alias("b")).first()["b"] or 0
+    n_chunks = max(1, int(math.ceil(total / (MAX_BROADCAST_BYTES / 2))))
+    if n_chunks == 1:
+        chunks = [(None, None)]
+    else:
+        cuts = sorted(set(qs.approxQuantile("q", [i / n_chunks for i in range(1, n_chunks)], 1e-4)))
+        edges = [None] + cuts + [None]
+        chunks = list(zip(edges[:-1], edges[1:]))
     kk_want = k + int(extra)
 
     def unit_rows(m):
         return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-300)
 
     outs = []
-    for part in chunks:
-        # chunks are contiguous in query-id order, so a range filter selects one exactly
-        qpd = qs.filter((F.col("q") >= F.lit(part[0])) & (F.col("q") <= F.lit(part[-1]))).toPandas()
+    for lo, hi in chunks:
+        # (lo, hi] id ranges partition the query set exactly
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.col("q") > F.lit(lo))
+        if hi is not None:
+            cond = cond & (F.col("q") <= F.lit(hi))
+        qpd = qs.filter(cond).toPandas()
+        if len(qpd) == 0:
+            continue
         qid = qpd["q"].to_numpy()
         if mode == "cos":
             qmat = unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in qpd["v"]]))
