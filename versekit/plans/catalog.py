@@ -882,3 +882,12 @@ def relaxed_wmd(spark, sf_dir):
     out = V.relaxed_wmd(pairs, "pair", "side", M.word_vectors(_w2v(spark, sf_dir)))
     return out.select(F.col("pair").alias("item_a"), (F.col("pair") + 1).alias("item_b"),
                       V.r6(F.col("rwmd")).alias("rwmd"))
+
+
+@register("tfidf_trimmed")
+def tfidf_trimmed(spark, sf_dir):
+    """the artist tf-idf table after removing each artist's values above the 98th or
+    below the 2nd percentile."""
+    from ..operators import filters as FL
+    t = FL.drop_outliers(_c(spark, sf_dir).tfidf_artist)
+    return t.select("genre", "artist", "word", S.as_double(F.col("tfidf4")).alias("tfidf"))

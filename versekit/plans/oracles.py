@@ -451,3 +451,11 @@ ORACLES["incremental_counts"] = """
 WITH s AS (SELECT """ + Q.document_tokens_sql("replace(text, chr(10), ' ')") + """ AS words FROM conversations)
 SELECT s.words[t.i] AS w1, s.words[t.i + 1] AS w2, CAST(count(*) AS BIGINT) AS n12
 FROM s, unnest(generate_series(1, len(s.words) - 1)) AS t(i) GROUP BY 1, 2"""
+
+ORACLES["tfidf_trimmed"] = BASE + ",\n" + Q.TFIDF_ARTIST + """,
+b AS (SELECT genre, artist, CAST(round(quantile_cont(tfidf4, 0.02) * 100, 0) AS BIGINT) AS lo100,
+             CAST(round(quantile_cont(tfidf4, 0.98) * 100, 0) AS BIGINT) AS hi100
+      FROM tfidf_artist GROUP BY genre, artist)
+SELECT t.genre, t.artist, t.word, t.tfidf4 / 10000.0 AS tfidf
+FROM tfidf_artist t JOIN b ON t.genre = b.genre AND t.artist = b.artist
+WHERE NOT (t.tfidf4 * 100 > b.hi100 OR t.tfidf4 * 100 < b.lo100)"""
