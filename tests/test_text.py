@@ -82,3 +82,33 @@ def test_names(spark):
     df = spark.createDataFrame([("Guns N’ Roses",), ("AC/DC",)], "n string")
     r = df.select(T.clean_name("n").alias("a"), T.file_safe_name("n").alias("b")).collect()
     assert r[0].a == "GunsN'Roses" and r[1].b == "AC-DC"
+
+
+def test_clean_tokens_random_strings(spark):
+    """Random lines over the characters the cleaner treats specially vs the brute force."""
+    import random
+    rnd = random.Random(11)
+    pieces = ["don't", "its", "bits", "Can't", "whos r", "[x]", "[", "]", "word12", "12", "’", "“", "—", "​",
+              "a", "the", "Ö", "ü", "x y", "\t", "  ", "it'll've", "y'all", "mo'", "o'clock", ".", ",", "!",
+              "(", ")", "/", "-", '"', "rain", "RAIN", "e1", "Z9", "'em", "'cause"]
+    lines = ["".join(rnd.choice(pieces) + rnd.choice(["", " ", ""]) for _ in range(rnd.randint(0, 14)))
+             for _ in range(300)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "i int, line string")
+    got = {r.i: list(r.t) for r in df.select("i", T.clean_tokens("line").alias("t")).collect()}
+    for i, s in enumerate(lines):
+        assert got[i] == py_clean(s), (s, got[i], py_clean(s))
+
+
+def test_document_tokens_random_texts(spark):
+    import random
+    rnd = random.Random(12)
+    words = ["rain", "its", "don't", "ab", "x", "word7", "[note]", "the", "Café", "naïve", "   ", "’tis"]
+    docs = []
+    for _ in range(80):
+        lines = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 6))) for _ in range(rnd.randint(0, 8))]
+        docs.append("\n".join(lines))
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, text string")
+    got = {r.i: list(r.t) for r in df.select("i", T.document_tokens("text").alias("t")).collect()}
+    for i, d in enumerate(docs):
+        want = [w for line in d.split("\n") if len(line) >= 5 for w in py_clean(line)]
+        assert got[i] == want, (d, got[i], want)
