@@ -74,3 +74,41 @@ def test_top_k_similar_many_chunks(spark, monkeypatch):
         want = list(np.argsort(-(qn[j] @ kn.T), kind="stable")[:4])
         have = [r.id for r in sorted([r for r in got if r.q == 10 * j], key=lambda r: r.rank)]
         assert have == want, j
+
+
+def test_phrase_scores_bruteforce(spark):
+    import random
+    rnd = random.Random(4)
+    vocab = ["new", "york", "city", "red", "wine", "blue", "sky", "a", "b", "c"]
+    sents = [[rnd.choice(vocab) for _ in range(rnd.randint(0, 12))] for _ in range(200)]
+    sents += [["new", "york"]] * 30 + [["red", "wine", "now"]] * 25
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sents)], "sid long, words array<string>")
+    got = {(r.w1, r.w2): (r.n12, r.score) for r in P.score(P.unigram_counts(df), P.bigram_counts(df), 10, 5.0).collect()}
+    uni, bi = {}, {}
+    for s in sents:
+        for w in s:
+            uni[w] = uni.get(w, 0) + 1
+        for a, b in zip(s, s[1:]):
+            bi[(a, b)] = bi.get((a, b), 0) + 1
+    V_ = len(uni) + len(bi)
+    want = {}
+    for (a, b), n in bi.items():
+        sc = (n - 10) * V_ / (uni[a] * uni[b])
+        if n > 10 and sc > 5.0:
+            want[(a, b)] = (n, sc)
+    assert set(got) == set(want)
+    for k, (n, sc) in want.items():
+        assert got[k][0] == n and abs(got[k][1] - sc) < 1e-9
+
+
+def test_apply_phrases_random(spark):
+    import random
+    rnd = random.Random(9)
+    vocab = ["a", "b", "c", "d"]
+    phr = {("a", "b"), ("b", "a"), ("c", "c"), ("d", "a")}
+    sents = [(i, [rnd.choice(vocab) for _ in range(rnd.randint(0, 15))]) for i in range(150)]
+    s = spark.createDataFrame(sents, "sid long, words array<string>")
+    p = spark.createDataFrame(list(phr), "w1 string, w2 string")
+    got = {r.sid: list(r.words) for r in P.apply_phrases(s, p, "sid").collect()}
+    for sid, ws in sents:
+        assert got[sid] == py_apply(ws, phr), (ws, got[sid])
