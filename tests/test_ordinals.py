@@ -25,3 +25,16 @@ def test_dense_rank_strings(spark):
     got = {r.word: r.term_id for r in O.dense_rank_strings(df).collect()}
     want = {w: i for i, w in enumerate(sorted(set(words), key=lambda s: s.encode()))}
     assert got == want
+
+
+def test_average_rank_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(O, "ROWS_PER_BUCKET", 5)          # many value buckets
+    rnd = random.Random(8)
+    vals = [rnd.choice([0.1, 0.25, 0.25, 0.5, 0.7, 0.7, 0.7, -0.3]) + rnd.randint(0, 6) for _ in range(200)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i long, v double")
+    got = {r.i: r.r for r in O.average_rank(df, "v", "r").collect()}
+    order = sorted(vals)
+    for i, v in enumerate(vals):
+        less = sum(1 for x in order if x < v)
+        ties = sum(1 for x in order if x == v)
+        assert got[i] == less + (ties + 1) / 2.0
