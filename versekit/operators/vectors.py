@@ -49,10 +49,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def to_long(vecs: DataFrame, key: str, vec: str) -> DataFrame:
-    return vecs.select(key, F.posexplode(vec).alias("dim", "x"))
-
-
 def group_mean(vecs: DataFrame, group: str, vec: str, weight: str | None = None) -> DataFrame:
     """(group, vec): per-dimension (weighted) mean of the group's vectors."""
     cols = [group, F.posexplode(vec).alias("dim", "x")] + ([weight] if weight else [])
