@@ -25,16 +25,17 @@ ROWS_PER_BUCKET = 1_000_000
 def numeric_bucket(df: DataFrame, order_col: str, rows_per_bucket: int | None = None) -> Column:
     """floor((k - min) / width) with width chosen so a bucket holds <= rows_per_bucket keys.
 
-    min, max and count are scalar subqueries (no join); unique keys per group
+    min and width are scalar subqueries (no join); unique keys per group
     mean a (group, bucket) holds at most ``width`` rows.
     """
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    st = df.agg(F.struct(F.min(order_col).alias("mn"), F.max(order_col).alias("mx"),
-                         F.count(F.lit(1)).alias("n")).alias("s")).scalar()
-    mn, mx, n = st["mn"], st["mx"], st["n"]
+    k, n = F.col(order_col), F.count(F.lit(1))
     n_buckets = F.greatest(F.lit(1), F.ceil(n / F.lit(rows_per_bucket)))
-    width = F.greatest(F.lit(1), F.ceil((mx - mn + 1) / n_buckets))
-    return F.floor((F.col(order_col) - mn) / width)
+    width = F.greatest(F.lit(1), F.ceil((F.max(k) - F.min(k) + 1) / n_buckets))
+    # two scalar subqueries (lower bound, width); no join
+    mn = df.agg(F.min(k)).scalar()
+    w = df.agg(width).scalar()
+    return F.floor((k - mn) / w)
 
 
 def prefix_bucket(order_col: str, chars: int = 3) -> Column:
