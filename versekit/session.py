@@ -30,15 +30,21 @@ def get_session(master: str | None = None, app: str = "versekit", shuffle_partit
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; set a scratch one only when unset (tests)."""
-    cur = spark.sparkContext.getCheckpointDir()
-    if cur:
+    """The shared checkpoint folder that the session names in ``spark.checkpoint.dir``.
+
+    A folder of this machine is set only where a local master makes driver and
+    executors one process; on a cluster a session without the setting is an error.
+    """
+    sc = spark.sparkContext
+    if cur := sc.getCheckpointDir():
         return cur
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="versekit-ckpt-", dir=os.environ.get("VERSEKIT_SCRATCH", "/tmp"))
-    spark.sparkContext.setCheckpointDir(conf)
-    return spark.sparkContext.getCheckpointDir() or conf
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        conf = tempfile.mkdtemp(prefix="versekit-ckpt-", dir=os.environ.get("VERSEKIT_SCRATCH"))
+    sc.setCheckpointDir(conf)
+    return sc.getCheckpointDir() or conf
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
