@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versekit.llm import lengths, packing, sharding, urls, wavelet
+from versekit.llm import lengths, packing, quality, sharding, urls, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 SEQUENCE_TOKENS = 2048
 
 
+def op1_kneser_ney_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.histogram_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
     return placed.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
@@ -43,6 +47,6 @@ def op9_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_histogram_sort, op4_length_histogram, op5_redirect_equivalence, op8_best_two_fit, op9_wavelet_matrix)}
+    f.__name__: f for f in (op1_kneser_ney_bands, op2_histogram_sort, op4_length_histogram, op5_redirect_equivalence, op8_best_two_fit, op9_wavelet_matrix)}
 
 ORACLES: dict[str, str] = {}
