@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versekit.llm import lengths, packing, quality, sharding, urls, wavelet
+from versekit.llm import lengths, packing, quality, sharding, templates, urls, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,12 @@ def op9_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encode_and_read(table(spark, sf_dir, "documents"))
 
 
+def op10_template_canonicalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kneser_ney_bands, op2_histogram_sort, op4_length_histogram, op5_redirect_equivalence, op8_best_two_fit, op9_wavelet_matrix)}
+    f.__name__: f for f in (op1_kneser_ney_bands, op2_histogram_sort, op4_length_histogram, op5_redirect_equivalence, op8_best_two_fit, op9_wavelet_matrix,
+                                   op10_template_canonicalisation)}
 
 ORACLES: dict[str, str] = {}
