@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versekit.llm import lengths, packing, quality, sharding, templates, urls, wavelet
+from versekit.llm import forest, lengths, packing, quality, sharding, templates, urls, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op5_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("alias_class")
 
 
+def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = forest.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), SEQUENCE_TOKENS)
 
@@ -51,7 +56,7 @@ def op10_template_canonicalisation(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kneser_ney_bands, op2_histogram_sort, op4_length_histogram, op5_redirect_equivalence, op8_best_two_fit, op9_wavelet_matrix,
+    f.__name__: f for f in (op1_kneser_ney_bands, op2_histogram_sort, op4_length_histogram, op5_redirect_equivalence, op6_lsh_forest, op8_best_two_fit, op9_wavelet_matrix,
                                    op10_template_canonicalisation)}
 
 ORACLES: dict[str, str] = {}
