@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versekit.llm import forest, lengths, packing, quality, sharding, templates, urls, wavelet
+from versekit.llm import forest, lengths, packing, quality, sharding, suffixes, templates, urls, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,12 @@ def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op7_column_wise_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), SEQUENCE_TOKENS)
 
@@ -56,7 +62,7 @@ def op10_template_canonicalisation(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kneser_ney_bands, op2_histogram_sort, op4_length_histogram, op5_redirect_equivalence, op6_lsh_forest, op8_best_two_fit, op9_wavelet_matrix,
+    f.__name__: f for f in (op1_kneser_ney_bands, op2_histogram_sort, op4_length_histogram, op5_redirect_equivalence, op6_lsh_forest, op7_column_wise_suffixes, op8_best_two_fit, op9_wavelet_matrix,
                                    op10_template_canonicalisation)}
 
 ORACLES: dict[str, str] = {}
