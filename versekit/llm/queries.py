@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versekit.llm import forest, lengths, packing, quality, sharding, suffixes, templates, urls, wavelet
+from versekit.llm import forest, lengths, packing, passages, quality, sharding, suffixes, templates, urls, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_template_canonicalisation(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kneser_ney_bands, op2_histogram_sort, op4_length_histogram, op5_redirect_equivalence, op6_lsh_forest, op7_column_wise_suffixes, op8_best_two_fit, op9_wavelet_matrix,
+    f.__name__: f for f in (op1_kneser_ney_bands, op2_histogram_sort, op3_collinear_chaining, op4_length_histogram, op5_redirect_equivalence, op6_lsh_forest, op7_column_wise_suffixes, op8_best_two_fit, op9_wavelet_matrix,
                                    op10_template_canonicalisation)}
 
 ORACLES: dict[str, str] = {}
