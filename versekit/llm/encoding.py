@@ -13,14 +13,20 @@ is full it starts anew, and results do not depend on it.
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 600_000
 LONGEST_CHUNK = 64
+LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
 
 _BEFORE_SPACE = re.compile(r"(?= \S)")
+#: A word of ASCII and Latin-1 letters (with its space) and up to eight signs without an apostrophe.
+_WORD_AND_SIGNS = re.compile(rf"( ?[{LETTERS}]+)([-.,!?;:$%&*#|]{{0,8}})")
 
 
 def tokenizer_path(name: str) -> str:
@@ -51,11 +57,44 @@ class Encoder:
     """Encodes batches of texts into arrays of unsigned 32-bit ids."""
 
     def __init__(self, path: str, words: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.chunks = word_chunks if words else byte_chunks
         self.known: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
+        from tokenizers.pre_tokenizers import ByteLevel
+        # how the library writes each letter's bytes; lower-cased where its normalizer does that
+        written = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): written.pre_tokenize_str(c.lower() if words else c)[0][0] for c in LETTERS + " "}
+        self.model = self.tokenizer.model
+
+    def _plain(self, x: str) -> bytes:
+        """Ids of one pre-token of plain letters, from the vocabulary model itself."""
+        return array("I", [t.id for t in self.model.tokenize(x.translate(self.letters))]).tobytes()
+
+    def _encode_new(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of chunks: a word of plain letters and the signs behind it are two pre-tokens; others go through the whole tokenizer."""
+        other = []
+        for x in new:
+            m = _WORD_AND_SIGNS.fullmatch(x)
+            if m is None:
+                other.append(x)
+                continue
+            word, signs = m.groups()
+            ids = self.known.get(word)
+            if ids is None:
+                ids = self._plain(word)
+                if signs:
+                    yield word, ids
+            if signs:
+                if signs not in self.signs:
+                    self.signs[signs] = array("I", self.tokenizer.encode(signs, add_special_tokens=False).ids).tobytes()
+                ids += self.signs[signs]
+            yield x, ids
+        for x, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
+            yield x, array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str | None], end: int | None = None) -> list[np.ndarray]:
         """Ids of every text (null: none), followed by ``end``."""
@@ -64,12 +103,10 @@ class Encoder:
         if len(self.known) > CACHE_CHUNKS:
             self.known = {}
         known = self.known
-        new = list(set().union(*cut) - known.keys()) if cut else []
+        new = set().union(*cut) - known.keys() if cut else set()
         long = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                (known if len(chunk) <= LONGEST_CHUNK else long)[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+        for x, v in self._encode_new(list(new)):
+            (known if len(x) <= LONGEST_CHUNK else long)[x] = v
         if long:
             return [np.frombuffer(b"".join([known[x] if x in known else long[x] for x in c]) + tail, "<u4") for c in cut]
         return [np.frombuffer(b"".join([known[x] for x in c]) + tail, "<u4") for c in cut]
