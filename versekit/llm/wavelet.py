@@ -51,7 +51,9 @@ def write_matrix(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> byte
         one = (cur >> b & 1).astype(bool)
         bits = np.packbits(one, bitorder="little")
         heads = np.zeros(-(-n // BLOCK) + 1, "<u4")
-        np.cumsum(np.add.reduceat(one, np.arange(0, n, BLOCK), dtype=np.uint32) if n else [], out=heads[1:])
+        per = np.zeros((len(heads) - 1) * BLOCK // 8, np.uint8)
+        per[:len(bits)] = np.bitwise_count(bits)
+        np.cumsum(per.reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32), out=heads[1:])
         sections += [squeeze(bits.tobytes()), squeeze(heads.tobytes())]
         zeros.append(int(n - heads[-1]))
         cur = np.concatenate([cur[~one], cur[one]])
@@ -147,13 +149,14 @@ class WaveletFile:
 
     def ids(self) -> np.ndarray:
         """All ids, decoded plane by plane from the lowest."""
-        cur = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.width <= 16 else np.uint32
+        cur = np.zeros(self.n, kind)
         for p in range(self.width - 1, -1, -1):
             one = np.unpackbits(self.section(2 + 2 * p, "u1"), count=self.n, bitorder="little").astype(bool)
             self.have.pop(2 + 2 * p)
             out = np.empty_like(cur)
             out[~one] = cur[:self.zeros[p]]
-            out[one] = cur[self.zeros[p]:] | np.uint32(1 << (self.width - 1 - p))
+            out[one] = cur[self.zeros[p]:] | kind(1 << (self.width - 1 - p))
             cur = out
         return cur
 
@@ -221,7 +224,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64(), mask=d == NO_ID), "start": pa.array(starts + base, pa.int64()),
                                                   "n_tokens": pa.array(ends - starts, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    spread = files.select("shard", "path", "_from").repartition(F.col("shard"))
+    # a task for each file: the number of partitions is given, so that they are not merged
+    spread = files.select("shard", "path", "_from").repartition(max(1, manifest.count()), "shard")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
