@@ -61,7 +61,7 @@ def test_relaxed_wmd_bruteforce(spark):
 
 
 def test_top_k_similar_many_chunks(spark, monkeypatch):
-    monkeypatch.setattr(V, "MAX_BROADCAST_BYTES", 400)   # forces several query chunks
+    monkeypatch.setattr(V, "QUERY_BLOCK", 3)   # forces several query blocks
     rng = np.random.default_rng(2)
     keys = rng.normal(size=(120, 6))
     qs = rng.normal(size=(9, 6))
@@ -112,3 +112,36 @@ def test_apply_phrases_random(spark):
     got = {r.sid: list(r.words) for r in P.apply_phrases(s, p, "sid").collect()}
     for sid, ws in sents:
         assert got[sid] == py_apply(ws, phr), (ws, got[sid])
+
+
+def test_top_k_ties_ids_and_nulls(spark, monkeypatch):
+    from versekit.operators import vectors as V
+    rng = __import__("random").Random(4)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 25 == 0 else [rng.gauss(0, 1) for _ in range(3)]) for i in range(1000)]
+    keys = spark.createDataFrame([*rows, (5000, None)], "k long, v array<double>").repartition(6)
+    queries = spark.createDataFrame([("a", [2.0, 4.0, 6.0]), (None, [1.0, 2.0, 3.0]), ("none", None)], "q string, v array<double>")
+    for block in (100_000, 90):
+        monkeypatch.setattr(V, "KEY_BLOCK", block)
+        got = V.top_k_similar(keys, "k", "v", queries, "q", "v", 5).collect()
+        for q in ("a", None):
+            assert [r["k"] for r in sorted((r for r in got if r["q"] == q), key=lambda r: r["rank"])] == [0, 25, 50, 75, 100]
+        assert len(got) == 10
+    names = keys.selectExpr("concat('n', lpad(k, 4, '0')) AS k", "v")
+    many = spark.createDataFrame([(f"q{i}", [1.0, 2.0, 3.0]) for i in range(40)], "q string, v array<double>")
+    monkeypatch.setattr(V, "QUERY_BLOCK", 7)
+    drop = spark.createDataFrame([("q3", "n0000"), ("q3", "n0050")], "q string, k string")
+    got = V.top_k_similar(names, "k", "v", many, "q", "v", 3, exclude=drop).collect()
+    assert len(got) == 120
+    by = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by.setdefault(r["q"], []).append(r["k"])
+    assert by.pop("q3") == ["n0025", "n0075", "n0100"] and set(map(tuple, by.values())) == {("n0000", "n0025", "n0050")}
+
+
+def test_relaxed_wmd_keeps_pairs_without_known_words(spark):
+    from versekit.operators import vectors as V
+    pairs = spark.createDataFrame([(1, 0, "a", 1.0), (1, 1, "b", 1.0), (2, 0, "zz", 1.0), (2, 1, "yy", 1.0), (3, 0, "a", 1.0), (3, 1, "yy", 1.0)],
+                                  "pair long, side int, word string, w double")
+    wv = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "word string, v array<double>")
+    got = {r["pair"]: r["rwmd"] for r in V.relaxed_wmd(pairs, "pair", "side", wv).collect()}
+    assert got.keys() == {1, 2, 3} and abs(got[1] - 2 ** 0.5) < 1e-12 and got[2] is None and got[3] is None

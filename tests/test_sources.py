@@ -179,3 +179,55 @@ def test_registry_past_999(spark, tmpdir_path):
     FS.append_registry(spark, e, path)
     got = {r.dtag: (r.artist, r.track_no) for r in FS.read_registry(spark, path).collect()}
     assert got["Band91000"] == ("Band9", 1000) and got["Band9007"] == ("Band9", 7) and len(got) == 1003
+
+
+def test_registry_second_append_past_999(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "reg2")
+    schema = "genre string, artist string, dtag string, title string"
+    first = [("rock", "ab", f"ab{i:03d}", f"t{i}") for i in range(1000)]
+    later = [("rock", "ab", f"ab{i}", f"t{i}") for i in (1000, 1001, 1002)] + [("rock", "ab1", "ab1000", "other artist")]
+    FS.append_registry(spark, spark.createDataFrame(first, schema), path)
+    FS.append_registry(spark, spark.createDataFrame(later[:3], schema), path)
+    got = {(r.artist, r.track_no): r.title for r in FS.read_registry(spark, path).collect()}
+    assert got == {("ab", i): f"t{i}" for i in range(1003)}
+    assert max(len(json.loads(r.value)["tracks"]) for r in spark.read.text(path).collect()) <= FS.REGISTRY_BLOCK
+
+
+def test_registry_reads_the_original_format(spark, tmpdir_path):
+    folder = os.path.join(tmpdir_path, "old", "genre=rock")
+    os.makedirs(folder)
+    with open(os.path.join(folder, "a.txt"), "w") as fh:
+        fh.write(json.dumps({"ab000": "x", "ab001": "y"}) + "\n")
+    got = sorted(tuple(r) for r in FS.read_registry(spark, os.path.dirname(folder)).collect())
+    assert got == [("rock", "ab", 0, "ab000", "x"), ("rock", "ab", 1, "ab001", "y")]
+
+
+def test_registry_read_error_is_raised(spark, tmpdir_path):
+    import pytest
+    path = os.path.join(tmpdir_path, "reg3")
+    os.makedirs(path)
+    with open(os.path.join(path, "part-0.txt.gz"), "wb") as fh:
+        fh.write(b"this is no gzip file")
+    e = spark.createDataFrame([("rock", "A", "A000", "t")], "genre string, artist string, dtag string, title string")
+    with pytest.raises(Exception, match="(?i)gzip"):
+        FS.append_registry(spark, e, path)
+
+
+def test_song_listed_twice_and_repeated_searches(spark):
+    albums = spark.createDataFrame([(1, (10, "A", ("X",)), [(1, (100, "S", "u1")), (2, (100, "S", "u2")), (3, (101, "R", "v"))])], PL.ALBUM_SCHEMA)
+    r = PL.album_tracks(albums).first()
+    assert r.songs == {100: "u1", 101: "v"} and r.n_tracks == 3
+    hits = spark.createDataFrame([("the x", [(0, 1, "other"), (1, 2, "The X")]), ("the x", [(0, 3, "nobody")]), ("none", [])], PL.SEARCH_SCHEMA)
+    got = sorted(((r["query"], r["id"], r["exact"]) for r in PL.resolve_artist(hits).collect()), key=str)
+    assert got == [("none", None, None), ("the x", 2, True), ("the x", 3, False)]
+
+
+def test_lookup_by_tag(spark):
+    from versekit.sources import tables as TB
+    docs = spark.createDataFrame([(1, "en", "a", "first line here\nsecond line"), (2, "en", "a", "another text here")],
+                                 "doc_id long, lang string, source string, text string")
+    index = TB.track_index(docs)
+    reg = TB.registry(docs, spark.createDataFrame([(2,)], "doc_id long"), index)
+    got = TB.tracks_with_titles(docs, index, reg, ["en_a000"]).collect()
+    assert [(r.dtag, r.title, r.n_lines) for r in got] == [("en_a000", None, 2)]
+    assert {r.dtag: r.title for r in TB.tracks_with_titles(docs, index, reg).collect()} == {"en_a000": None, "en_a001": "another text here"}

@@ -1,111 +1,87 @@
-"""Exact per-group ordinals without funnelling a hot group into one task.
+"""Exact ordinals and ranks without funnelling a hot group into one task.
 
 ``row_number() OVER (PARTITION BY g ORDER BY k)`` sorts a whole group in one
-task; a group holding a third of the rows then becomes the job.  Here the
-order key is cut into deterministic buckets (a monotone function of the key:
-fixed-width ranges of a numeric key, or a fixed-length prefix of a string
-key).  Each (group, bucket) is numbered by its own small window, and a block
-table of per-(group, bucket) counts, whose running sum per group is the
-bucket's offset, completes the ordinal.  No sampling is involved, so the two
-uses of the bucketed rows always agree, also when a stage is recomputed after
-an executor loss.
+task.  Here the rows are range-partitioned by (group, key) into parts of about
+``ROWS_PER_BUCKET`` rows - Spark takes the bounds from the keys themselves, so
+far-off values, the full 64-bit range, shared string prefixes and clustered
+doubles are cut alike - and sorted inside each part.  A row's place in its part
+comes from ``monotonically_increasing_id``; the part counts of a group, summed
+in order, complete the ordinal.  The placed rows are written once into the
+shared folder: both readers see the same parts, also after an executor loss.
+
+The only unpartitioned window runs over one row per part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 1_000_000
+from ..session import keep_table
 
+ROWS_PER_BUCKET = 1_000_000
 
-def numeric_bucket(df: DataFrame, order_col: str, rows_per_bucket: int | None = None) -> Column:
-    """floor((k - min) / width) with width chosen so a bucket holds <= rows_per_bucket keys.
 
-    min and width are scalar subqueries (no join); unique keys per group
-    mean a (group, bucket) holds at most ``width`` rows.
-    """
-    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    k, n = F.col(order_col), F.count(F.lit(1))
-    n_buckets = F.greatest(F.lit(1), F.ceil(n / F.lit(rows_per_bucket)))
-    width = F.greatest(F.lit(1), F.ceil((F.max(k) - F.min(k) + 1) / n_buckets))
-    # two scalar subqueries (lower bound, width); no join
-    mn = df.agg(F.min(k)).scalar()
-    w = df.agg(width).scalar()
-    return F.floor((k - mn) / w)
+def placed(df: DataFrame, order: Sequence[str], rows_per_bucket: int | None = None) -> DataFrame:
+    """``df`` with ``_part`` (range part in the given order) and ``_at`` (0-based place in the part)."""
+    parts = max(1, -(-df.count() // (rows_per_bucket or ROWS_PER_BUCKET)))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    mono = F.monotonically_increasing_id()
+    return keep_table(ranged.select("*", F.shiftright(mono, 33).alias("_part"),
+                                    mono.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "ordinals")
 
 
-def prefix_bucket(order_col: str, chars: int = 3) -> Column:
-    """String keys: the first ``chars`` characters (order-preserving under binary comparison)."""
-    return F.substring(F.col(order_col), 1, chars)
+def _same(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> list:
+    return [a[c].eqNullSafe(b[f"_g{i}"]) for i, c in enumerate(cols)]
 
 
-def group_ordinal(df: DataFrame, group_cols: Sequence[str], order_col: str, out_col: str = "ordinal",
-                  bucket: Column | None = None) -> DataFrame:
-    """0-based position of each row inside its group, ordered by ``order_col``.
+def group_ordinal(df: DataFrame, group_cols: Sequence[str], order_col: str, out_col: str = "ordinal") -> DataFrame:
+    """0-based position of each row inside its group, ordered by ``order_col`` (nulls first).
 
-    ``order_col`` must be unique inside a group.  Returns
-    ``group_cols + [order_col, out_col]``.
+    ``order_col`` must be unique inside a group and of an orderable type.
+    Returns ``group_cols + [order_col, out_col]``; a null group is a group.
     """
     keys = [*group_cols, order_col]
-    base = df.select(*keys)
-    if bucket is None:
-        bucket = numeric_bucket(base, order_col)
-    b = base.withColumn("_b", bucket)
-    blocks = b.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    wb = Window.partitionBy(*group_cols).orderBy("_b") if group_cols else Window.orderBy("_b")
-    blocks = blocks.withColumn("_off", F.sum("_n").over(wb) - F.col("_n")).drop("_n")
-    wl = Window.partitionBy(*group_cols, "_b").orderBy(order_col)
-    local = b.withColumn("_local", F.row_number().over(wl) - 1)
-    return (local.join(blocks, [*group_cols, "_b"])
-            .select(*keys, (F.col("_off") + F.col("_local")).cast("bigint").alias(out_col)))
+    t = placed(df.select(*keys), keys)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    if group_cols:
+        before = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = t.groupBy(*group_cols, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    blocks = blocks.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)], F.col("_part").alias("_p"), "_first",
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    on = [t["_part"] == blocks["_p"], *_same(t, blocks, group_cols)]
+    return t.join(blocks, on).select(*keys, (F.col("_off") + F.col("_at") - F.col("_first")).cast("bigint").alias(out_col))
 
 
 def dense_rank_strings(words: DataFrame, col: str = "word", out_col: str = "term_id") -> DataFrame:
-    """Dense 0-based ids of distinct strings in binary order (prefix buckets)."""
-    d = words.select(col).distinct().withColumn("_all", F.lit(0))
-    out = group_ordinal(d, ["_all"], col, out_col, bucket=prefix_bucket(col))
-    return out.select(col, out_col)
+    """Dense 0-based ids of distinct strings in binary order."""
+    return group_ordinal(words.select(col).distinct(), [], col, out_col)
 
 
 def ordinal_after_groups(df: DataFrame, group_cols: Sequence[str], within_col: str,
                          out_col: str = "ordinal") -> DataFrame:
-    """Global ordinal in (group_cols, within_col) order when ``within_col`` is already
-    the 0-based ordinal inside the group: offset of the group + within ordinal.
-
-    The offsets come from one row per group (the group table is the bounded
-    side: one row per artist)."""
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(*group_cols)
-    offs = sizes.withColumn("_off", F.sum("_n").over(w) - F.col("_n")).drop("_n")
-    return (df.join(offs, list(group_cols))
-            .withColumn(out_col, (F.col("_off") + F.col(within_col)).cast("bigint")).drop("_off"))
+    """``df`` with its global ordinal in (group_cols, within_col) order; that order is unique."""
+    t = placed(df, [*group_cols, within_col])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (t.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+             .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    return t.join(sizes, "_part").withColumn(out_col, (F.col("_off") + F.col("_at")).cast("bigint")).drop("_off", "_part", "_at")
 
 
 def average_rank(df: DataFrame, col: str, out_col: str, rows_per_bucket: int | None = None) -> DataFrame:
     """1-based average rank of ``col`` over all rows (ties share the mean of their positions).
 
     Works on the distinct values: (#rows with a smaller value) + (ties + 1) / 2.
-    Distinct values are cut into deterministic value-range buckets, cumulative
-    counts run inside a bucket, and bucket offsets come from one row per
-    bucket, so no task sorts the whole table.  Returns ``df`` plus ``out_col``.
+    Cumulative counts run inside range parts of the distinct values, part
+    offsets over one row per part.  Returns ``df`` plus ``out_col``.
     """
-    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    # the distinct-value table feeds the bounds, the buckets and the join back: keep it once
-    freq = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c")).persist(StorageLevel.MEMORY_AND_DISK)
-    st = freq.agg(F.struct(F.min(col).alias("mn"), F.max(col).alias("mx"),
-                           F.count(F.lit(1)).alias("n")).alias("s")).scalar()
-    mn, mx, n = st["mn"], st["mx"], st["n"]
-    nb = F.greatest(F.lit(1), F.ceil(n / F.lit(rows_per_bucket)))
-    width = (mx - mn) / nb
-    b = F.when(width > 0, F.least(F.floor((F.col(col) - mn) / width), nb - 1)).otherwise(F.lit(0))
-    fb = freq.withColumn("_b", b.cast("bigint"))
-    blocks = fb.groupBy("_b").agg(F.sum("_c").alias("_bn"))
-    blocks = blocks.withColumn("_off", F.sum("_bn").over(Window.orderBy("_b")) - F.col("_bn")).drop("_bn")
-    w = Window.partitionBy("_b").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    fr = (fb.withColumn("_cum", F.sum("_c").over(w)).join(blocks, "_b")
-          .select(col, (F.col("_off") + F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(out_col)))
-    return df.join(fr, col)
+    t = placed(df.groupBy(col).agg(F.count(F.lit(1)).alias("_c")), [col], rows_per_bucket)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (t.groupBy("_part").agg(F.sum("_c").alias("_n"))
+             .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    own = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    fr = (t.withColumn("_less", F.coalesce(F.sum("_c").over(own), F.lit(0))).join(sizes, "_part")
+          .select(F.col(col).alias("_v"), (F.col("_off") + F.col("_less") + (F.col("_c") + 1) / 2.0).alias(out_col)))
+    return df.join(fr, df[col].eqNullSafe(fr["_v"])).drop("_v")

@@ -80,8 +80,8 @@ def token_counts(doc_words: DataFrame) -> DataFrame:
 
 
 def n_tracks(documents: DataFrame) -> Column:
-    """Number of tracks including empty ones (they count in idf's numerator)."""
-    return scalar(documents.agg(F.count(F.lit(1))))
+    """Number of tracks including empty ones (they count in idf's numerator); a row without an id is no track."""
+    return scalar(documents.agg(F.count("doc_id")))
 
 
 # --------------------------------------------------------------------------- A1 / F2
@@ -132,9 +132,14 @@ def artist_tf(counts: DataFrame, doc_words: DataFrame | None = None) -> DataFram
             .withColumn("tf", (F.col("cnt") / F.col("denom")).cast("double")))
 
 
+def artist_words(counts: DataFrame) -> DataFrame:
+    """A5: (genre, artist, word), the vocabulary of every artist."""
+    return counts.select("genre", "artist", "word").distinct()
+
+
 def word_artists(counts: DataFrame) -> DataFrame:
     """A5: number of artists using each word."""
-    return (counts.select("genre", "artist", "word").distinct()
+    return (artist_words(counts)
             .groupBy("word").agg(F.count(F.lit(1)).alias("n_artists")))
 
 

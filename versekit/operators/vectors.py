@@ -1,27 +1,22 @@
 """Vector operators: norms, centroids, exact top-k similarity, analogies, set similarity.
 
-Vectors are ARRAY<FLOAT/DOUBLE> columns keyed by an id.  Group means are
-computed in long form (id, dim, value) with ordinary aggregates so a group of
-any size is combined map-side.
-
-Exact nearest neighbours never materialise query x key pairs as rows: the
-query matrix (a bounded set, size checked before it is broadcast; larger sets
-are processed in broadcast-sized chunks) is multiplied with each partition of
-keys inside ``mapInPandas`` and only the per-partition top-k survives; a
-``row_number() <= k`` over the survivors (map-side WindowGroupLimit) gives the
-global top-k.
+Vectors are ARRAY<FLOAT/DOUBLE> columns keyed by an id.  Group means are one
+aggregate that is combined map-side, so a group of any size is summed where
+it lies.  Exact nearest neighbours never materialise query x key pairs as
+rows: blocks of queries meet blocks of keys, a task multiplies one pair of
+blocks and only its best rows survive; a ``row_number() <= k`` over the
+survivors (map-side WindowGroupLimit) gives the global top-k.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_BYTES = 64 << 20
 
 
 def r6(c: Column) -> Column:
@@ -50,110 +45,83 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def group_mean(vecs: DataFrame, group: str, vec: str, weight: str | None = None) -> DataFrame:
-    """(group, vec): per-dimension (weighted) mean of the group's vectors."""
-    cols = [group, F.posexplode(vec).alias("dim", "x")] + ([weight] if weight else [])
-    lng = vecs.select(*cols)
-    if weight:
-        agg = F.sum(F.col("x").cast("double") * F.col(weight)) / F.sum(weight)
-    else:
-        agg = F.avg(F.col("x").cast("double"))
-    per = lng.groupBy(group, "dim").agg(agg.alias("x"))
-    return (per.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("_v"))
-            .select(group, F.transform("_v", lambda s: s["x"]).alias(vec)))
+    """(group, vec): per-dimension (weighted) mean of the group's vectors, one combined aggregate."""
+    v = array_to_vector(F.col(vec).cast("array<double>"))
+    mean = Summarizer.mean(v, F.col(weight).cast("double")) if weight else Summarizer.mean(v)
+    return (vecs.filter(F.col(vec).isNotNull()).groupBy(group).agg(mean.alias("_m"))
+            .select(group, vector_to_array("_m").alias(vec)))
+
+
+#: Queries and keys that one task multiplies.
+QUERY_BLOCK, KEY_BLOCK = 512, 100_000
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-300)
+
+
+def _matrix(rows) -> np.ndarray:
+    return _unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in rows]))
 
 
 def top_k_similar(keys: DataFrame, key: str, vec: str, queries: DataFrame, qkey: str, qvec: str,
                   k: int = 10, exclude: DataFrame | None = None, mode: str = "cos",
                   neg: str | None = None) -> DataFrame:
-    """Exact top-k keys per query.
+    """Exact top-k keys per query, ties by key.
 
     mode ``cos``: cosine to the query vector ``qvec``.
     mode ``cosmul``: 3CosMul (Levy & Goldberg 2014) with ``qvec`` an
     ARRAY<ARRAY> of positive vectors and ``neg`` one of negative vectors:
     prod((1 + cos(v, p)) / 2) / (prod((1 + cos(v, n)) / 2) + 1e-6).
 
-    ``queries`` is collected in chunks whose size is checked against
-    MAX_BROADCAST_BYTES; each chunk is shipped with the task closure,
-    multiplied with every key partition, and reduced to the best rows per
-    query per partition.  ``exclude`` (qkey, key) removes pairs (inputs of an
-    analogy) before ranking; each partition keeps k + (max exclusions per
-    query) candidates so the exclusion never loses a true top-k row.
+    Queries and keys are dealt into blocks by hash; each block of queries meets
+    each block of keys in one task, which multiplies the two matrices and keeps
+    every key at or above a query's k-th value, then cuts by (similarity, key).
+    No query reaches the driver, and a block of either side has a bounded size.
+    Similarities are compared at 12 decimals, so equal vectors tie in every
+    task.  Ids may be of any type; a null query id is a query, rows without a
+    vector take no part.  ``exclude`` (qkey, key) removes pairs (inputs of an analogy) before ranking.
     """
     spark = keys.sparkSession
-    qtype = dict(queries.dtypes)[qkey]
-    ktype = dict(keys.dtypes)[key]
-    schema = f"q {qtype}, k {ktype}, sim double"
-    excl, extra = None, 0
-    if exclude is not None:
-        excl = exclude.select(F.col(qkey).alias("q"), F.col(key).alias("k")).distinct()
-        extra = excl.groupBy("q").count().agg(F.max("count")).first()[0] or 0
+    qtype, ktype = dict(queries.dtypes)[qkey], dict(keys.dtypes)[key]
     cols = [F.col(qkey).alias("q"), F.col(qvec).alias("v")] + ([F.col(neg).alias("n")] if neg else [])
-    # the query side is planned once; its total serialized size decides how many
-    # broadcast-sized chunks it needs.  Chunks are id ranges cut at approximate
-    # quantiles (targeting half the budget each), so the driver only ever holds
-    # the chunk boundaries, never the list of query ids.
-    qs = queries.select(*cols).persist()
-    payload = F.length(F.to_json(F.struct(*[c for c in qs.columns if c != "q"])))
-    total = qs.agg(F.sum(payload).alias("b")).first()["b"] or 0
-    n_chunks = max(1, int(math.ceil(total / (MAX_BROADCAST_BYTES / 2))))
-    if n_chunks == 1:
-        chunks = [(None, None)]
-    else:
-        cuts = sorted(set(qs.approxQuantile("q", [i / n_chunks for i in range(1, n_chunks)], 1e-4)))
-        edges = [None] + cuts + [None]
-        chunks = list(zip(edges[:-1], edges[1:]))
-    kk_want = k + int(extra)
-
-    def unit_rows(m):
-        return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-300)
-
-    outs = []
-    for lo, hi in chunks:
-        # (lo, hi] id ranges partition the query set exactly
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col("q") > F.lit(lo))
-        if hi is not None:
-            cond = cond & (F.col("q") <= F.lit(hi))
-        qpd = qs.filter(cond).toPandas()
-        if len(qpd) == 0:
-            continue
-        qid = qpd["q"].to_numpy()
-        if mode == "cos":
-            qmat = unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in qpd["v"]]))
-            pos_l, neg_l = None, None
-        else:
-            qmat = None
-            pos_l = [unit_rows(np.stack([np.asarray(x, dtype=np.float64) for x in v])) for v in qpd["v"]]
-            neg_l = [unit_rows(np.stack([np.asarray(x, dtype=np.float64) for x in v])) if len(v) else None
-                     for v in qpd["n"]]
-
-        def topk(it, qmat=qmat, qid=qid, pos_l=pos_l, neg_l=neg_l):
-            for pdf in it:
-                if len(pdf) == 0 or len(qid) == 0:
-                    continue
-                m = unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in pdf["v"]]))
-                if qmat is not None:
-                    sims = qmat @ m.T
-                else:
-                    sims = np.empty((len(qid), len(m)))
-                    for i in range(len(qid)):
-                        num = np.prod((1.0 + pos_l[i] @ m.T) / 2.0, axis=0)
-                        den = np.prod((1.0 + neg_l[i] @ m.T) / 2.0, axis=0) if neg_l[i] is not None else 1.0
-                        sims[i] = num / (den + 1e-6)
-                kk = min(kk_want, sims.shape[1])
-                idx = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]
-                yield pd.DataFrame({"q": np.repeat(qid, kk), "k": pdf["k"].to_numpy()[idx.ravel()],
-                                    "sim": sims[np.arange(len(qid))[:, None], idx].ravel()})
-
-        outs.append(keys.select(F.col(key).alias("k"), F.col(vec).alias("v")).mapInPandas(topk, schema))
-    if not outs:
-        return spark.createDataFrame([], f"{qkey} {qtype}, rank bigint, {key} {ktype}, sim double")
-    cand = outs[0]
-    for o in outs[1:]:
-        cand = cand.unionByName(o)
-    if excl is not None:
-        cand = cand.join(excl, ["q", "k"], "left_anti")
+    qs = queries.select(*cols).filter(F.col("v").isNotNull())
+    if exclude is not None:
+        x = exclude.groupBy(F.col(qkey).alias("_q")).agg(F.collect_set(key).alias("x"))
+        qs = qs.join(x, qs["q"].eqNullSafe(x["_q"]), "left").drop("_q")
+    ks = keys.select(F.col(key).alias("k"), F.col(vec).alias("v")).filter(F.col("v").isNotNull())
+    qb = max(1, -(-qs.count() // QUERY_BLOCK))
+    kb = max(1, -(-ks.count() // KEY_BLOCK), int(spark.conf.get("spark.sql.shuffle.partitions")) // qb)
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+    left = qs.withColumns({"qb": F.pmod(F.xxhash64("q"), F.lit(qb)), "kb": every(kb)})
+    right = ks.withColumns({"kb": F.pmod(F.xxhash64("k"), F.lit(kb)), "qb": every(qb)})
+    names, excluding = ["q", "k", "sim"], exclude is not None
+
+    def best(group: tuple, own: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(block):
+            return pd.DataFrame(columns=names)
+        m = _matrix(block["v"])
+        sims = _matrix(own["v"]) @ m.T if mode == "cos" else None
+        out = []
+        for i, row in enumerate(own.itertuples(index=False)):
+            if mode == "cos":
+                s = sims[i]
+            else:
+                num = np.prod((1.0 + _matrix(row.v) @ m.T) / 2.0, axis=0)
+                s = num / ((np.prod((1.0 + _matrix(row.n) @ m.T) / 2.0, axis=0) if len(row.n) else 1.0) + 1e-6)
+            got = pd.DataFrame({"q": [row.q] * len(block), "k": block["k"].to_numpy(), "sim": np.round(s, 12)})
+            if excluding and row.x is not None:
+                got = got[~got["k"].isin(list(row.x))]
+            if len(got) > k:
+                got = got[got["sim"] >= np.partition(got["sim"].to_numpy(), -k)[-k]]
+            out.append(got.sort_values(["sim", "k"], ascending=[False, True], kind="stable").head(k))
+        return pd.concat(out)[names]
+
+    cand = (left.groupBy("qb", "kb").cogroup(right.groupBy("qb", "kb"))
+            .applyInPandas(best, f"q {qtype}, k {ktype}, sim double"))
     w = Window.partitionBy("q").orderBy(F.col("sim").desc(), F.col("k"))
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(F.col("q").alias(qkey), F.col("rank").cast("bigint").alias("rank"),
@@ -172,23 +140,31 @@ def relaxed_wmd(pairs: DataFrame, pair: str, side: str, word_vecs: DataFrame, we
     a side that has no known word get NULL.
     """
     wv = word_vecs.select("word", F.col("v"))
-    j = pairs.join(wv, "word").select(pair, side, "word", weight, "v")
+    # a word without a vector stays as a row, so that a pair without any known word keeps its NULL
+    j = pairs.join(wv, "word", "left").select(pair, side, "word", weight, "v")
 
     def rwmd(pdf: pd.DataFrame) -> pd.DataFrame:
         pid = pdf[pair].iloc[0]
-        a = pdf[pdf[side] == 0]
-        b = pdf[pdf[side] == 1]
+        known = pdf[pdf["v"].notna()]
+        a = known[known[side] == 0]
+        b = known[known[side] == 1]
         if len(a) == 0 or len(b) == 0:
             return pd.DataFrame({pair: [pid], "rwmd": [None]})
         ma = np.stack([np.asarray(v, dtype=np.float64) for v in a["v"]])
         mb = np.stack([np.asarray(v, dtype=np.float64) for v in b["v"]])
         ma = ma / np.maximum(np.linalg.norm(ma, axis=1, keepdims=True), 1e-300)
         mb = mb / np.maximum(np.linalg.norm(mb, axis=1, keepdims=True), 1e-300)
-        d = np.sqrt(np.maximum(((ma[:, None, :] - mb[None, :, :]) ** 2).sum(axis=2), 0.0))
         wa = a[weight].to_numpy(dtype=np.float64)
         wb = b[weight].to_numpy(dtype=np.float64)
         wa, wb = wa / wa.sum(), wb / wb.sum()
-        val = max(float((wa * d.min(axis=1)).sum()), float((wb * d.min(axis=0)).sum()))
+        # |x - y|^2 = |x|^2 + |y|^2 - 2xy, a block of one side's words at a time
+        na, nb = (ma ** 2).sum(axis=1), (mb ** 2).sum(axis=1)
+        least_a, least_b = np.empty(len(ma)), np.full(len(mb), np.inf)
+        for i in range(0, len(ma), 1024):
+            d2 = na[i:i + 1024, None] + nb[None, :] - 2.0 * (ma[i:i + 1024] @ mb.T)
+            least_a[i:i + 1024] = d2.min(axis=1)
+            least_b = np.minimum(least_b, d2.min(axis=0))
+        val = max(float((w * np.sqrt(np.maximum(x, 0.0))).sum()) for w, x in ((wa, least_a), (wb, least_b)))
         return pd.DataFrame({pair: [pid], "rwmd": [val]})
 
     ptype = dict(pairs.dtypes)[pair]

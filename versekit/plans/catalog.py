@@ -111,28 +111,20 @@ def registry(spark, sf_dir):
 
 @register("track_by_tag")
 def track_by_tag(spark, sf_dir):
-    """S3: every registered track's cleaned lines (in order) with its registry title."""
+    """S3: every track's cleaned lines (in order), with its registry title where it has one."""
     from ..sources import tables as TB
     c = _c(spark, sf_dir)
-    reg = TB.registry(c.documents, c.labels, c.index)
-    ln = TB.lines(c.text_docs).select("doc_id", "line_no", _joined("tokens").alias("cleaned"))
-    per = (ln.groupBy("doc_id")
-           .agg(F.count(F.lit(1)).alias("n_lines"),
-                F.array_sort(F.collect_list(F.struct("line_no", "cleaned"))).alias("_l")))
-    per = per.select("doc_id", "n_lines", F.array_join(F.transform("_l", lambda s: s["cleaned"]), " | ").alias("lyrics"))
-    return reg.join(per, "doc_id", "left").select(
-        "dtag", "title", F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce("lyrics", F.lit("")).alias("lyrics"))
+    return TB.tracks_with_titles(c.text_docs, c.index, TB.registry(c.documents, c.labels, c.index))
 
 
 @register("titled_tracks")
 def titled_tracks(spark, sf_dir):
-    """Registered tracks' words with the cleaned title tokens appended."""
+    """Every track's words with the cleaned title tokens appended (none without a registry title)."""
     from ..sources import tables as TB
     c = _c(spark, sf_dir)
-    reg = TB.registry(c.documents, c.labels, c.index)
-    j = reg.join(c.doc_words.select("doc_id", "words"), "doc_id")
-    words = F.concat("words", T.title_tokens("title"))
+    reg = TB.registry(c.documents, c.labels, c.index).select("doc_id", "title")
+    j = c.index.select("doc_id", "dtag").join(c.doc_words.select("doc_id", "words"), "doc_id").join(reg, "doc_id", "left")
+    words = F.concat("words", F.coalesce(T.title_tokens("title"), F.array().cast("array<string>")))
     return j.select("dtag", F.size(words).cast("bigint").alias("ntok"), _joined(words).alias("words"))
 
 
@@ -150,20 +142,14 @@ def select_corpus(spark, sf_dir):
                     & ~F.col("artist").isin(SELECT_EXCLUDE_ARTISTS))
 
 
-REQUESTED_GENRES = ["de", "en", "es", "fr", "it"]
-
-
 @register("genre_artists")
-def genre_artists(spark, sf_dir):
-    """Artists of each requested genre (a requested genre without artists appears empty)."""
+def genre_artists(spark, sf_dir, requested: list[str] | None = None):
+    """S7/SO1: the artists of every genre present (or of the requested ones) with their tracks, one row each."""
     from ..sources import tables as TB
     m = TB.tracks_meta(_c(spark, sf_dir).documents)
-    per = (m.filter(F.col("genre").isin(REQUESTED_GENRES)).groupBy("genre")
-           .agg(F.sort_array(F.collect_set("artist")).alias("a")))
-    req = spark.createDataFrame([(g,) for g in REQUESTED_GENRES], "genre string")
-    j = req.join(per, "genre", "left")
-    return j.select("genre", F.coalesce(F.size("a"), F.lit(0)).cast("bigint").alias("n_artists"),
-                    F.coalesce(F.array_join("a", ","), F.lit("")).alias("artists"))
+    if requested is not None:
+        m = m.filter(F.col("genre").isin(requested))
+    return m.groupBy("genre", "artist").agg(F.count(F.lit(1)).alias("n_tracks"))
 
 
 # --------------------------------------------------------------------------- text on tables
@@ -616,7 +602,7 @@ def similar_docs(spark, sf_dir, k: int = 10):
 
 # --------------------------------------------------------------------------- ML models (rows-only checks)
 
-W2V = dict(dim=32, window=5, min_count=5, epochs=1, seed=42, partitions=4)
+W2V = dict(dim=64, window=5, min_count=5, epochs=5, seed=42)
 
 
 def _w2v(spark, sf_dir):
@@ -711,10 +697,14 @@ def kmeans(spark, sf_dir):
 
 @register("eval_analogies")
 def eval_analogies(spark, sf_dir):
-    """Analogy accuracy per label: is the top answer of the label's question in that label."""
+    """Accuracy per section (label): is the top answer of the label's question the expected
+    one, the third smallest id of the label."""
     from ..operators.evaluate import analogy_accuracy
-    e = _emb(spark, sf_dir).select("vec_id", F.col("label").alias("answer_label"))
-    return analogy_accuracy(analogy(spark, sf_dir), e, "label")
+    e = _emb(spark, sf_dir)
+    inp = _analogy_inputs(e).select("label", F.col("pos")[1].alias("a2"))
+    expected = (e.join(inp, "label").filter(F.col("vec_id") > F.col("a2"))
+                .groupBy("label").agg(F.min("vec_id").alias("expected")))
+    return analogy_accuracy(analogy(spark, sf_dir), expected, "label", "vec_id")
 
 
 # --------------------------------------------------------------------------- topics
@@ -756,6 +746,40 @@ def topic_terms(spark, sf_dir):
     return TP.topic_terms(m, TP.vocab_table(spark, cv), 8)
 
 
+@register("topic_terms_wide")
+def topic_terms_wide(spark, sf_dir):
+    """L2: the topic table, one row per topic and one column per rank."""
+    from ..operators import topics as TP
+    return TP.topic_terms_wide(topic_terms(spark, sf_dir))
+
+
+@register("topic_mixture")
+def topic_mixture(spark, sf_dir):
+    """L3: (track, topic, weight) for every topic a track holds with at least one hundredth."""
+    from ..operators import topics as TP
+    _, m, bow = _lda(spark, sf_dir)
+    return TP.topic_mixture(m, bow, "doc_id")
+
+
+@register("coherence_terms")
+def coherence_terms(spark, sf_dir, lists: int = 4, n: int = 6):
+    """L6 on stated term lists: UMass coherence of the most frequent words, ``n`` to a list."""
+    from pyspark.sql import Window as W
+    from ..operators import topics as TP
+    from ..operators.vectors import r6
+    c = _c(spark, sf_dir)
+    top = S.word_freq_counts(c.counts, 1).orderBy(F.col("cnt").desc(), F.col("word")).limit(lists * n)
+    at = F.row_number().over(W.orderBy(F.col("cnt").desc(), F.col("word"))) - 1  # lists * n rows
+    top = top.select("word", at.alias("i")).select(F.floor(F.col("i") / n).alias("topic"), (F.col("i") % n + 1).cast("bigint").alias("rank"), "word")
+    return TP.umass_coherence(top, c.counts).select("topic", r6(F.col("coherence")).alias("coherence"))
+
+
+@register("artist_vocabulary")
+def artist_vocabulary(spark, sf_dir):
+    """A5: the words of every artist (genre, artist, word)."""
+    return S.artist_words(_c(spark, sf_dir).counts)
+
+
 @register("doc_topics")
 def doc_topics(spark, sf_dir):
     """L3: dominant topic of every track."""
@@ -829,7 +853,7 @@ def ingest_gate(spark, sf_dir):
 def random_pick(spark, sf_dir, seed: int = 42):
     """One pseudo-random track (seeded hash order; the pick is the feature, so a limit)."""
     idx = _c(spark, sf_dir).index
-    return (idx.withColumn("h", F.xxhash64("dtag", F.lit(seed)))
+    return (idx.withColumn("h", F.md5(F.concat_ws(":", "dtag", F.lit(seed))))
             .orderBy("h", "dtag").limit(1).select("dtag", "doc_id"))
 
 
@@ -849,9 +873,9 @@ def continued_training(spark, sf_dir):
 
 @register("incremental_counts")
 def incremental_counts(spark, sf_dir, n_files: int = 4):
-    """ST1: conversation turns landed as text files (written by Spark into the shared
-    checkpoint folder), streamed one file per micro-batch into per-batch partial
-    counts, and merged: the bigram counts of the grown corpus."""
+    """ST1: conversation turns landed as text files (written by Spark into the session's shared
+    folder), streamed in micro-batches into per-batch partial counts, and merged: the bigram counts
+    of the grown corpus."""
     import uuid
     from ..session import ensure_checkpoint_dir
     from ..streaming import incremental as ST
@@ -860,7 +884,7 @@ def incremental_counts(spark, sf_dir, n_files: int = 4):
     (cv.select((F.col("conv_id") % n_files).alias("part"), F.col("text"))
      .withColumn("text", F.regexp_replace("text", "\n", " "))
      .write.partitionBy("part").text(base + "/in"))
-    q = ST.start_incremental_counts(spark, base + "/in/*", base + "/out", base + "/ck", max_files_per_trigger=1)
+    q = ST.start_incremental_counts(spark, base + "/in/*", base + "/out", base + "/ck")
     ST.run_to_completion(q)
     _, bi = ST.merged_counts(spark, base + "/out")
     return bi.select("w1", "w2", F.col("n12").cast("bigint").alias("n12"))

@@ -65,24 +65,21 @@ per AS (
          string_agg(cleaned, ' | ' ORDER BY line_no) AS lyrics
   FROM (SELECT doc_id, line_no, array_to_string(""" + Q.clean_tokens_sql("line") + """, ' ') AS cleaned FROM lns)
   GROUP BY doc_id)
-SELECT r.dtag, r.title, coalesce(p.n_lines, 0) AS n_lines, coalesce(p.lyrics, '') AS lyrics
-FROM reg r LEFT JOIN per p ON r.doc_id = p.doc_id"""
+SELECT t.dtag, r.title, coalesce(p.n_lines, 0) AS n_lines, coalesce(p.lyrics, '') AS lyrics
+FROM tracks t LEFT JOIN reg r ON t.doc_id = r.doc_id LEFT JOIN per p ON t.doc_id = p.doc_id"""
 
 ORACLES["titled_tracks"] = "WITH " + Q.TRACKS + ",\n" + _TITLES + ",\n" + Q.doc_words_cte() + """
 SELECT r.dtag, CAST(len(w) AS BIGINT) AS ntok, array_to_string(w, ' ') AS words
-FROM (SELECT r.dtag, list_concat(d.words, """ + Q.clean_tokens_sql("r.title") + """) AS w
-      FROM reg r JOIN dw d ON r.doc_id = d.doc_id) r"""
+FROM (SELECT t.dtag, CASE WHEN r.doc_id IS NULL THEN d.words
+                         ELSE list_concat(d.words, """ + Q.clean_tokens_sql("r.title") + """) END AS w
+      FROM tracks t JOIN dw d ON t.doc_id = d.doc_id LEFT JOIN reg r ON r.doc_id = t.doc_id) r"""
 
 ORACLES["select_corpus"] = """
 SELECT doc_id, lang AS genre, source AS artist FROM documents
 WHERE lang IN ('de', 'en', 'fr') AND lang NOT IN ('de') AND source NOT IN ('src3', 'src7')"""
 
 ORACLES["genre_artists"] = """
-WITH req(genre) AS (VALUES ('de'), ('en'), ('es'), ('fr'), ('it')),
-per AS (SELECT lang AS genre, list_sort(list(DISTINCT source)) AS a FROM documents
-        WHERE lang IN ('de', 'en', 'es', 'fr', 'it') GROUP BY lang)
-SELECT r.genre, CAST(coalesce(len(p.a), 0) AS BIGINT) AS n_artists, coalesce(array_to_string(p.a, ','), '') AS artists
-FROM req r LEFT JOIN per p ON r.genre = p.genre"""
+SELECT lang AS genre, source AS artist, CAST(count(*) AS BIGINT) AS n_tracks FROM documents GROUP BY lang, source"""
 
 # --------------------------------------------------------------------------- text on tables
 
@@ -459,3 +456,38 @@ b AS (SELECT genre, artist, CAST(round(quantile_cont(tfidf4, 0.02) * 100, 0) AS
 SELECT t.genre, t.artist, t.word, t.tfidf4 / 10000.0 AS tfidf
 FROM tfidf_artist t JOIN b ON t.genre = b.genre AND t.artist = b.artist
 WHERE NOT (t.tfidf4 * 100 > b.hi100 OR t.tfidf4 * 100 < b.lo100)"""
+
+ORACLES["artist_vocabulary"] = BASE + """
+SELECT DISTINCT genre, artist, word FROM counts"""
+
+ORACLES["random_pick"] = "WITH " + Q.TRACKS + """
+SELECT dtag, doc_id FROM tracks ORDER BY md5(dtag || ':42'), dtag LIMIT 1"""
+
+ORACLES["subsample_tokens"] = "WITH " + Q.doc_words_cte() + """,
+pos AS (SELECT doc_id, i - 1 AS pos, words[i] AS word FROM dw, unnest(generate_series(1, len(words))) AS t(i)),
+f AS (SELECT word, count(*) AS c FROM pos GROUP BY word),
+thr AS (SELECT 0.001 * sum(c) AS t FROM f),
+p AS (SELECT word, least(1.0, (sqrt(c / (SELECT t FROM thr)) + 1) * (SELECT t FROM thr) / c) AS p FROM f)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS ntok,
+       CAST(sum(CASE WHEN CAST('0x' || substr(md5(doc_id || ':' || pos || ':42'), 1, 13) AS BIGINT) / 4503599627370496.0 < p.p
+                     THEN 1 ELSE 0 END) AS BIGINT) AS kept
+FROM pos JOIN p ON pos.word = p.word GROUP BY doc_id"""
+
+ORACLES["eval_analogies"] = "WITH " + _U + ",\n" + _AN + """,
+best AS (SELECT label, arg_max(vec_id, struct_pack(s := sim, i := -vec_id)) AS got FROM (
+  SELECT q.label, u.vec_id, round(""" + _cos("list_transform(list_zip(q.p1, q.p2, q.m1), lambda z: z[1] + z[2] - z[3])", "u.u") + """, 12) AS sim
+  FROM qv q CROSS JOIN u WHERE u.vec_id NOT IN (q.a1, q.a2, q.n1)) GROUP BY label),
+want AS (SELECT e.label, min(e.vec_id) AS expected FROM e JOIN qv q ON e.label = q.label AND e.vec_id > q.a2 GROUP BY e.label)
+SELECT w.label, CAST(count(*) AS BIGINT) AS n_questions, avg(CASE WHEN b.got = w.expected THEN 1.0 ELSE 0.0 END) AS accuracy
+FROM want w LEFT JOIN best b ON w.label = b.label GROUP BY w.label"""
+
+ORACLES["coherence_terms"] = BASE + """,
+top AS (SELECT word, i // 6 AS topic, i % 6 + 1 AS rank FROM (
+  SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS i FROM (
+    SELECT t.word, count(*) AS n FROM dw, unnest(dw.words) AS t(word) GROUP BY t.word ORDER BY n DESC, t.word LIMIT 24))),
+d AS (SELECT DISTINCT doc_id, word FROM counts WHERE word IN (SELECT word FROM top)),
+df AS (SELECT word, count(*) AS n FROM d GROUP BY word),
+pr AS (SELECT l.topic, l.word AS wl, m.word AS wm FROM top l JOIN top m ON l.topic = m.topic AND l.rank < m.rank)
+SELECT CAST(topic AS BIGINT) AS topic, floor(sum(ln((both_n + 1) / n)) * 1e6 + 0.5) / 1e6 AS coherence FROM (
+  SELECT pr.topic, df.n, (SELECT count(*) FROM d a JOIN d b ON a.doc_id = b.doc_id WHERE a.word = pr.wl AND b.word = pr.wm) AS both_n
+  FROM pr JOIN df ON df.word = pr.wl) GROUP BY topic"""

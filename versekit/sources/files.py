@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from .. import refdata
 from ..functions import text as TX
+from ..session import keep_table, path_exists
 
 MARKER_SPLIT = r"(?m)^" + refdata.TRACK_MARKER + r"[^\n]*(\n|$)"
 
@@ -75,41 +76,48 @@ def read_lines(spark: SparkSession, path: str, split_words: bool = True) -> Data
 
 # --------------------------------------------------------------------------- registry
 
+#: Entries of one registry line; an artist's registry is as many lines as it needs.
+REGISTRY_BLOCK = 1000
+REGISTRY_LINE = "struct<artist: string, tracks: array<struct<no: bigint, dtag: string, title: string>>>"
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of {dtag: title} maps -> (genre, artist, track_no, dtag, title)."""
-    raw = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("_fp"))
-    # one JSON object per artist and append, entries in track order: when a tag ends
-    # with its entry position (zero padded) that position is the ordinal, so ordinals
-    # past 999 stay correct; otherwise the last three digits are (the original rule)
-    m = raw.select("_fp", F.posexplode(F.from_json("value", "map<string,string>")).alias("pos", "dtag", "title"))
-    genre = F.regexp_extract("_fp", r"genre=([^/]+)", 1)
-    suffix = F.format_string("%03d", F.col("pos"))
-    fits = F.col("dtag").endswith(suffix)
-    artist = F.when(fits, F.expr("substring(dtag, 1, length(dtag) - length(format_string('%03d', pos)))")) \
-        .otherwise(F.expr("substring(dtag, 1, length(dtag) - 3)"))
-    # an object appended later starts at position 0: there the tag's last three digits decide
-    track_no = F.when(fits, F.col("pos")).otherwise(F.expr("cast(substring(dtag, -3) as bigint)"))
-    return m.select(F.when(genre != "", genre).alias("genre"), artist.alias("artist"),
-                    track_no.cast("bigint").alias("track_no"), "dtag", "title")
+    """Registry lines -> (genre, artist, track_no, dtag, title).
+
+    ``append_registry`` stores artist and ordinal with every entry.  A line of
+    the original format, a JSON map {dtag: title} without them, follows the
+    original rule: the last three characters of a tag are its ordinal.
+    """
+    raw = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"genre=([^/]+)", 1).alias("genre"), "value",
+                                       F.from_json("value", REGISTRY_LINE).alias("l"))
+    own = (raw.filter("l.tracks IS NOT NULL").select("genre", F.col("l.artist").alias("artist"), F.explode("l.tracks").alias("t"))
+           .select("genre", "artist", F.col("t.no").alias("track_no"), "t.dtag", "t.title"))
+    plain = (raw.filter("l.tracks IS NULL")
+             .select("genre", F.explode(F.from_json("value", "map<string,string>")).alias("dtag", "title"))
+             .select("genre", F.expr("substring(dtag, 1, length(dtag) - 3)").alias("artist"),
+                     F.expr("try_cast(substring(dtag, -3) AS bigint)").alias("track_no"), "dtag", "title"))
+    return own.unionByName(plain).withColumn("genre", F.when(F.col("genre") != "", F.col("genre")))
 
 
 def append_registry(spark: SparkSession, entries: DataFrame, path: str) -> DataFrame:
-    """Append (genre, artist, dtag, title) rows as one JSON map per artist, skipping tags
-    already present (the duplicate check the original documents).  Returns what was added."""
+    """Append (genre, artist, dtag, title) rows, skipping tags already present (the
+    duplicate check the original documents).  Returns what was added.
+
+    A tag is its artist followed by the ordinal; both are stored.  Lines hold at
+    most ``REGISTRY_BLOCK`` entries.  Only a missing path counts as a first write.
+    """
     bad = entries.filter(~F.col("genre").isin(refdata.GENRES)).limit(1).count()
     if bad:
         raise ValueError("unknown genre in registry entries")
-    new = entries
-    try:
-        old = read_registry(spark, path).select("dtag")
-        new = entries.join(old, "dtag", "left_anti")
-    except Exception:  # noqa: BLE001 - first write: nothing to de-duplicate against
-        pass
-    per = (new.groupBy("genre", "artist")
-           .agg(F.map_from_entries(F.transform(
-               F.array_sort(F.collect_list(F.struct(F.length("dtag").alias("n"), "dtag", "title"))),
-               lambda e: F.struct(e["dtag"], e["title"]))).alias("m")))
-    per.select("genre", F.to_json("m").alias("value")).write.mode("append").partitionBy("genre").text(path)
+    new = entries.dropDuplicates(["dtag"])
+    if path_exists(spark, path):
+        new = new.join(read_registry(spark, path).select("dtag"), "dtag", "left_anti")
+    # the rows to add are fixed before the folder they are compared with changes
+    new = keep_table(new.select(*entries.columns), "registry")
+    no = F.expr("CAST(substring(dtag, length(artist) + 1) AS bigint)")
+    per = (new.withColumn("no", no).groupBy("genre", "artist", F.floor(F.col("no") / REGISTRY_BLOCK).alias("block"))
+           .agg(F.array_sort(F.collect_list(F.struct("no", "dtag", "title"))).alias("tracks")))
+    per.select("genre", F.to_json(F.struct("artist", "tracks")).alias("value")).write.mode("append").partitionBy("genre").text(path)
     return new
 
 

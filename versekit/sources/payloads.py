@@ -29,10 +29,12 @@ def album_tracks(albums: DataFrame) -> DataFrame:
             .groupBy("artid").agg(F.min_by("album.artist.name", "_i").alias("artist")))
     t = a.select("artid", F.col("album.id").alias("albumid"), F.col("album.name").alias("title"),
                  F.explode_outer("tracks").alias("t"))
-    per = (t.groupBy("artid", "albumid", "title")
-           .agg(F.map_from_entries(F.collect_list(F.when(F.col("t").isNotNull(),
-                                                         F.struct("t.song.id", "t.song.url")))).alias("songs"),
-                F.count("t").alias("n_tracks")))
+    # a song listed twice in an album has one entry, the url of its first listing; both count as tracks
+    per_song = (t.groupBy("artid", "albumid", "title", F.col("t.song.id").alias("song"))
+                .agg(F.min_by("t.song.url", F.struct("t.number", "t.song.url")).alias("url"), F.count("t").alias("n")))
+    per = (per_song.groupBy("artid", "albumid", "title")
+           .agg(F.map_from_entries(F.collect_list(F.when(F.col("song").isNotNull(), F.struct("song", "url")))).alias("songs"),
+                F.sum("n").alias("n_tracks")))
     return per.join(name, "artid", "left").withColumn("artist", F.coalesce("artist", F.lit("unk")))
 
 
@@ -75,16 +77,16 @@ def ingest_gate(fetched: DataFrame, suffix: str = "lyrics", min_chars: int = ref
 def resolve_artist(searches: DataFrame) -> DataFrame:
     """First hit whose name equals the query, else the first hit; the query is
     tried as given, with a zero-width-space prefix, then in title case."""
-    variants = searches.select("query", F.explode("hits").alias("h"))
     q = F.col("query")
-    v = variants.select("query", F.col("h.pos").alias("pos"), F.col("h.id").alias("id"), F.col("h.name").alias("name"))
-    rank = (F.when(F.col("name") == q, 0)
-            .when(F.col("name") == F.concat(F.lit("\u200b"), q), 1)
-            .when(F.col("name") == F.initcap(q), 2).otherwise(3))
-    w = Window.partitionBy("query").orderBy(rank, "pos")
-    best = v.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
-    return (searches.select("query").join(best, "query", "left")
-            .select("query", "id", "name", (rank < 3).alias("exact")))
+
+    def ranked(h):
+        rank = (F.when(h["name"] == q, 0).when(h["name"] == F.concat(F.lit("\u200b"), q), 1)
+                .when(h["name"] == F.initcap(q), 2).otherwise(3))
+        return F.struct(rank.alias("rank"), h["pos"].alias("pos"), h["id"].alias("id"), h["name"].alias("name"))
+
+    # each search row is resolved from its own hits, so a repeated query does not mix them
+    best = searches.select("query", F.array_min(F.transform("hits", ranked)).alias("h"))
+    return best.select("query", F.col("h.id").alias("id"), F.col("h.name").alias("name"), (F.col("h.rank") < 3).alias("exact"))
 
 
 def artist_record(info: DataFrame, genre: str) -> DataFrame:

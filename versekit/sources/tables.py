@@ -99,6 +99,23 @@ def registry(documents: DataFrame, labels: DataFrame, index: DataFrame | None =
     return reg.join(titles, "doc_id").select("genre", "artist", "dtag", "doc_id", "track_no", "title")
 
 
+def tracks_with_titles(documents: DataFrame, index: DataFrame, reg: DataFrame, tags: Iterable[str] | None = None) -> DataFrame:
+    """S3: (dtag, title, n_lines, lyrics) of every track, or of the given tags; title null outside the registry.
+
+    Tags are looked up in the index first, so only their tracks are cleaned."""
+    if tags is not None:
+        index = index.filter(F.col("dtag").isin(list(tags)))
+        documents = documents.join(index.select("doc_id"), "doc_id", "left_semi")
+    ln = lines(documents).select("doc_id", "line_no", F.array_join("tokens", " ").alias("cleaned"))
+    per = (ln.groupBy("doc_id")
+           .agg(F.count(F.lit(1)).alias("n_lines"),
+                F.array_sort(F.collect_list(F.struct("line_no", "cleaned"))).alias("_l")))
+    per = per.select("doc_id", "n_lines", F.array_join(F.transform("_l", lambda s: s["cleaned"]), " | ").alias("lyrics"))
+    j = index.select("doc_id", "dtag").join(reg.select("doc_id", "title"), "doc_id", "left").join(per, "doc_id", "left")
+    return j.select("dtag", "title", F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"),
+                    F.coalesce("lyrics", F.lit("")).alias("lyrics"))
+
+
 def registry_sizes(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(genre, artist, reg_size) — number of registered tracks per artist."""
     return (tracks_meta(documents).join(labels.select("doc_id"), "doc_id", "left_semi")
