@@ -443,6 +443,13 @@ def phrase_stats(spark, sf_dir):
     return P.phrase_stats(_phrase_model(spark, sf_dir))
 
 
+@register("phrase_list")
+def phrase_list(spark, sf_dir):
+    """The phrases in order of their scores."""
+    from ..operators import phrases as P
+    return P.phrase_list(_phrase_model(spark, sf_dir)).select("rank", "phrase", S.as_double(F.floor(F.col("score") * 1e4 + 0.5)).alias("score"))
+
+
 # --------------------------------------------------------------------------- vectors (embeddings table)
 
 def _emb(spark, sf_dir):

@@ -36,6 +36,7 @@ class Corpus:
         # True / "memory": MEMORY_AND_DISK persist; "table": written parquet tables in the
         # shared checkpoint folder (cuts lineage, survives executor loss without recompute);
         # False: nothing kept.  Default from VERSEKIT_KEEP (memory).
+        self._kept: list[DataFrame] = []
         self.persist = persist if persist is not None else os.environ.get("VERSEKIT_KEEP", "memory")
 
     @classmethod
@@ -56,7 +57,24 @@ class Corpus:
             path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/versekit-{tag}/{name}"
             df.write.mode("overwrite").parquet(path)
             return self.spark.read.parquet(path)
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self._kept.append(kept)
+        return kept
+
+    def release(self) -> None:
+        """Give back all persisted tables; they are built anew when next asked for."""
+        for df in self._kept:
+            df.unpersist()
+        self._kept.clear()
+        for name, attr in vars(type(self)).items():
+            if isinstance(attr, cached_property):
+                self.__dict__.pop(name, None)
+
+    @classmethod
+    def release_all(cls) -> None:
+        """Give back the tables of every shared corpus of this process."""
+        while _SHARED:
+            _SHARED.popitem()[1].release()
 
     def table(self, name: str) -> DataFrame:
         return TB.read_table(self.spark, self.sf_dir, name)

@@ -491,3 +491,7 @@ pr AS (SELECT l.topic, l.word AS wl, m.word AS wm FROM top l JOIN top m ON l.top
 SELECT CAST(topic AS BIGINT) AS topic, floor(sum(ln((both_n + 1) / n)) * 1e6 + 0.5) / 1e6 AS coherence FROM (
   SELECT pr.topic, df.n, (SELECT count(*) FROM d a JOIN d b ON a.doc_id = b.doc_id WHERE a.word = pr.wl AND b.word = pr.wm) AS both_n
   FROM pr JOIN df ON df.word = pr.wl) GROUP BY topic"""
+
+ORACLES["phrase_list"] = _PHR + """
+SELECT CAST(row_number() OVER (ORDER BY score DESC, phrase) AS BIGINT) AS rank, phrase, floor(score * 1e4 + 0.5) / 10000.0 AS score
+FROM phr WHERE score > 10.0"""
