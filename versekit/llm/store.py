@@ -15,15 +15,27 @@ from pyspark.sql import DataFrame, SparkSession
 from versekit.session import ensure_checkpoint_dir
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the session's checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet into the shared folder; return the table read back and its path."""
-    path = shared_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    """Write ``df`` as Parquet into the shared folder; return the table read back and its path.
+
+    The shuffle files of the write are deleted when it has ended (a public SQL
+    setting, restored afterwards): nothing reads them again once the table is there.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
