@@ -9,12 +9,12 @@ common prefix: in a region of up to ``SMALL`` nodes all pairs are, in a denser o
 depth adapts - each node meets its ``NEAR`` next nodes, which there share the longest
 prefixes.  Candidates that differ too much in set size are dropped exactly.
 
-Links are confirmed on full sets, best candidates first: each round takes a few
-candidates of every node that lead to another component, compares the sets,
-and joins components; rounds go on until no candidate leads to another
-component.  What dense regions left uncompared is settled last: nodes outside a
-region's largest component meet all its nodes, in blocks, by signature estimate
-(``LOOSE`` is far below the threshold), and then by full sets.
+Links are confirmed on full sets: first every node's best candidate, then all
+candidates that still lead to another component and whose signatures agree in
+at least ``LOOSE`` of their values (far below the threshold: a pair at 0.8 falls
+below with probability 5e-7).  What dense regions left uncompared is settled last: nodes outside a
+region's largest component meet all its nodes, in blocks, by the same signature estimate, and
+then by full sets.
 
 A pair at the threshold 0.8 shares no region with probability
 (1 - 0.8^LEAST)^TREES = 3e-7.
@@ -32,10 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versekit.llm.components import components
+from versekit.llm.sketch import mark_repeated, marked
 from versekit.llm.store import discard, keep
 from versekit.llm.textbuf import U64, Prefix, mix, slices, utf8, words
 
@@ -113,21 +114,41 @@ def signed(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text
         run, "doc_id long, n_shingles long, node long, sig binary")
 
 
+def _region_hashes(sig: np.ndarray) -> np.ndarray:
+    """(nodes, TREES) hashes of the regions that nodes lie in."""
+    out = np.zeros((len(sig), TREES), U64)
+    for t in range(TREES):
+        h = np.full(len(sig), t + 1, U64)
+        for k in range(LEAST):
+            h = mix(h * U64(11) + sig[:, _ORDER[t, k]])
+        out[:, t] = h
+    return out
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+
+
 def _labels(nodes: DataFrame) -> DataFrame:
-    """(tree, label, node, n) of every node in every tree; labels compare like their values."""
+    """(tree, label, node, n) of every node in every tree where its region holds other nodes; labels compare like their values."""
+    sigs = nodes.select("sig", "node", "n_shingles")
+    sent = nodes.sparkSession.sparkContext.broadcast(mark_repeated(sigs.select("sig"), lambda b: _region_hashes(_matrix(b.column("sig"))).ravel()))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
         for b in it:
             if not b.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+            sig = _matrix(b.column("sig"))
+            shared = marked(bits, _region_hashes(sig))
             for t in range(TREES):
-                raw = sig[:, _ORDER[t]].astype(">u4").tobytes()
+                own = np.flatnonzero(shared[:, t])
+                raw = sig[own][:, _ORDER[t]].astype(">u4").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(sig), t, np.int32)), pa.array([raw[i:i + 4 * DEPTH] for i in range(0, len(raw), 4 * DEPTH)], pa.binary()),
-                     b.column("node"), b.column("n_shingles")], names=["tree", "label", "node", "n"])
+                    [pa.array(np.full(len(own), t, np.int32)), pa.array([raw[i:i + 4 * DEPTH] for i in range(0, len(raw), 4 * DEPTH)], pa.binary()),
+                     b.column("node").take(pa.array(own)), b.column("n_shingles").take(pa.array(own))], names=["tree", "label", "node", "n"])
 
-    return nodes.select("sig", "node", "n_shingles").mapInArrow(run, "tree int, label binary, node long, n long")
+    return sigs.mapInArrow(run, "tree int, label binary, node long, n long")
 
 
 def _neighbours(share: int):
@@ -184,20 +205,43 @@ def _pairs(labels: DataFrame, share: int) -> DataFrame:
 def _sets(docs: DataFrame, chosen: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
     """(node, items): the full sets of nodes, from the documents that ``chosen`` (node, first) names."""
 
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array([squeeze(t.encode()) for t in batch.column("t").to_pylist()], pa.binary())], names=["d", "z"])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         for batch in it:
-            for part in slices(batch, "t"):
+            # one decompressor call per text; a batch of compressed texts is bounded like one of texts
+            t = pa.array([zstandard.ZstdDecompressor().decompress(z) for z in batch.column("z").to_pylist()], pa.binary()).cast(pa.string())
+            for part in slices(pa.RecordBatch.from_arrays([t, batch.column("w")], names=["t", "w"]), "t"):
                 h, off = shingle_sets(*utf8(part.column("t")), size)
                 raw, cut = h.tobytes(), (off * 8).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(h, off)), part.column("w"), pa.array([raw[a:b] for a, b in zip(cut, cut[1:])], pa.binary())],
                                                  names=["node", "want", "items"])
 
-    d = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    wanted = d.join(chosen.select(F.col("first").alias("d2"), F.col("node").alias("w")), F.col("d").eqNullSafe(F.col("d2")))
-    got = wanted.select("t", "w").mapInArrow(run, "node long, want long, items binary").filter("node = want")
+    packed = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(pack, "d long, z binary")
+    wanted = packed.join(chosen.select(F.col("first").alias("d2"), F.col("node").alias("w")), F.col("d").eqNullSafe(F.col("d2")))
+    got = wanted.select("z", "w").mapInArrow(run, "node long, want long, items binary").filter("node = want")
     return got.select("node", "items").dropDuplicates(["node"])
 
 
+def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs whose signatures agree in at least ``LOOSE`` of their values."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows:
+                ok = (_matrix(b.column("x")) == _matrix(b.column("y"))).sum(axis=1) >= LOOSE * HASHES
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in (b.column("a"), b.column("b"))], names=["a", "b"])
+
+    j = (pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a")
+         .join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b"))
+    return j.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """(a, b, linked) of every pair, by their full sets."""
 
@@ -280,36 +324,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: int = 80, doc_id: str
     sets = links = roots = None
 
     def settle(pairs: DataFrame) -> None:
-        """Confirm candidates, best first, until none leads to another component."""
+        """Confirm every node's best candidate first, then all that still lead to another component and come near."""
         nonlocal sets, links, roots
         tried = None
-        for most in (1, 4, 16, 64, None):
+        for best_only in (True, False):
             open_pairs = _across(pairs, roots)
-            if tried is not None:
-                open_pairs = open_pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-            if most is not None:
+            if best_only:
                 both = open_pairs.select("a", "b", "score").unionByName(open_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-                w = Window.partitionBy("a").orderBy(F.col("score").desc(), "b")
-                open_pairs = (both.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
-                              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+                best = both.groupBy("a").agg(F.max(F.struct("score", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+                open_pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            else:
+                open_pairs = _near(open_pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), nodes)
             open_pairs, open_path = keep(open_pairs.select("a", "b"), "forest-open")
             if not open_pairs.limit(1).count():
                 discard(spark, open_path)
-                return
-            need = open_pairs.select(F.col("a").alias("node")).unionByName(open_pairs.select(F.col("b").alias("node"))).distinct()
-            if sets is None:
+                if best_only:
+                    return
+                break
+            if best_only:  # the texts are read once for all of these candidates
                 ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-                sets, _ = keep(_sets(docs, nodes.join(ends, "node", "left_semi"), size, doc_id, text), "forest-sets")
-                have = sets.select("node")
-            else:
-                have = sets.select("node")
-            more = need.join(have, "node", "left_anti")
-            if more.limit(1).count():
-                extra, _ = keep(_sets(docs, nodes.join(more, "node", "left_semi"), size, doc_id, text), "forest-sets")
-                sets = sets.unionByName(extra)
+                if sets is not None:
+                    ends = ends.join(sets.select("node"), "node", "left_anti")
+                if sets is None or ends.limit(1).count():
+                    more, _ = keep(_sets(docs, nodes.join(ends, "node", "left_semi"), size, doc_id, text), "forest-sets")
+                    sets = more if sets is None else sets.unionByName(more)
             done, _ = keep(_confirm(open_pairs, sets, share), "forest-confirmed")
             discard(spark, open_path)
-            tried = done if tried is None else tried.unionByName(done)
+            tried = done.select("a", "b")
             new = done.filter("linked").select("a", "b")
             links = new if links is None else links.unionByName(new)
             roots, _ = keep(components(links, "a", "b"), "forest-roots")

@@ -24,7 +24,7 @@ HELD = 2_000_000
 
 
 def mark_repeated(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """The bitmap of ``hashes`` (64-bit, of a batch with a text column t) over all rows of ``docs``."""
+    """The bitmap of ``hashes`` (64-bit, of a batch) over all rows of ``docs``; batches are cut by their text column t, if there is one."""
     shift = 32 - (PARTS - 1).bit_length()
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +38,7 @@ def mark_repeated(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray
             return pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS), pa.int32()), pa.array([v[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["part", "v"])
 
         for batch in it:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t") if "t" in batch.schema.names else (batch,):
                 held.append((hashes(part) >> U64(32)).astype(np.uint32))
                 if sum(map(len, held)) > HELD:
                     yield flush()
