@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from versekit.llm.encoding import tokenizer_path
+from versekit.llm.store import keep
 from versekit.llm.textbuf import slices
 
 BLOCK = 1024
@@ -64,7 +65,8 @@ def length_histogram(docs: DataFrame, ranks: str | None = None, text: str = "tex
     ``lost_tokens`` = what a limit of ``tokens`` cuts off; ``share_below`` = the share of
     documents shorter than the length.
     """
-    hist = encoded_lengths(docs, ranks, text).groupBy("tokens").agg(F.sum("n_docs").alias("n_docs"))
+    # kept, as both the histogram and its block totals read it
+    hist, _ = keep(encoded_lengths(docs, ranks, text).groupBy("tokens").agg(F.sum("n_docs").alias("n_docs")), "lengths")
     hist = hist.withColumns({"_b": F.floor(F.col("tokens") / BLOCK), "_t": F.col("tokens") * F.col("n_docs")})
     blocks = hist.groupBy("_b").agg(F.sum("n_docs").alias("_bn"), F.sum("_t").alias("_bt"))
     # one row per block of lengths; the window below runs over blocks alone
