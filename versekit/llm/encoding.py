@@ -2,8 +2,9 @@
 
 A pre-tokenizer that never joins a chunk to what follows makes the ids of a
 text the concatenation of its chunks' ids, so chunks are encoded once and
-remembered.  The memory is a cache of bounded size (``CACHE_CHUNKS``): when it
-is full it starts anew, and results do not depend on it.
+remembered.  The memory is a cache of bounded size: two generations of
+``CACHE_CHUNKS``, of which the older is dropped when the younger is full (what
+is met again moves over); results do not depend on it.
 
 * ``byte_bpe_50k.json`` (byte-level, a space belongs to the word after it):
   a text may be cut before every single space that precedes a non-space.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 350_000
 LONGEST_CHUNK = 64
 LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
 
@@ -63,6 +64,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.chunks = word_chunks if words else byte_chunks
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.signs: dict[str, bytes] = {}
         from tokenizers.pre_tokenizers import ByteLevel
         # how the library writes each letter's bytes; lower-cased where its normalizer does that
@@ -78,12 +80,15 @@ class Encoder:
         """Ids of chunks: a word of plain letters and the signs behind it are two pre-tokens; others go through the whole tokenizer."""
         other = []
         for x in new:
+            if x in self.old:
+                yield x, self.old[x]
+                continue
             m = _WORD_AND_SIGNS.fullmatch(x)
             if m is None:
                 other.append(x)
                 continue
             word, signs = m.groups()
-            ids = self.known.get(word)
+            ids = self.known.get(word) or self.old.get(word)
             if ids is None:
                 ids = self._plain(word)
                 if signs:
@@ -101,7 +106,7 @@ class Encoder:
         cut = [self.chunks(t) if t else [] for t in texts]
         tail = b"" if end is None else int(end).to_bytes(4, "little")
         if len(self.known) > CACHE_CHUNKS:
-            self.known = {}
+            self.old, self.known = self.known, {}
         known = self.known
         new = set().union(*cut) - known.keys() if cut else set()
         long = {}
