@@ -24,8 +24,6 @@ WS_CLASS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 WS_SPLIT = WS_CLASS + "+"
-# A raw line shorter than MIN_LINE_CHARS (newline excluded) is skipped by the reader.
-SHORT_LINE = r"(?m)^[^\n]{0,%d}$" % (refdata.MIN_LINE_CHARS - 1)
 # Digits glued to a word at the end of a line (page counters).
 LINE_END_DIGITS = r"([a-z])[0-9]+(\n|$)"
 BRACKETED = r"\[[^\n]+\]"

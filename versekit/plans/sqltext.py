@@ -1,13 +1,18 @@
-"""SQL text for the oracle side (DuckDB dialect) built from the same fixed values.
+"""SQL text for the oracle side (DuckDB dialect).
 
-These strings are the *independent* statement of each query used by the
-correctness gate; they are not executed by the library itself.
+The statements and patterns are written out here and share no code with the
+library's expressions; only the fixed word lists and character tables
+(``refdata``) are the same.  They are not executed by the library itself.
 """
 
 from __future__ import annotations
 
 from .. import refdata  # noqa: F401
-from ..functions import text as T
+
+# patterns, stated here and not taken from the library
+LINE_END_DIGITS = r"([a-z])[0-9]+(\n|$)"
+BRACKETED = r"\[[^\n]+\]"
+WS_SPLIT = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def lit(s: str) -> str:
@@ -22,20 +27,20 @@ def clean_text_sql(expr: str) -> str:
     src, dst = refdata.char_map_from_to()
     c = f"translate(translate(lower({expr}), {lit(src)}, {lit(dst)}), " \
         f"{lit(refdata.QUOTEDASH_FROM)}, {lit(refdata.QUOTEDASH_TO)})"
-    c = f"regexp_replace({c}, {lit(T.LINE_END_DIGITS)}, '\\1\\2', 'g')"
+    c = f"regexp_replace({c}, {lit(LINE_END_DIGITS)}, '\\1\\2', 'g')"
     for k, v in refdata.CONTRACTIONS:
         c = f"replace({c}, {lit(k)}, {lit(v)})"
-    c = f"regexp_replace({c}, {lit(T.BRACKETED)}, '', 'g')"
+    c = f"regexp_replace({c}, {lit(BRACKETED)}, '', 'g')"
     return f"translate({c}, {lit(refdata.PUNCTUATION)}, '')"
 
 
 def split_ws_sql(expr: str) -> str:
-    return f"list_filter(regexp_split_to_array({expr}, {lit(T.WS_SPLIT)}), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({expr}, {lit(WS_SPLIT)}), lambda w: w <> '')"
 
 
 def clean_tokens_sql(expr: str, stops=None) -> str:
     stops = refdata.CORESTOPS if stops is None else stops
-    return (f"list_filter(regexp_split_to_array({clean_text_sql(expr)}, {lit(T.WS_SPLIT)}), "
+    return (f"list_filter(regexp_split_to_array({clean_text_sql(expr)}, {lit(WS_SPLIT)}), "
             f"lambda w: w <> '' AND NOT list_contains({str_list(stops)}, w))")
 
 
