@@ -25,7 +25,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into row ranges of about ``most`` text bytes (a longer text stays whole, alone)."""
     _, off = utf8(batch.column(text))
     i = 0
@@ -49,19 +49,37 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(MULT))
 
 
+_POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n + 1 powers of the multiplier and of its inverse, kept for the next call."""
+    if len(_POWERS[0]) <= n:
+        for i, base in enumerate((MULT, INVERSE)):
+            p = np.full(2 * n + 2, base, U64)
+            p[0] = 1
+            np.multiply.accumulate(p, out=p)
+            _POWERS[i] = p
+    return _POWERS[0][:n + 1], _POWERS[1][:n + 1]
+
+
 class Prefix:
     """Polynomial prefix hashes (mod 2^64) of a byte array: the hash of any slice in O(1)."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        self.up = np.full(n + 1, MULT, U64)
-        self.up[0] = 1
-        np.multiply.accumulate(self.up, out=self.up)
-        self.down = np.full(n + 1, INVERSE, U64)
-        self.down[0] = 1
-        np.multiply.accumulate(self.down, out=self.down)
+        up, self.down = _powers(n)
         self.sum = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE_CODES[data] * self.up[:n], out=self.sum[1:])
+        np.cumsum(_BYTE_CODES[data] * up[:n], out=self.sum[1:])
+
+    def every(self, size: int) -> np.ndarray:
+        """Hash of every slice of ``size`` bytes, by its start (not comparable with ``slice``)."""
+        h = self.sum[size:] - self.sum[:-size]
+        h *= self.down[:len(h)]
+        h ^= h >> U64(29)
+        h *= U64(0xBF58476D1CE4E5B9)
+        h ^= h >> U64(32)
+        return h
 
     def slice(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of data[start:end]; the length is part of it."""
