@@ -41,6 +41,16 @@ def test_planted(spark):
     assert templates.contaminated(df.limit(0), bench).count() == 0 and templates.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_names_that_open_sentences(spark):
+    item = "Tom has 5 apples. Tom gives 2 to Mary. Mary eats 1 of them. Mary buys 4 more. How many apples do they have now?"
+    ren = item.replace("Tom", "Carl").replace("Mary", "Zoe").replace("5", "9").replace("2", "3").replace("4", "6")
+    # another skeleton: the names stand for different ones from place to place
+    mixed = "Carl has 9 apples. Zoe gives 3 to Anna. Peter eats 1 of them. Mona buys 6 more. How many apples do they have now?"
+    docs = [(1, "Some words before. " + ren + " And more."), (2, item.lower()), (3, mixed), (4, item)]
+    got = templates.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 2, 4]
+
+
 def test_without_the_local_filter(spark, monkeypatch):
     docs, bench = sample(), sample("benchmark")
     df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in docs][:250], "doc_id long, text string")

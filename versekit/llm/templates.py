@@ -6,7 +6,8 @@ words), units (a word of ``UNITS`` behind a number) and names (a capitalised wor
 inside a sentence).  Windows of ``WINDOW`` template tokens are hashed; document
 windows and benchmark windows meet in a hash join.  Names are also compared as
 plain words (a second form of every window that holds one), so changed case or
-punctuation does not hide a copy.  A pair of document and item is contaminated if
+punctuation does not hide a copy; a capitalised word that opens a sentence may be a
+name or not, so windows with one have a form in which it is typed as a name too.  A pair of document and item is contaminated if
 at least ``SHARE`` of the item's windows are found in one place of the document, in
 the item's order (within the drift of a few inserted words), with consistent
 slots: each placeholder value of the item stands for one value of the document and no two
@@ -64,9 +65,14 @@ _UNITS, _NUMBERS = _known(UNITS), _known(NUMBERS)
 
 def template_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, kind, value) of every token; kind 0 is a plain word, value the hash of the lower-cased token."""
+    return _tokens(data, off)[:3]
+
+
+def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``template_tokens``, and whether a token is a plain word that opens a sentence with a capital (perhaps a name)."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, U64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, U64), np.zeros(0, bool)
     nxt, prv = np.append(data[1:], 0).astype(np.uint8), np.concatenate([[0], data[:-1]]).astype(np.uint8)
     digit = (data >= 48) & (data <= 57)
     upper = (data >= 65) & (data <= 90)
@@ -95,37 +101,40 @@ def template_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.n
     value = Prefix(lower).slice(start, end)
     out = np.zeros(len(start), np.int8)
     out[digit[start] | _one_of(value, _NUMBERS)] = NUMBER
+    capital = upper[start] | ((data[start] == 0xC3) & (nxt[start] >= 0x80) & (nxt[start] <= 0x9E))
     if len(start) > 1:
         behind = np.concatenate([[False], (out[:-1] == NUMBER) & (row[1:] == row[:-1])])
         out[behind & (out == 0) & _one_of(value, _UNITS)] = UNIT
         stops = np.concatenate([[0], np.cumsum((data == 46) | (data == 33) | (data == 63) | (data == 10) | (data == 58))])
         inside = np.concatenate([[False], (row[1:] == row[:-1]) & (stops[start[1:]] == stops[end[:-1]])])
-        capital = upper[start] | ((data[start] == 0xC3) & (nxt[start] >= 0x80) & (nxt[start] <= 0x9E))
         out[inside & capital & (out == 0)] = NAME
-    return row, out, value
+    return row, out, value, capital & (out == 0)
 
 
 def template_windows(data: np.ndarray, off: np.ndarray, size: int = WINDOW) -> tuple[tuple, np.ndarray, np.ndarray]:
-    """((row, position in the row, hash, token index, names typed) of every window in both forms, kinds, values).
+    """((row, position in the row, hash, token index, form) of every window in its forms, kinds of every form, values).
 
-    The forms: names as plain words, and names typed (only of windows with a name)."""
-    row, kind, value = template_tokens(data, off)
+    The forms: names as plain words, names typed (only of windows with a name), and words that
+    open a sentence with a capital typed as names too (only of windows with one)."""
+    row, kind, value, opening = _tokens(data, off)
+    kinds = np.stack([np.where(kind == NAME, 0, kind), kind, np.where(opening, NAME, kind)]).astype(np.uint8)
     if len(row) < size:
         z = np.zeros(0, np.int64)
-        return (z, z, z.astype(U64), z, z.astype(bool)), kind, value
+        return (z, z, z.astype(U64), z, z), kinds, value
     at = np.flatnonzero(row[size - 1:] == row[:-(size - 1)])
     first = np.searchsorted(row, np.arange(len(off) - 1))
     out = []
-    named = np.concatenate([[0], np.cumsum(kind == NAME)])
-    for names in (False, True):
-        own = at[named[at + size] > named[at]] if names else at
-        typed = (kind > 0) if names else (kind > 0) & (kind != NAME)
-        code = np.where(typed, kind.astype(U64), value)
+    for form, need in enumerate((None, kind == NAME, opening)):
+        own = at
+        if need is not None:
+            n = np.concatenate([[0], np.cumsum(need)])
+            own = at[n[at + size] > n[at]]
+        code = np.where(kinds[form] > 0, kinds[form].astype(U64), value)
         h = np.zeros(len(own), U64)
         for k in range(size):
             h = mix(h * U64(31) + code[own + k])
-        out.append((row[own], own - first[row[own]], h, own, np.full(len(own), names)))
-    return tuple(np.concatenate([a, b]) for a, b in zip(*out)), kind, value
+        out.append((row[own], own - first[row[own]], h, own, np.full(len(own), form)))
+    return tuple(np.concatenate(c) for c in zip(*out)), kinds, value
 
 
 WINDOWS = "th long, pos int, h long, kinds binary, slots array<long>"
@@ -138,16 +147,15 @@ def _windows(texts: DataFrame, wanted: np.ndarray | None) -> DataFrame:
         for batch in it:
             for part in slices(batch, "t"):
                 data, off = utf8(part.column("t"))
-                (row, pos, h, at, names), kind, value = template_windows(data, off)
+                (row, pos, h, at, form), kinds_of, value = template_windows(data, off)
                 text_hash = Prefix(data).slice(off[:-1], off[1:])
                 if wanted is not None and len(h):
                     hit = _one_of(h, wanted)
-                    row, pos, h, at, names = row[hit], pos[hit], h[hit], at[hit], names[hit]
+                    row, pos, h, at, form = row[hit], pos[hit], h[hit], at[hit], form[hit]
                 if not len(h):
                     continue
                 places = at[:, None] + np.arange(WINDOW)
-                kinds = kind[places].astype(np.uint8)
-                kinds[(kinds == NAME) & ~names[:, None]] = 0  # plain words in this form
+                kinds = kinds_of[form[:, None], places]
                 slots = np.where(kinds > 0, value[places], 0).astype(np.int64)
                 cols = [part.column("k").take(pa.array(row)), pa.array(text_hash[row].astype(np.int64)), pa.array(pos, pa.int32()), pa.array(h.astype(np.int64)),
                         pa.array([x.tobytes() for x in kinds], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, 5 * len(h) + 1, WINDOW), pa.int32()), pa.array(slots.ravel()))]
