@@ -53,6 +53,15 @@ def test_hard_rows(spark, hard_docs, no_docs):
     assert max(texts.values()) == 1 and {d for d, _ in texts} == {3, None, 9, 7, 1, 2, 8, 4, -6, 12}
 
 
+def test_clean_documents_stay_beside_others_of_their_id(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    a, b, c = (" ".join(f"{x}{i * 7919 % 1000}" for i in range(80)) for x in ("ab", "cd", "ef"))
+    rows = [(5, a), (5, b), (4, a), (None, a), (None, c), (6, c + " extra"), (7, item), (7, "clean"), (None, item), (None, "clean too")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert Counter(pairs(cp.near_duplicates(spark, docs, SF).collect())) == Counter([(4, a), (5, b), (6, c + " extra"), (7, "clean"), (None, "clean too"), (7, item)])
+    assert Counter(pairs(cp.benchmark_leaks(spark, docs, SF).collect())) == Counter(r for r in rows if r[1] != item)
+
+
 def test_run(spark):
     import __spark_entry__ as entry
     assert entry.queries()["pipeline"](spark, "/root/testdata/sf0.001").columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
