@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versekit.llm import forest, lengths, packing, passages, quality, sharding, suffixes, templates, urls, wavelet
+from versekit.llm import audit, forest, lengths, packing, passages, quality, sharding, suffixes, templates, urls, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +65,12 @@ def op10_template_canonicalisation(spark: SparkSession, sf_dir: str) -> DataFram
     return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_kneser_ney_bands, op2_histogram_sort, op3_collinear_chaining, op4_length_histogram, op5_redirect_equivalence, op6_lsh_forest, op7_column_wise_suffixes, op8_best_two_fit, op9_wavelet_matrix,
-                                   op10_template_canonicalisation)}
+                                   op10_template_canonicalisation, op13_filter_audit)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_filter_audit": audit.ORACLE}
