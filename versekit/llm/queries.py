@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versekit.llm import audit, dialogue, forest, lengths, packing, passages, quality, sharding, suffixes, templates, urls, wavelet
+from versekit.llm import audit, dialogue, forest, lengths, packing, passages, quality, sharding, suffixes, templates, toxicity, urls, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_template_canonicalisation(spark: SparkSession, sf_dir: str) -> DataFram
     return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_edit_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repairs(dialogue.damage(table(spark, sf_dir, "conversations")))
 
@@ -75,6 +79,6 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_kneser_ney_bands, op2_histogram_sort, op3_collinear_chaining, op4_length_histogram, op5_redirect_equivalence, op6_lsh_forest, op7_column_wise_suffixes, op8_best_two_fit, op9_wavelet_matrix,
-                                   op10_template_canonicalisation, op12_edit_lattice, op13_filter_audit)}
+                                   op10_template_canonicalisation, op11_compression_distance, op12_edit_lattice, op13_filter_audit)}
 
 ORACLES: dict[str, str] = {"op13_filter_audit": audit.ORACLE}
