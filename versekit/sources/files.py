@@ -9,7 +9,7 @@ is read and written in parallel.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +17,6 @@ from .. import refdata
 from ..functions import text as TX
 from ..session import keep_table, path_exists
 
-MARKER_SPLIT = r"(?m)^" + refdata.TRACK_MARKER + r"[^\n]*(\n|$)"
-
 ARTIST_INFO_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("name", T.StringType()),
     T.StructField("url", T.StringType()), T.StructField("following", T.LongType()),
@@ -39,21 +37,57 @@ def artist_from_file(name: Column) -> Column:
     return F.substring_index(rest, ".", 1)
 
 
+def _offsets(records: DataFrame, start: str, length: int) -> DataFrame:
+    """(file, block, before, n_file, ended, headed) — one narrow row per block of a file: records of the file before it,
+    all records, whether the file ends with a separator, and whether it begins with a marker line."""
+    last = F.max_by(F.col("size"), F.col("at"))
+    blocks = records.groupBy("file", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + length).alias("bytes"), last.alias("size"),
+        F.min_by(F.startswith("value", F.lit(start)), F.col("at")).alias("headed"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("file")
+    # what the records and their separators take, against the size: without a last separator the file is shorter (a byte order mark, if any, is not part of a record)
+    rest = F.col("size") - F.sum("bytes").over(every)
+    return blocks.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(every).alias("n_file"),
+                         rest.isin(0, 3).alias("ended"), F.first("headed").over(every.orderBy("block")).alias("headed"))
+
+
 def read_tracks(spark: SparkSession, path: str, keep_tail: bool = False) -> DataFrame:
     """(genre, artist, file, track_no, text) of every track in the corpus files.
 
     Text after the last marker is dropped (the original emits a track only on
-    a marker) unless ``keep_tail``.  One file is one record (one artist), read
-    whole; files are spread over tasks.
+    a marker) unless ``keep_tail``.  The marker that begins a line separates the
+    reader's records, so a file of any size is read by as many tasks as it has
+    splits and a record is a track.  A track's number is its place in its
+    split (in the order of the split's rows) after the records of the splits before it, from
+    one row per split.  An empty file has no track; lines end with a line feed.
     """
-    raw = (spark.read.text(path, wholetext=True)
-           .select(F.col("value"), F.col("_metadata.file_name").alias("_fn")))
-    parts = raw.select("_fn", F.split("value", MARKER_SPLIT).alias("_p"))
+    start = refdata.TRACK_MARKER
+    sep = "\n" + start
+    rows = (spark.read.text(path, lineSep=sep)
+            .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("_fn"), F.col("_metadata.file_size").alias("size"),
+                    F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")))
+    firsts = rows.groupBy("file", "block").agg(F.min("at").alias("first"))
+    at = _offsets(rows, start, len(sep)).join(firsts, ["file", "block"])
+    r = rows.drop("size").join(at, ["file", "block"]).withColumn("i", F.col("at") - F.col("first") + F.col("before"))
+    value, top = F.col("value"), F.col("i") == 0
+    line = F.instr("value", "\n")  # behind a separator stands the rest of the marker's line
+    inner = F.when(line > 0, F.expr("substring(value, instr(value, '\n') + 1)")).otherwise("")
+    closed = F.col("ended") | (F.col("i") < F.col("n_file") - 1)
+    body = F.when(top & ~F.col("headed"), value).otherwise(inner)
+    # the separator took the line feed before the marker, which ends the track's last line
+    text = F.concat(body, F.when(closed & ((top & ~F.col("headed")) | (line > 0)), F.lit("\n")).otherwise(""))
+    entry = lambda shift, t, ended: F.struct((F.col("i") + shift).alias("track_no"), t.alias("text"), ended.alias("closed"))
+    shift = F.col("headed").cast("int")
+    parts = F.array(entry(shift, text, closed),
+                    # a file that begins with a marker has an empty first track, one that ends with a marker an empty tail
+                    F.when(top & F.col("headed"), entry(F.lit(0), F.lit(""), F.lit(True))),
+                    F.when(F.col("ended") & (F.col("i") == F.col("n_file") - 1), entry(shift + 1, F.lit(""), F.lit(False))))
+    out = r.select("_fn", F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("t"))
     if not keep_tail:
-        parts = parts.withColumn("_p", F.slice("_p", 1, F.greatest(F.size("_p") - 1, F.lit(0))))
-    out = parts.select("_fn", F.posexplode("_p").alias("track_no", "text"))
+        out = out.filter("t.closed")
     return out.select(genre_from_file(F.col("_fn")).alias("genre"), artist_from_file(F.col("_fn")).alias("artist"),
-                      F.col("_fn").alias("file"), F.col("track_no").cast("bigint").alias("track_no"), "text")
+                      F.col("_fn").alias("file"), F.col("t.track_no").cast("bigint").alias("track_no"), F.col("t.text").alias("text"))
 
 
 def track_words(tracks: DataFrame, stops=None) -> DataFrame:
@@ -100,22 +134,28 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_registry(spark: SparkSession, entries: DataFrame, path: str) -> DataFrame:
-    """Append (genre, artist, dtag, title) rows, skipping tags already present (the
+    """Append (genre, artist, dtag, title) rows, skipping those already present (the
     duplicate check the original documents).  Returns what was added.
 
-    A tag is its artist followed by the ordinal; both are stored.  Lines hold at
+    A registry entry is a genre's, an artist's and a tag's: one tag may stand under
+    several genres or artists.  The ordinal is the entry's ``track_no`` if it has that
+    column, else the number behind the artist's name in the tag; a tag of
+    another form has no ordinal (null) and is stored as well.  Lines hold at
     most ``REGISTRY_BLOCK`` entries.  Only a missing path counts as a first write.
     """
     bad = entries.filter(~F.col("genre").isin(refdata.GENRES)).limit(1).count()
     if bad:
         raise ValueError("unknown genre in registry entries")
-    new = entries.dropDuplicates(["dtag"])
+    key = ["genre", "artist", "dtag"]
+    new = entries.dropDuplicates(key)
     if path_exists(spark, path):
-        new = new.join(read_registry(spark, path).select("dtag"), "dtag", "left_anti")
+        old = read_registry(spark, path).select(*key).distinct()
+        new = new.join(old, [new[c].eqNullSafe(old[c]) for c in key], "left_anti")
     # the rows to add are fixed before the folder they are compared with changes
     new = keep_table(new.select(*entries.columns), "registry")
-    no = F.expr("CAST(substring(dtag, length(artist) + 1) AS bigint)")
-    per = (new.withColumn("no", no).groupBy("genre", "artist", F.floor(F.col("no") / REGISTRY_BLOCK).alias("block"))
+    behind = F.when(F.startswith("dtag", "artist"), F.expr("try_cast(substring(dtag, length(artist) + 1) AS bigint)"))
+    no = F.coalesce(F.col("track_no").cast("bigint"), behind) if "track_no" in entries.columns else behind
+    per = (new.withColumn("no", no).groupBy("genre", "artist", F.floor(F.coalesce("no", F.pmod(F.xxhash64("dtag"), F.lit(1 << 40))) / REGISTRY_BLOCK).alias("block"))
            .agg(F.array_sort(F.collect_list(F.struct("no", "dtag", "title"))).alias("tracks")))
     per.select("genre", F.to_json(F.struct("artist", "tracks")).alias("value")).write.mode("append").partitionBy("genre").text(path)
     return new
