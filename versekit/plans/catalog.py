@@ -659,6 +659,74 @@ def doc_vectors(spark, sf_dir):
     return dv.select("doc_id", F.size("v").cast("bigint").alias("dim"), V.r6(V.norm(F.col("v"))).alias("norm"))
 
 
+DBOW_MIN_COUNT = 2
+
+
+def _dbow(spark, sf_dir, docs, key):
+    """Paragraph vectors of documents against the corpus' word vectors, words met once left out."""
+    from ..operators import docvec as DV
+    from ..operators import models as M
+    c = _c(spark, sf_dir)
+    words = M.word_vectors(_w2v(spark, sf_dir)).join(S.word_freq_counts(c.counts, DBOW_MIN_COUNT), "word")
+    return DV.dbow_vectors(docs.select(key, "words"), key, "words", words, DV.Settings(dim=W2V["dim"]))
+
+
+def _dbow_tracks(spark, sf_dir):
+    """Paragraph vectors of all tracks, written once for a session's corpus."""
+    from ..session import keep_table
+    c = _c(spark, sf_dir)
+    _w2v(spark, sf_dir)
+    if "dbow" not in c._models:
+        c._models["dbow"] = keep_table(_dbow(spark, sf_dir, c.doc_words, "doc_id"), "dbow")
+    return c._models["dbow"]
+
+
+@register("doc_vectors_dbow")
+def doc_vectors_dbow(spark, sf_dir):
+    """E3, second mode: paragraph vector (distributed bag of words) of every track."""
+    from ..operators import vectors as V
+    return _dbow_tracks(spark, sf_dir).select("doc_id", F.size("v").cast("bigint").alias("dim"), V.r6(V.norm(F.col("v"))).alias("norm"))
+
+
+@register("infer_doc_dbow")
+def infer_doc_dbow(spark, sf_dir):
+    """E4, second mode: paragraph vectors of unseen benchmark sentences."""
+    from ..operators import vectors as V
+    v = _dbow(spark, sf_dir, _sentences(spark, sf_dir, "benchmark"), "sid")
+    return v.select(F.col("sid").alias("item_id"), F.size("v").cast("bigint").alias("dim"), V.r6(V.norm(F.col("v"))).alias("norm"))
+
+
+@register("similar_docs_dense")
+def similar_docs_dense(spark, sf_dir, k: int = 10):
+    """E5, dense: the 10 tracks nearest to each benchmark sentence by paragraph vectors, through the hashed index."""
+    from ..operators import dense_index as DI
+    from ..operators import vectors as V
+    tracks = _dbow_tracks(spark, sf_dir)
+    planes = DI.fit(tracks, "doc_id", "v")
+    index = DI.build(tracks, "doc_id", "v", planes, k)
+    out = DI.search(index, planes, _dbow(spark, sf_dir, _sentences(spark, sf_dir, "benchmark"), "sid"), "sid", "v", k, key="doc_id")
+    return out.select(F.col("sid").alias("item_id"), "rank", "doc_id", V.r6(F.col("sim")).alias("sim"))
+
+
+@register("similar_vec_index")
+def similar_vec_index(spark, sf_dir, k: int = 10):
+    """E5/E6 through the hashed index: the 10 vectors nearest to each one whose id is divisible by 50."""
+    from ..operators import dense_index as DI
+    from ..operators import vectors as V
+    e = _emb(spark, sf_dir)
+    planes = DI.fit(e, "vec_id", "embedding")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    out = DI.search(DI.build(e, "vec_id", "embedding", planes, k), planes, q, "query_id", "embedding", k, key="vec_id", exclude_same=True)
+    return out.select("query_id", "rank", "vec_id", V.r6(F.col("sim")).alias("sim"))
+
+
+@register("vocab_limit")
+def vocab_limit(spark, sf_dir, limit: int = 600):
+    """The words that a vocabulary limit of 600 leaves (the original's default), and the least count it asks for."""
+    from ..operators import models as M
+    return M.limit_vocabulary(S.word_freq_counts(_c(spark, sf_dir).counts, 1), limit)
+
+
 def _query_vectors(spark, sf_dir):
     from ..operators import models as M
     c = _c(spark, sf_dir)
@@ -806,11 +874,35 @@ def infer_topics(spark, sf_dir):
 
 @register("topic_diff")
 def topic_diff(spark, sf_dir):
-    """Hellinger distances between the topics of two differently seeded models."""
+    """Differences between the topics of two differently seeded models, with common and different terms."""
     from ..operators import topics as TP
     cv, m1, _ = _lda(spark, sf_dir, 7)
     _, m2, _ = _lda(spark, sf_dir, 11)
-    return TP.topic_diff(m1, m2, len(cv.vocabulary))
+    return TP.topic_diff(m1, m2, TP.vocab_table(spark, cv))
+
+
+@register("genre_word_diff")
+def genre_word_diff(spark, sf_dir, vocabulary: int = 300):
+    """L5 on stated topics: a genre's shares of the 300 most frequent words (each counted once more) are its topic."""
+    from ..operators import topics as TP
+    from ..operators.vectors import r6
+    c = _c(spark, sf_dir)
+    top = S.word_freq_counts(c.counts, 1).orderBy(F.col("cnt").desc(), F.col("word")).limit(vocabulary).select("word")
+    genres = c.doc_words.groupBy("genre").agg(F.min("doc_id").alias("topic"))  # its first track numbers a genre
+    seen = c.counts.join(top, "word", "left_semi").groupBy("genre", "word").agg(F.sum("cnt").alias("n"))
+    every = genres.select("genre", "topic", F.explode(S.scalar(top.agg(F.collect_list("word")))).alias("word"))
+    t = every.join(seen, ["genre", "word"], "left").select("topic", "word", (F.coalesce("n", F.lit(0)) + 1).cast("double").alias("weight"))
+    d = TP.compare_topics(t, t, 50, 10)
+    return d.select("topic_a", "topic_b", r6(F.col("hellinger")).alias("hellinger"), r6(F.col("kullback_leibler")).alias("kullback_leibler"),
+                    F.array_join("common", " ").alias("common"), F.array_join("different", " ").alias("different"))
+
+
+@register("word_topics")
+def word_topics(spark, sf_dir):
+    """L1/L3: the topics of every word of every track, with at least one hundredth of the word."""
+    from ..operators import topics as TP
+    cv, m, bow = _lda(spark, sf_dir)
+    return TP.word_topics(m, bow, "doc_id", TP.vocab_table(spark, cv))
 
 
 @register("topic_coherence")

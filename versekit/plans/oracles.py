@@ -495,3 +495,30 @@ SELECT CAST(topic AS BIGINT) AS topic, floor(sum(ln((both_n + 1) / n)) * 1e6 + 0
 ORACLES["phrase_list"] = _PHR + """
 SELECT CAST(row_number() OVER (ORDER BY score DESC, phrase) AS BIGINT) AS rank, phrase, floor(score * 1e4 + 0.5) / 10000.0 AS score
 FROM phr WHERE score > 10.0"""
+
+ORACLES["vocab_limit"] = "WITH " + Q.doc_words_cte() + """,
+wf AS (SELECT t.word, CAST(count(*) AS BIGINT) AS cnt FROM dw, unnest(dw.words) AS t(word) GROUP BY t.word),
+r AS (SELECT word, cnt, row_number() OVER (ORDER BY cnt DESC) AS place FROM wf),
+m AS (SELECT coalesce((SELECT cnt + 1 FROM r WHERE place = 601), 1) AS least)
+SELECT wf.word, wf.cnt, CAST(m.least AS BIGINT) AS min_count FROM wf, m WHERE wf.cnt >= m.least"""
+
+ORACLES["genre_word_diff"] = BASE + """,
+top AS (SELECT t.word FROM dw, unnest(dw.words) AS t(word) GROUP BY t.word ORDER BY count(*) DESC, t.word LIMIT 300),
+g AS (SELECT genre, min(doc_id) AS topic FROM dw GROUP BY genre),
+seen AS (SELECT genre, word, sum(cnt) AS n FROM counts GROUP BY genre, word),
+w AS (SELECT g.topic, top.word, coalesce(s.n, 0) + 1 AS weight FROM g CROSS JOIN top LEFT JOIN seen s ON s.genre = g.genre AND s.word = top.word),
+p AS (SELECT topic, word, CAST(weight AS DOUBLE) / sum(weight) OVER (PARTITION BY topic) AS p,
+             row_number() OVER (PARTITION BY topic ORDER BY weight DESC, word) AS r FROM w),
+d AS (SELECT a.topic AS topic_a, b.topic AS topic_b, sqrt(greatest(1 - sum(sqrt(a.p * b.p)), 0)) AS h, sum(a.p * ln(a.p / b.p)) AS kl
+      FROM p a JOIN p b ON a.word = b.word GROUP BY a.topic, b.topic),
+t AS (SELECT topic, word, r FROM p WHERE r <= 50),
+x AS (SELECT d.topic_a, d.topic_b, top.word, a.r AS ra, b.r AS rb
+      FROM d CROSS JOIN top LEFT JOIN t a ON a.topic = d.topic_a AND a.word = top.word LEFT JOIN t b ON b.topic = d.topic_b AND b.word = top.word),
+c AS (SELECT topic_a, topic_b, word, row_number() OVER (PARTITION BY topic_a, topic_b ORDER BY ra + rb, word) AS i FROM x WHERE ra IS NOT NULL AND rb IS NOT NULL),
+f AS (SELECT topic_a, topic_b, word, row_number() OVER (PARTITION BY topic_a, topic_b ORDER BY coalesce(ra, rb), word) AS i
+      FROM x WHERE (ra IS NULL) <> (rb IS NULL)),
+cw AS (SELECT topic_a, topic_b, string_agg(word, ' ' ORDER BY i) AS words FROM c WHERE i <= 10 GROUP BY topic_a, topic_b),
+fw AS (SELECT topic_a, topic_b, string_agg(word, ' ' ORDER BY i) AS words FROM f WHERE i <= 10 GROUP BY topic_a, topic_b)
+SELECT d.topic_a, d.topic_b, floor(d.h * 1e6 + 0.5) / 1e6 AS hellinger, floor(d.kl * 1e6 + 0.5) / 1e6 AS kullback_leibler,
+       coalesce(cw.words, '') AS common, coalesce(fw.words, '') AS different
+FROM d LEFT JOIN cw ON cw.topic_a = d.topic_a AND cw.topic_b = d.topic_b LEFT JOIN fw ON fw.topic_a = d.topic_a AND fw.topic_b = d.topic_b"""
