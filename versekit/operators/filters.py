@@ -33,16 +33,27 @@ def artist_cutoffs(tfidf_artist: DataFrame, pct: int = refdata.TFIDF_CUTOFF_PCT)
     return tfidf_artist.groupBy("genre", "artist").agg(pct_numerator(F.col("tfidf4"), pct, 10).alias("cut10"))
 
 
-def positions(doc_words: DataFrame) -> DataFrame:
-    """(doc_id, genre, artist, uniq, pos, word) — one row per token with its position."""
-    return (doc_words.select("doc_id", "genre", "artist", "uniq", F.posexplode_outer("words").alias("pos", "word"))
-            .filter(F.col("word").isNotNull()))
+def with_places(doc_words: DataFrame, values: DataFrame, *cols: str, key: str = "doc_id") -> DataFrame:
+    """(key, word, at, *cols): the positions of each track's words that ``values`` (key, word, *cols; one row a pair) names.
 
-
-def regroup(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rebuild ordered token arrays per track from (key, pos, word) rows (one track per group)."""
-    return (tokens.groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("_pw"))
+    A track's values travel to it as one row, tracks as their token arrays; both are
+    then taken apart and matched by word where they lie (the partitioning by
+    track serves the grouping by track and word), so no token is exchanged.
+    """
+    per = values.groupBy(key).agg(F.collect_list(F.struct("word", *cols)).alias("_v"))  # at most one entry a distinct word
+    kinds = {c: values.schema[c].dataType for c in cols}
+    tokens = F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"), *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()]))
+    named = F.transform("_v", lambda x: F.struct(x["word"].alias("word"), F.lit(-1).alias("pos"), *[x[c].alias(c) for c in cols]))
+    rows = (doc_words.select(key, "words").join(per, key).select(key, F.explode(F.concat(tokens, named)).alias("x")).select(key, "x.*"))
+    by = rows.groupBy(key, "word").agg(F.collect_list(F.when(F.col("pos") >= 0, F.col("pos"))).alias("at"), (F.min("pos") < 0).alias("_named"),
+                                       *[F.max(c).alias(c) for c in cols])
+    return by.filter("_named").drop("_named")
+
+
+def in_order(placed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, words): token arrays from (key, word, at)."""
+    one = F.transform("at", lambda p: F.struct(p.alias("pos"), F.col("word").alias("word")))
+    return (placed.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(one))).alias("_pw"))
             .select(key, F.transform("_pw", lambda s: s["word"]).alias("words")))
 
 
@@ -65,9 +76,7 @@ def tfidf_filter(doc_words: DataFrame, counts: DataFrame, idf_df: DataFrame, tfi
     mean = F.try_divide(sums.cast("double"), nw)
     keep_mean = F.col("cnt") * mean * 10 > (F.col("cut10") * F.col("uniq")).cast("double")
     keep = F.when(F.coalesce("idf4", F.lit(0)) != 0, keep_idf).otherwise(keep_mean)
-    kept_pairs = pairs.filter(keep).select("doc_id", "word")
-    kept = positions(doc_words).join(kept_pairs, ["doc_id", "word"], "left_semi")
-    return regroup(kept.select("doc_id", "pos", "word"))
+    return in_order(with_places(doc_words, pairs.filter(keep).select("doc_id", "word")))
 
 
 def _outlier_flags(tfidf_artist: DataFrame, lo: int, hi: int):
@@ -100,13 +109,15 @@ def tfidf_outliers(tfidf_artist: DataFrame, lo: int = refdata.OUTLIER_LO_PCT,
     return per.withColumn("removed_frac", frac.cast("double"))
 
 
-def extra_training_filter(doc_words: DataFrame, tfidf_artist: DataFrame,
-                          min_tfidf: float = refdata.EXTRA_TRAINING_MIN_TFIDF) -> DataFrame:
-    """per track keep the words whose artist tf-idf exceeds ``min_tfidf``."""
+def extra_training_filter(doc_words: DataFrame, tfidf_artist: DataFrame, min_tfidf: float = refdata.EXTRA_TRAINING_MIN_TFIDF,
+                          counts: DataFrame | None = None) -> DataFrame:
+    """per track keep the words whose artist tf-idf exceeds ``min_tfidf``; a track without any keeps an empty array.
+
+    ``counts``: the tracks' distinct words (genre, artist, doc_id, word), by default counted here; they alone meet the artists' words."""
+    counts = S.token_counts(doc_words) if counts is None else counts
     thr4 = int(round(min_tfidf * S.TEN4))  # 0.0299 -> 299: tfidf > 0.0299 <=> tfidf4 > 299
     good = tfidf_artist.filter(F.col("tfidf4") > thr4).select("genre", "artist", "word")
-    kept = positions(doc_words).join(good, ["genre", "artist", "word"], "left_semi")
-    rebuilt = regroup(kept.select("doc_id", "pos", "word"))
+    rebuilt = in_order(with_places(doc_words, counts.join(good, ["genre", "artist", "word"], "left_semi").select("doc_id", "word")))
     return (doc_words.select("doc_id").join(rebuilt, "doc_id", "left")
             .select("doc_id", F.coalesce("words", F.array().cast("array<string>")).alias("words")))
 

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import stats as S
-from .filters import regroup
 
 
 def bigram_array(words: Column) -> Column:
@@ -59,26 +58,23 @@ def apply_phrases(sents: DataFrame, phrases: DataFrame, key: str, col: str = "wo
 
     A position i is a candidate when (w_i, w_i+1) is a phrase.  Inside a run of
     consecutive candidates the greedy pass takes every second one starting at
-    the run's first position (gaps-and-islands over one sentence's positions).
+    the run's first position.  Tokens meet the phrases in one join (which Spark sends to
+    the tasks where they are few), then come together by sentence once: runs and
+    the rewritten sentence are windows and an aggregate over that partitioning.
     """
-    pos = sents.select(key, F.posexplode_outer(col).alias("pos", "word"),
-                       F.col(col).alias("_w")).filter(F.col("word").isNotNull())
+    pos = sents.select(key, F.posexplode_outer(col).alias("pos", "word"), F.col(col).alias("_w"))
     pos = pos.withColumn("next", F.try_element_at("_w", (F.col("pos") + 2).cast("int"))).drop("_w")
-    cand = pos.join(phrases.select(F.col("w1").alias("word"), F.col("w2").alias("next")), ["word", "next"], "left_semi")
-    w = Window.partitionBy(key).orderBy("pos")
-    runs = cand.select(key, "pos").withColumn("grp", F.col("pos") - F.row_number().over(w))
-    wr = Window.partitionBy(key, "grp")
-    taken = (runs.withColumn("start", F.min("pos").over(wr))
-             .filter(((F.col("pos") - F.col("start")) % 2) == 0).select(key, "pos"))
-    t1 = taken.withColumn("_take", F.lit(True))
-    t2 = taken.select(key, (F.col("pos") + 1).alias("pos")).withColumn("_skip", F.lit(True))
-    j = pos.join(t1, [key, "pos"], "left").join(t2, [key, "pos"], "left")
-    tok = (F.when(F.col("_take"), F.concat_ws(delim, "word", "next"))
-           .when(F.col("_skip"), F.lit(None)).otherwise(F.col("word")))
-    out = j.select(key, "pos", tok.alias("word")).filter(F.col("word").isNotNull())
-    rebuilt = regroup(out, key)
-    return (sents.select(key).join(rebuilt, key, "left")
-            .select(key, F.coalesce("words", F.array().cast("array<string>")).alias("words")))
+    known = phrases.select(F.col("w1").alias("word"), F.col("w2").alias("next"), F.lit(True).alias("_is"))
+    j = pos.join(known, ["word", "next"], "left").withColumn("_is", F.coalesce("_is", F.lit(False)))
+    upto = Window.partitionBy(key).orderBy("pos")
+    # the last position that is no candidate precedes the run's first
+    j = j.withColumn("_before", F.coalesce(F.max(F.when(~F.col("_is"), F.col("pos"))).over(upto), F.lit(-1)))
+    j = j.withColumn("_take", F.col("_is") & ((F.col("pos") - F.col("_before")) % 2 == 1))
+    j = j.withColumn("_skip", F.coalesce(F.lag("_take").over(upto), F.lit(False)))
+    tok = F.when(F.col("_take"), F.concat_ws(delim, "word", "next")).when(~F.col("_skip"), F.col("word"))
+    out = j.select(key, F.when(tok.isNotNull(), F.struct(F.col("pos").alias("pos"), tok.alias("word"))).alias("t"))
+    return (out.groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("t"))
+            .select(key, F.transform("t", lambda x: x["word"]).alias("words")))
 
 
 def merge_counts(a: DataFrame, b: DataFrame, keys) -> DataFrame:

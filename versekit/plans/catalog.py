@@ -247,7 +247,7 @@ def extra_training_filter(spark, sf_dir):
     """per track, words whose artist tf-idf exceeds 0.0299."""
     from ..operators import filters as FL
     c = _c(spark, sf_dir)
-    out = FL.extra_training_filter(c.doc_words, c.tfidf_artist)
+    out = FL.extra_training_filter(c.doc_words, c.tfidf_artist, counts=c.counts)
     return out.select("doc_id", F.size("words").cast("bigint").alias("ntok"), _joined("words").alias("words"))
 
 
