@@ -145,3 +145,48 @@ def test_relaxed_wmd_keeps_pairs_without_known_words(spark):
     wv = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "word string, v array<double>")
     got = {r["pair"]: r["rwmd"] for r in V.relaxed_wmd(pairs, "pair", "side", wv).collect()}
     assert got.keys() == {1, 2, 3} and abs(got[1] - 2 ** 0.5) < 1e-12 and got[2] is None and got[3] is None
+
+
+def test_sparse_top_k_by_both_ways(spark, monkeypatch):
+    """Queries sent to every task and blocks of queries against blocks of tracks give the same rows as plain sums."""
+    import random
+    from versekit.operators import similarity as SIM
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(30)]
+    idf = spark.createDataFrame([(w, rng.choice([0, 5000, 12345, 30000])) for w in words], "word string, idf4 long")
+    by = {r["word"]: r["idf4"] for r in idf.collect()}
+
+    def bags(n, first):
+        out = []
+        for i in range(first, first + n):
+            own = rng.sample(words, rng.randint(1, 12))
+            out += [(i, len(own), w, rng.randint(1, 4)) for w in own]
+        return out + [(first + n, *x[1:]) for x in out if x[0] == first]  # a copy of the first, for ties
+
+    qs, ds = bags(9, 0), bags(80, 1000)
+    kind = "uniq long, word string, cnt long"
+    q, d = spark.createDataFrame(qs, "sid long, " + kind), spark.createDataFrame(ds, "doc_id long, " + kind)
+
+    def weighed(rows):
+        out = {}
+        for k, uniq, w, c in rows:
+            tf4 = (c * 20000 + uniq) // (2 * uniq)
+            v = (tf4 * by[w] + 5000) // 10000
+            if v > 0:
+                out.setdefault(k, {})[w] = v
+        return out
+
+    qv, dv, want = weighed(qs), weighed(ds), []
+    for a, x in qv.items():
+        sims = []
+        for b, y in dv.items():
+            dot = sum(v * y.get(w, 0) for w, v in x.items())
+            if dot:
+                sims.append((-dot / ((sum(v * v for v in x.values()) ** 0.5) * (sum(v * v for v in y.values()) ** 0.5)), b))
+        want += [(a, r + 1, b, -s) for r, (s, b) in enumerate(sorted(sims)[:5])]
+    for given in ({}, {"query_blocks": 3, "doc_blocks": 4}):
+        got = sorted(tuple(r) for r in SIM.sparse_top_k(q, "sid", d, "doc_id", idf, 5, **given).collect())
+        assert [r[:3] for r in got] == [r[:3] for r in sorted(want)] and all(abs(g[3] - w[3]) < 1e-12 for g, w in zip(got, sorted(want)))
+    monkeypatch.setattr(SIM, "MOST_POSTINGS", 20)
+    assert sorted(tuple(r) for r in SIM.sparse_top_k(q, "sid", d.repartition(5), "doc_id", idf, 5).collect()) == got
+    assert SIM.sparse_top_k(q.limit(0), "sid", d, "doc_id", idf, 5).count() == 0 and SIM.sparse_top_k(q, "sid", d.limit(0), "doc_id", idf, 5).count() == 0

@@ -54,6 +54,8 @@ def group_mean(vecs: DataFrame, group: str, vec: str, weight: str | None = None)
 
 #: Queries and keys that one task multiplies.
 QUERY_BLOCK, KEY_BLOCK = 512, 100_000
+#: Keys multiplied at a time.
+KEY_SLICE = 8_192
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -64,6 +66,17 @@ def _matrix(rows) -> np.ndarray:
     return _unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in rows]))
 
 
+def _products(stack: tuple[np.ndarray, list[int]] | None, m: np.ndarray, n: int) -> np.ndarray:
+    """For each of n queries the product of (1 + cosine) / 2 over its vectors; 1 without any."""
+    if stack is None:
+        return np.ones((n, len(m)))
+    shifted, out, at = (1.0 + stack[0] @ m.T) / 2.0, np.ones((n, len(m))), 0
+    for i, size in enumerate(stack[1]):
+        out[i] = np.prod(shifted[at:at + size], axis=0)
+        at += size
+    return out
+
+
 def top_k_similar(keys: DataFrame, key: str, vec: str, queries: DataFrame, qkey: str, qvec: str,
                   k: int = 10, exclude: DataFrame | None = None, mode: str = "cos",
                   neg: str | None = None) -> DataFrame:
@@ -103,22 +116,33 @@ def top_k_similar(keys: DataFrame, key: str, vec: str, queries: DataFrame, qkey:
     def best(group: tuple, own: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(block):
             return pd.DataFrame(columns=names)
-        m = _matrix(block["v"])
-        sims = _matrix(own["v"]) @ m.T if mode == "cos" else None
-        out = []
-        for i, row in enumerate(own.itertuples(index=False)):
+        if mode == "cos":
+            asked = _matrix(own["v"])
+        else:
+            sides = [own["v"].tolist(), own["n"].tolist()]
+            stacks = [(_matrix([v for row in side for v in row]), [len(row) for row in side]) if any(map(len, side)) else None for side in sides]
+        held = pd.DataFrame(columns=["i", "k", "sim"])
+        for at in range(0, len(block), KEY_SLICE):
+            part = block.iloc[at:at + KEY_SLICE]
+            m = _matrix(part["v"])
             if mode == "cos":
-                s = sims[i]
+                sims = asked @ m.T
             else:
-                num = np.prod((1.0 + _matrix(row.v) @ m.T) / 2.0, axis=0)
-                s = num / ((np.prod((1.0 + _matrix(row.n) @ m.T) / 2.0, axis=0) if len(row.n) else 1.0) + 1e-6)
-            got = pd.DataFrame({"q": [row.q] * len(block), "k": block["k"].to_numpy(), "sim": np.round(s, 12)})
-            if excluding and row.x is not None:
-                got = got[~got["k"].isin(list(row.x))]
-            if len(got) > k:
-                got = got[got["sim"] >= np.partition(got["sim"].to_numpy(), -k)[-k]]
-            out.append(got.sort_values(["sim", "k"], ascending=[False, True], kind="stable").head(k))
-        return pd.concat(out)[names]
+                up, down = (_products(stack, m, len(own)) for stack in stacks)
+                sims = up / (down + 1e-6)
+            sims = np.round(np.nan_to_num(sims, nan=-np.inf), 12)
+            if excluding:
+                for i, x in enumerate(own["x"]):
+                    if x is not None:
+                        sims[i, part["k"].isin(list(x)).to_numpy()] = -np.inf
+            least = np.partition(sims, -k, axis=1)[:, [-k]] if sims.shape[1] > k else np.full((len(own), 1), -np.inf)
+            i, j = np.nonzero((sims >= least) & (sims > -np.inf))
+            found = pd.DataFrame({"i": i, "k": part["k"].to_numpy()[j], "sim": sims[i, j]})
+            held = pd.concat([held, found]) if len(held) else found
+            held = held.sort_values(["i", "sim", "k"], ascending=[True, False, True], kind="stable").groupby("i").head(k)
+        q = np.empty(len(held), object)
+        q[:] = [own["q"].iat[int(i)] for i in held["i"]]
+        return held.assign(q=q)[names]
 
     cand = (left.groupBy("qb", "kb").cogroup(right.groupBy("qb", "kb"))
             .applyInPandas(best, f"q {qtype}, k {ktype}, sim double"))
