@@ -9,6 +9,9 @@ is read and written in parallel.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,8 @@ from .. import refdata
 from ..functions import text as TX
 from ..session import keep_table, path_exists
 
+ENDING = ".lyr"
+
 ARTIST_INFO_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("name", T.StringType()),
     T.StructField("url", T.StringType()), T.StructField("following", T.LongType()),
@@ -37,6 +42,45 @@ def artist_from_file(name: Column) -> Column:
     return F.substring_index(rest, ".", 1)
 
 
+def _name(name: Column) -> Column:
+    """A file's name as it is in its folder (Spark gives it as in a URI)."""
+    return F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
+
+
+def select_files(spark: SparkSession, folders: str | Sequence[str], include: str | Sequence[str] = "all", exclude: str | Sequence[str] = ()) -> list[str]:
+    """The paths of the corpus files of the included genres, without excluded genres and artists.
+
+    Folders are listed by genre pattern, so files of other genres are not even
+    listed; excluded artists drop out by name, and nothing is opened.  Unknown
+    genres among those to include raise; folders, other endings and names without a genre do not count.
+    """
+    from .tables import resolve_genres
+    folders, drop = [folders] if isinstance(folders, str) else list(folders), {exclude} if isinstance(exclude, str) else set(exclude)
+    genres = [g for g in resolve_genres(include) if g not in drop]
+    jvm, conf, found = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for folder in dict.fromkeys(f.rstrip("/") for f in folders):
+        for genre in genres:
+            pattern = jvm.org.apache.hadoop.fs.Path(f"{_literal(folder)}/{genre}_*{ENDING}")
+            for st in pattern.getFileSystem(conf).globStatus(pattern) or ():
+                artist = st.getPath().getName().split("_", 1)[1].split(".", 1)[0]
+                if st.isFile() and artist not in drop:
+                    found.append(st.getPath().toString())
+    return sorted(found)
+
+
+def read_selected(spark: SparkSession, folders: str | Sequence[str], include: str | Sequence[str] = "all", exclude: str | Sequence[str] = (), keep_tail: bool = False) -> DataFrame:
+    """S6 with S1: the tracks of the selected files of several folders."""
+    paths = select_files(spark, folders, include, exclude)
+    if not paths:
+        return spark.createDataFrame([], "genre string, artist string, file string, track_no long, text string")
+    return read_tracks(spark, [_literal(p) for p in paths], keep_tail)
+
+
+def _literal(path: str) -> str:
+    """A path in which no character is a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def _offsets(records: DataFrame, start: str, length: int) -> DataFrame:
     """(file, block, before, n_file, ended, headed) — one narrow row per block of a file: records of the file before it,
     all records, whether the file ends with a separator, and whether it begins with a marker line."""
@@ -52,7 +96,7 @@ def _offsets(records: DataFrame, start: str, length: int) -> DataFrame:
                          rest.isin(0, 3).alias("ended"), F.first("headed").over(every.orderBy("block")).alias("headed"))
 
 
-def read_tracks(spark: SparkSession, path: str, keep_tail: bool = False) -> DataFrame:
+def read_tracks(spark: SparkSession, path: str | list[str], keep_tail: bool = False) -> DataFrame:
     """(genre, artist, file, track_no, text) of every track in the corpus files.
 
     Text after the last marker is dropped (the original emits a track only on
@@ -65,7 +109,7 @@ def read_tracks(spark: SparkSession, path: str, keep_tail: bool = False) -> Data
     start = refdata.TRACK_MARKER
     sep = "\n" + start
     rows = (spark.read.text(path, lineSep=sep)
-            .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("_fn"), F.col("_metadata.file_size").alias("size"),
+            .select("value", F.col("_metadata.file_path").alias("file"), _name(F.col("_metadata.file_name")).alias("_fn"), F.col("_metadata.file_size").alias("size"),
                     F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")))
     firsts = rows.groupBy("file", "block").agg(F.min("at").alias("first"))
     at = _offsets(rows, start, len(sep)).join(firsts, ["file", "block"])
