@@ -11,15 +11,18 @@ from versekit.llm import encoding, lengths, packing, wavelet
 from versekit.llm.store import shared_path
 
 
-def plain(name):
+def plain(name, ordinary=False):
+    """Ids by a tokenizer as the library loads it; ``ordinary``: special tokens' strings are text."""
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(encoding.tokenizer_path(name))
-    t.encode_special_tokens = True
+    if ordinary:
+        t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 TRICKY = ["", " ", "  ", "a b", " a", "a ", "a  b", "a \n b", "a  b", "x\t y", "'s it's", "été É́ ΑΣ ΑΣ. ΣΑ", "1 2  3", "\x1c a\x1d b",
-          "tab\tand\r\nlines\n\n end  ", "<|endoftext|> <|startoftext|>", "😀 😀a", "a  b  c"]
+          "tab\tand\r\nlines\n\n end  ", "<|endoftext|> <|startoftext|>", "a  <|endoftext|>  b<|endoftext|><|endoftext|> c", "<|endoftext|>", "it<|startoftext|>'s  ", "<|endoftext|", "<|EndOfText|> x", "é <|endoftext|> \n\n <|endoftext|>é",
+          "😀 😀a", "a  b  c"]
 
 
 @pytest.mark.parametrize(("name", "words"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
@@ -46,15 +49,18 @@ def check_histogram(rows, sizes):
 
 def test_length_histogram(spark, hard_docs, no_docs):
     rows = sample()
-    sizes = [len(x) for x in plain("byte_bpe_50k.json")([r["text"] for r in rows])]
+    sizes = [len(x) for x in plain("byte_bpe_50k.json", ordinary=True)([r["text"] for r in rows])]
     hist = lengths.length_histogram(spark.createDataFrame([(r["text"],) for r in rows], "text string")).cache()
     check_histogram(hist.collect(), sizes)
     for r in lengths.at_limits(hist, [1, 100, 777, 10**6]).collect():
         assert r["kept_tokens"] == sum(min(s, r["context"]) for s in sizes)
         assert r["docs_cut"] == sum(s > r["context"] for s in sizes)
+    twice = lengths.at_limits(hist, [2, 2, 100]).collect()
+    assert [r["context"] for r in sorted(twice)] == [2, 100] and {r["total_tokens"] for r in twice} == {sum(sizes)}
+    assert all(r["lost_tokens"] == r["total_tokens"] - r["kept_tokens"] == sum(max(s - r["context"], 0) for s in sizes) for r in twice)
     got = {r["share"]: r["tokens"] for r in lengths.quantiles(hist, [0.1, 0.5, 1.0]).collect()}
     assert got == {q: sorted(sizes)[int(np.ceil(q * len(sizes))) - 1] for q in (0.1, 0.5, 1.0)}
-    hard = [len(x) for x in plain("byte_bpe_50k.json")([h[1] for h in HARD])]
+    hard = [len(x) for x in plain("byte_bpe_50k.json", ordinary=True)([h[1] for h in HARD])]
     check_histogram(lengths.length_histogram(hard_docs).collect(), hard)
     assert lengths.length_histogram(no_docs).count() == 0
     assert lengths.at_limits(lengths.length_histogram(no_docs), [5]).first()["kept_tokens"] == 0

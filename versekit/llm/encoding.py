@@ -10,6 +10,9 @@ is met again moves over); results do not depend on it.
   a text may be cut before every single space that precedes a non-space.
 * ``word_bpe_49k.json`` (white space dropped): it may be cut at blanks, line
   feeds, tabs and carriage returns.
+
+Ids are those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``:
+by the library's defaults the string of a special token, where a text holds it, is that token.
 """
 
 from __future__ import annotations
@@ -61,7 +64,9 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # the library takes the strings of added tokens out of a text first, and encodes what stands between them on its own
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.chunks = word_chunks if words else byte_chunks
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -72,6 +77,12 @@ class Encoder:
         self.letters = {ord(c): written.pre_tokenize_str(c.lower() if words else c)[0][0] for c in LETTERS + " "}
         self.model = self.tokenizer.model
 
+    def _cut(self, text: str) -> list[str]:
+        """Chunks of a text; an added token's string is one of its own."""
+        if self.added is None or not self.added.search(text):
+            return self.chunks(text)
+        return [c for i, part in enumerate(self.added.split(text)) if part for c in ([part] if i % 2 else self.chunks(part))]
+
     def _plain(self, x: str) -> bytes:
         """Ids of one pre-token of plain letters, from the vocabulary model itself."""
         return array("I", [t.id for t in self.model.tokenize(x.translate(self.letters))]).tobytes()
@@ -103,7 +114,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end: int | None = None) -> list[np.ndarray]:
         """Ids of every text (null: none), followed by ``end``."""
-        cut = [self.chunks(t) if t else [] for t in texts]
+        cut = [self._cut(t) if t else [] for t in texts]
         tail = b"" if end is None else int(end).to_bytes(4, "little")
         if len(self.known) > CACHE_CHUNKS:
             self.old, self.known = self.known, {}
