@@ -2,7 +2,7 @@
 
 Documents are aggregated by encoded length (one row per distinct length, so
 the table is at most about the square root of twice the corpus' tokens), and
-suffix sums over the lengths answer every limit exactly: with a limit L a corpus
+suffix sums over the lengths answer every limit exactly (the strings of special tokens are ordinary text here): with a limit L a corpus
 keeps sum(min(length, L)) tokens.  Suffix sums run inside blocks of lengths and
 over block totals, so no task holds the whole histogram.
 
@@ -87,18 +87,20 @@ def length_histogram(docs: DataFrame, ranks: str | None = None, text: str = "tex
 def at_limits(hist: DataFrame, limits: Sequence[int]) -> DataFrame:
     """(context, total_tokens, kept_tokens, lost_tokens, docs_cut) for any context limits.
 
-    A limit between two lengths takes the suffix sums of the next longer one.
+    A limit between two lengths takes the suffix sums of the next longer one: what
+    is cut off is their tokens less the limit for each of their documents.  A limit given
+    twice is one row; without documents every figure is 0.
     """
-    lim = hist.sparkSession.createDataFrame([(int(x),) for x in limits], "context long")
-    per = (hist.select("tokens", "n_docs", F.explode(F.array(*[F.lit(int(x)) for x in limits])).alias("context"))
-           .groupBy("context").agg(
-               F.sum(F.col("tokens") * F.col("n_docs")).alias("total_tokens"),
-               F.sum(F.least("tokens", "context") * F.col("n_docs")).alias("kept_tokens"),
-               F.sum(F.when(F.col("tokens") > F.col("context"), F.col("n_docs")).otherwise(0)).alias("docs_cut")))
-    return lim.join(per, "context", "left").select(
-        "context", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total_tokens", "kept_tokens")],
-        F.coalesce(F.col("total_tokens") - F.col("kept_tokens"), F.lit(0)).alias("lost_tokens"),
-        F.coalesce("docs_cut", F.lit(0)).alias("docs_cut"))
+    lim = hist.sparkSession.createDataFrame([(int(x),) for x in dict.fromkeys(limits)], "context long")
+    each = F.explode(F.array(*[F.lit(int(x)) for x in dict.fromkeys(limits)]).cast("array<bigint>")).alias("context")
+    above = (hist.select("tokens", "docs_from", "tokens_from", each).filter(F.col("tokens") > F.col("context"))
+             .groupBy("context").agg(F.min(F.struct("tokens", "docs_from", "tokens_from")).alias("m")))
+    every = hist.agg(F.max(F.col("tokens_below") + F.col("tokens_from"))).scalar()
+    lost = F.coalesce(F.col("m.tokens_from") - F.col("context") * F.col("m.docs_from"), F.lit(0))
+    total = F.coalesce(every, F.lit(0))
+    return lim.join(above, "context", "left").select(
+        "context", total.alias("total_tokens"), (total - lost).alias("kept_tokens"), lost.alias("lost_tokens"),
+        F.coalesce("m.docs_from", F.lit(0)).alias("docs_cut"))
 
 
 def quantiles(hist: DataFrame, shares: Sequence[float]) -> DataFrame:
