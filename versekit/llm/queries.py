@@ -81,4 +81,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_kneser_ney_bands, op2_histogram_sort, op3_collinear_chaining, op4_length_histogram, op5_redirect_equivalence, op6_lsh_forest, op7_column_wise_suffixes, op8_best_two_fit, op9_wavelet_matrix,
                                    op10_template_canonicalisation, op11_compression_distance, op12_edit_lattice, op13_filter_audit)}
 
-ORACLES: dict[str, str] = {"op13_filter_audit": audit.ORACLE}
+ORACLES: dict[str, str] = {"op5_redirect_equivalence": urls.ORACLE.format(rules=", ".join(str(r) for r in URL_RULES)), "op13_filter_audit": audit.ORACLE}

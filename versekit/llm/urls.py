@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versekit.llm.components import components
-from versekit.llm.store import keep
+from versekit.llm.store import discard, keep
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Longest rule list that may be written into a query as literals.
@@ -70,20 +70,22 @@ def html_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     linked = (pages.select(F.col(url).alias("_url"), F.col(html).alias("_html"))
               .filter(text.isNotNull() & src.isNotNull() & text.rlike(r"(?i)\b(canonical|refresh)\b")))
     tag = F.explode(F.regexp_extract_all(text, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1))
-    tags = linked.select("_url", tag.alias("tag")).filter(F.col("tag").rlike(
+    # a page's host, scheme and folder are columns before its tags are taken apart, so that no expression repeats them
+    place = F.regexp_replace(F.regexp_replace(path_of(src), r"^/", ""), r"[^/]*$", "")
+    linked = linked.select("_url", "_html", host_of(src).alias("_host"), F.regexp_extract(src, r"^([^:]*)://", 1).alias("_scheme"), place.alias("_place"))
+    tags = linked.select("_url", "_host", "_scheme", "_place", tag.alias("tag")).filter(F.col("tag").rlike(
         r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b|^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"))
     href = F.coalesce(
         *[F.nullif(F.regexp_extract("tag", p, 1), F.lit("")) for p in (
             r"(?is)^<link\b.*?\bhref\s*=\s*\"([^\"]*)\"", r"(?is)^<link\b.*?\bhref\s*=\s*'([^']*)'",
             r"(?is)^<link\b.*?\bhref\s*=\s*([^\s\"'>]+)", r"(?is)\bcontent\s*=\s*[\"'][^\"']*?\burl\s*=\s*([^\"'\s>]+)")])
-    to, host = F.trim(href), host_of(src)
-    scheme = F.regexp_extract(src, r"^([^:]*)://", 1)
+    to, host, scheme = F.col("_to"), F.col("_host"), F.col("_scheme")
     absolute = (F.when(F.locate("://", to) > 0, to)
                 .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
                 .when(to.startswith("/"), F.concat(scheme, F.lit("://"), host, to))
-                .otherwise(F.concat(scheme, F.lit("://"), host, F.lit("/"),
-                                    F.regexp_replace(F.regexp_replace(path_of(src), r"^/", ""), r"[^/]*$", ""), to)))
-    return tags.select(src.alias("src"), absolute.alias("dst")).filter(to.isNotNull())
+                .otherwise(F.concat(scheme, F.lit("://"), host, F.lit("/"), F.col("_place"), to)))
+    return (tags.select("_url", "_host", "_scheme", "_place", F.trim(href).alias("_to")).filter("_to IS NOT NULL")
+            .select(src.alias("src"), absolute.alias("dst")))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: str = "page_id", url: str = "url",
@@ -106,8 +108,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], page_id:
                              F.coalesce("_action", F.lit(default)).alias("verdict"),
                              F.lit(None).cast("string").alias("alias_class"))
     all_links = links[0] if len(links) == 1 else links[0].unionByName(links[1])
+    # links are written before they become keys: one expression over the html for both would be too long to compile
+    all_links, path = keep(all_links, "links")
     ends = all_links.select(node_of(F.col("src")).alias("u"), node_of(F.col("dst")).alias("v"))
     classes, _ = keep(components(ends), "alias")
+    discard(pages.sparkSession, path)
     # an alias' rule follows from its key, whether or not the url is a page itself
     key = F.concat(F.lit("x://"), F.col("node"))
     _, ruled = rule_columns(rules, host_of(key), path_of(key))
@@ -120,3 +125,16 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], page_id:
     out = judged.join(by_class, "_node", "left")
     return out.select(F.col("_id").alias("page_id"), "host", "path", "rule",
                       F.coalesce("_action", "_passed", F.lit(default)).alias("verdict"), "alias_class")
+
+
+#: What the rules alone decide of ``pages``, in DuckDB SQL; the given pages hold no canonical link and no refresh, so no class decides.
+ORACLE = """
+WITH r(action, h, p) AS (VALUES {rules}),
+u AS (SELECT row_number() OVER () AS i, page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
+s AS (SELECT i, page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+f AS (SELECT s.i, r.action, r.h || r.p AS rule,
+             row_number() OVER (PARTITION BY s.i ORDER BY length(r.h) + length(r.p) DESC, r.action, r.h, r.p) AS k
+      FROM s JOIN r ON (s.host = r.h OR ends_with(s.host, '.' || r.h)) AND starts_with(s.path, r.p))
+SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.action, 'allow') AS verdict FROM s LEFT JOIN f ON f.i = s.i AND f.k = 1
+"""
