@@ -21,6 +21,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -119,13 +120,13 @@ class Encoder:
         if len(self.known) > CACHE_CHUNKS:
             self.old, self.known = self.known, {}
         known = self.known
-        new = set().union(*cut) - known.keys() if cut else set()
+        new = set(filterfalse(known.__contains__, chain.from_iterable(cut)))
         long = {}
         for x, v in self._encode_new(list(new)):
             (known if len(x) <= LONGEST_CHUNK else long)[x] = v
         if long:
             return [np.frombuffer(b"".join([known[x] if x in known else long[x] for x in c]) + tail, "<u4") for c in cut]
-        return [np.frombuffer(b"".join([known[x] for x in c]) + tail, "<u4") for c in cut]
+        return [np.frombuffer(b"".join(map(known.__getitem__, c)) + tail, "<u4") for c in cut]
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
