@@ -417,6 +417,14 @@ def find_phrases(spark, sf_dir):
     return P.find_phrases(_sentences(spark, sf_dir, "benchmark"), _phrase_model(spark, sf_dir))
 
 
+@register("find_phrases_turns")
+def find_phrases_turns(spark, sf_dir):
+    """P2 on many sentences: model phrases found in the conversations' turns."""
+    from ..operators import phrases as P
+    turns = _c(spark, sf_dir).table("conversations").select(T.document_tokens("text").alias("words"))
+    return P.find_phrases(turns, _phrase_model(spark, sf_dir))
+
+
 @register("apply_phrases")
 def apply_phrases(spark, sf_dir):
     """Benchmark sentences rewritten with detected phrases joined by '-'."""

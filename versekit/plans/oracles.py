@@ -522,3 +522,8 @@ fw AS (SELECT topic_a, topic_b, string_agg(word, ' ' ORDER BY i) AS words FROM f
 SELECT d.topic_a, d.topic_b, floor(d.h * 1e6 + 0.5) / 1e6 AS hellinger, floor(d.kl * 1e6 + 0.5) / 1e6 AS kullback_leibler,
        coalesce(cw.words, '') AS common, coalesce(fw.words, '') AS different
 FROM d LEFT JOIN cw ON cw.topic_a = d.topic_a AND cw.topic_b = d.topic_b LEFT JOIN fw ON fw.topic_a = d.topic_a AND fw.topic_b = d.topic_b"""
+
+ORACLES["find_phrases_turns"] = _PHR + """,
+s AS (SELECT """ + Q.document_tokens_sql("text") + """ AS words FROM conversations),
+tb AS (SELECT DISTINCT s.words[t.i] AS w1, s.words[t.i + 1] AS w2 FROM s, unnest(generate_series(1, len(s.words) - 1)) AS t(i))
+SELECT p.phrase, p.score FROM tb JOIN phr p ON tb.w1 = p.w1 AND tb.w2 = p.w2 WHERE p.score > 10.0"""
