@@ -55,3 +55,14 @@ def test_hard_rows(spark, hard_docs, no_docs):
     assert sharding.histogram_shards(no_docs, 3).count() == 0
     one = placed(spark.createDataFrame([(1, "a")] * 5, "doc_id long, text string"), shards=24)
     assert sorted(r["slot"] for r in one) == [0, 1, 2, 3, 4]
+
+
+def test_columns_of_the_caller_stay(spark, hard_docs, no_docs):
+    own = {"_h": "h", "_i": "i", "_row": "row", "_part": "part", "_base": "base", "_p": "p", "part": "x"}
+    docs = hard_docs.withColumns({k: F.concat(F.lit(v), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for k, v in own.items()}).withColumn("slot", F.lit("own"))
+    out = sharding.histogram_shards(docs, 3)
+    assert set(out.columns) == set(docs.columns) and dict(out.dtypes)["slot"] == "bigint" and dict(out.dtypes)["size"] == "bigint"
+    rows = out.collect()
+    assert len(rows) == len(HARD) and all(r[k] == v + ("" if r["doc_id"] is None else str(r["doc_id"])) for r in rows for k, v in own.items())
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, i) for s in range(3) for i in range(sum(r["shard"] == s for r in rows))]
+    assert set(sharding.histogram_shards(no_docs.withColumn("_h", F.lit(1)), 3).columns) == {*no_docs.columns, "_h", "size", "shard", "slot"}

@@ -157,18 +157,21 @@ def histogram_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", text:
                      probes: int = 32) -> DataFrame:
     """All rows of ``docs`` with their ``size``, ``shard`` and ``slot`` (gapless from 0 in key order).
 
+    These three stand in place of columns of ``docs`` with their names; all others are returned as they are.
+
     ``tolerance``: allowed distance of a splitter from its target, as a share
     of a shard; finer than one document is not possible.  ``part_bytes``: what
     one sorting task takes, with at least ``least_parts`` parts a shard.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    sized = docs.withColumns({
-        "size": F.octet_length(t).cast("long") + F.lit(overhead), "_h": F.xxhash64(t),
-        "_i": F.coalesce(F.col(doc_id).cast("long"), F.lit(LOW).cast("long"))})
+    own = [c for c in docs.columns if c not in ("size", "shard", "slot")]
+    # the caller's columns travel as one value, so that no name of theirs meets one of these
+    sized = docs.select(F.struct(*[docs[c] for c in own]).alias("_row"), (F.octet_length(t).cast("long") + F.lit(overhead)).alias("size"), F.xxhash64(t).alias("_h"),
+                        F.coalesce(F.col(doc_id).cast("long"), F.lit(LOW).cast("long")).alias("_i"))
     keys, _ = keep(sized.select("_h", "_i", "size"), "shard-keys")
     n, total = keys.agg(F.count(F.lit(1)), F.sum("size")).first()
     if not n:
-        return sized.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).drop("_h", "_i")
+        return sized.select("_row.*", "size", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     parts = shards * max(least_parts, -(-total // (shards * part_bytes)))
     weights = (lambda w: float(w[0]), lambda w: w[0] / total + w[1] / n)
     end = (HIGH + 1, (total, n))
@@ -208,7 +211,7 @@ def histogram_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", text:
 
     w = Window.partitionBy("_part").orderBy("_h", "_i")
     placed = sized.withColumn("_p", place("_h", "_i")).withColumns({"_part": F.col("_p.part"), "shard": F.col("_p.shard"), "_base": F.col("_p.base")})
-    return placed.withColumn("slot", F.col("_base") + F.row_number().over(w) - 1).drop("_h", "_i", "_p", "_part", "_base")
+    return placed.select("_row.*", "size", "shard", (F.col("_base") + F.row_number().over(w) - 1).alias("slot"))
 
 
 def _inside(keys: DataFrame, seeks: list[_Seek], per: int) -> None:
