@@ -34,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versekit.llm.textbuf import U64, Prefix, mix, slices, utf8
+from versekit.llm.textbuf import MULT, U64, Prefix, mix, slices, utf8
 
 WINDOW = 5
 SHARE = 0.8
 MAX_LOCAL = 4_000_000
+SIEVE_BITS = 23
 NUMBER, UNIT, NAME = 1, 2, 3
 # Words typed as units behind a number, and words typed as numbers.
 UNITS = ("mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h hr hrs day days week weeks month months year years hour hours minute minutes "
@@ -130,10 +131,12 @@ def template_windows(data: np.ndarray, off: np.ndarray, size: int = WINDOW) -> t
             n = np.concatenate([[0], np.cumsum(need)])
             own = at[n[at + size] > n[at]]
         code = np.where(kinds[form] > 0, kinds[form].astype(U64), value)
-        h = np.zeros(len(own), U64)
-        for k in range(size):
-            h = mix(h * U64(31) + code[own + k])
-        out.append((row[own], own - first[row[own]], h, own, np.full(len(own), form)))
+        # a polynomial of the window's codes (mixed hashes or kinds) for every token at once, mixed where a window is wanted
+        total = code[:len(code) - size + 1].copy()
+        for k in range(1, size):
+            total *= U64(MULT)
+            total += code[k:len(code) - size + 1 + k]
+        out.append((row[own], own - first[row[own]], mix(total[own]), own, np.full(len(own), form)))
     return tuple(np.concatenate(c) for c in zip(*out)), kinds, value
 
 
@@ -144,13 +147,17 @@ def _windows(texts: DataFrame, wanted: np.ndarray | None) -> DataFrame:
     """Windows of ``texts`` (columns k, t) as rows (k, th = hash of the text, pos, h, kinds and values of the slots)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if wanted is not None:  # most windows fail on one look at the first bits of their hash
+            sieve = np.zeros(1 << SIEVE_BITS, bool)
+            sieve[wanted.view(U64) >> U64(64 - SIEVE_BITS)] = True
         for batch in it:
             for part in slices(batch, "t"):
                 data, off = utf8(part.column("t"))
                 (row, pos, h, at, form), kinds_of, value = template_windows(data, off)
                 text_hash = Prefix(data).slice(off[:-1], off[1:])
                 if wanted is not None and len(h):
-                    hit = _one_of(h, wanted)
+                    hit = np.flatnonzero(sieve[h >> U64(64 - SIEVE_BITS)])
+                    hit = hit[_one_of(h[hit], wanted)]
                     row, pos, h, at, form = row[hit], pos[hit], h[hit], at[hit], form[hit]
                 if not len(h):
                     continue
