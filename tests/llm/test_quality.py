@@ -156,3 +156,17 @@ def test_small_languages_have_bands(spark):
     assert not any(got[d]["kept"] for d, _, _ in soup)
     prose = [got[d] for d, _, _ in docs if not got[d]["base_failed"] and got[d]["n_symbols"] <= 0.05 * got[d]["n_words"]]
     assert sum(r["kept"] for r in prose) >= 0.99 * len(prose) and all(r["kept"] for r in prose if r["doc_id"] >= 340)
+
+
+def test_bands_reject_gibberish_without_symbols(spark):
+    rng = np.random.default_rng(8)
+    common, letters = ["the", "of", "garden", "water", "evening", "under", "a", "quiet", "stone", "river", "walks", "slowly", "house", "and", "in"], list("abcdefghijklmnopqrstuvwxyz")
+    prose = [(i, " ".join(rng.choice(common, 300)), "en") for i in range(300)]
+    # a fifth of the words is noise: inside 16 robust deviations, far outside the cut for outliers
+    noisy = [(-i - 1, " ".join("".join(rng.choice(letters, 5)) if k % 5 == 0 else w for k, w in enumerate(rng.choice(common, 300))), "en") for i in range(6)]
+    df = spark.createDataFrame(prose + noisy, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert not any(got[d]["base_failed"] or got[d]["kept"] for d, _, _ in noisy)
+    assert sum(got[d]["kept"] for d, _, _ in prose) >= 0.99 * len(prose)
+    wide = {r["doc_id"]: r["kept"] for r in quality.judge(df, widths=(16.0, 16.0)).collect()}
+    assert any(wide[d] for d, _, _ in noisy)

@@ -23,7 +23,7 @@ Every language has a band: its median and spread count with the number of its
 documents, those of all languages together like ``PRIOR_DOCS`` documents, so the
 fewer documents a language has, the closer its band is to the common one.  The
 model of a small language fits its own texts too well, so its upper end is also
-measured from its own scores, from the upper quartile the more the fewer they are, by no less than its own spread.
+measured from its own scores, from the highest of them the more the fewer they are, by no less than its own spread.
 
 Defined results: a null text has no words; a null language is the empty
 one; repeated rows are judged alike; an empty table gives an empty result; other
@@ -48,8 +48,9 @@ ORDER = 5
 MAX_LOCAL = 1 << 24
 #: Documents that the values of all languages together count for in a language's band.
 PRIOR_DOCS = 100
-#: Half widths of the bands in robust standard deviations: (lower, upper).
-BANDS = (16.0, 16.0)
+#: Half widths of the bands in robust standard deviations: (lower, upper); 3.5 is the usual
+#: cut for outliers by robust scores (Iglewicz and Hoaglin 1993).
+BANDS = (3.5, 3.5)
 #: Interquartile range of a normal distribution, in standard deviations.
 IQR_SPREAD = 1.349
 #: Least robust standard deviation of a language's mean log probability.
@@ -355,7 +356,7 @@ def bands(scores: DataFrame, widths: tuple[float, float] = BANDS) -> DataFrame:
     ok = scores.filter(~F.col("failed") & F.col("mean_logp").isNotNull())
     # aggregates that tasks combine: no language's scores meet in one task
     q = F.percentile_approx("mean_logp", [0.25, 0.5, 0.75], 10_000)
-    per, _ = keep(ok.groupBy("g").agg(q.alias("q"), F.count(F.lit(1)).alias("n")), "quality-quantiles")
+    per, _ = keep(ok.groupBy("g").agg(q.alias("q"), F.max("mean_logp").alias("top"), F.count(F.lit(1)).alias("n")), "quality-quantiles")
     # the common spread is that inside languages: their medians differ
     inside = ok.join(per.select("g", F.col("q")[1].alias("own")), "g").select("mean_logp", (F.col("mean_logp") - F.col("own")).alias("off"))
     common = inside.agg(F.percentile_approx("mean_logp", 0.5, 10_000).alias("m"), F.percentile_approx("off", [0.25, 0.75], 10_000).alias("o"))
@@ -364,7 +365,7 @@ def bands(scores: DataFrame, widths: tuple[float, float] = BANDS) -> DataFrame:
     own, all_ = F.greatest((F.col("q")[2] - F.col("q")[0]) / IQR_SPREAD, least), F.greatest((F.col("o")[1] - F.col("o")[0]) / IQR_SPREAD, least)
     s = share * own + (1 - share) * all_
     mid = share * F.col("q")[1] + (1 - share) * F.col("m")
-    return per.crossJoin(common).select("g", (mid - widths[1] * s).alias("low"), (F.greatest(mid, share * F.col("q")[1] + (1 - share) * F.col("q")[2]) + widths[0] * F.greatest(s, own)).alias("high"))
+    return per.crossJoin(common).select("g", (mid - widths[1] * s).alias("low"), (F.greatest(mid, share * F.col("q")[1] + (1 - share) * F.col("top")) + widths[0] * F.greatest(s, own)).alias("high"))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", carry: tuple[str, ...] = ("doc_id",),
