@@ -35,6 +35,18 @@ def test_encoder_equals_the_library(name, words, monkeypatch):
     assert [x.tolist() for x in enc.encode(texts, 0)] == [w + [0] for w in want]
 
 
+def test_words_are_remembered_without_their_signs(monkeypatch):
+    enc = encoding.Encoder(encoding.tokenizer_path("byte_bpe_50k.json"), words=False)
+    monkeypatch.setattr(encoding, "CACHE_CHUNKS", 10)
+    calls, own = [], enc._plain
+    enc._plain = lambda x: calls.append(x) or own(x)
+    words = [f"wörd{a}{b}" for a in "abcdef" for b in "xyzuv"]
+    for sign in (".", ",", "!?", ";"):
+        texts = ["".join(f" {w}{sign}" for w in words), None, "", " ", "a\n \x0bx", "a \x0bx", "b <|endoftext|> c", "end ", "\u3000 \u3000x y"]
+        assert [x.tolist() for x in enc.encode(texts, 0)] == [x + [0] for x in plain("byte_bpe_50k.json")(texts)]
+    assert sum(len(x) > 4 for x in calls) == len(words)
+
+
 def check_histogram(rows, sizes):
     c = Counter(sizes)
     assert {r["tokens"]: r["n_docs"] for r in rows} == dict(c)

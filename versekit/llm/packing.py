@@ -45,7 +45,7 @@ def token_pieces(docs: DataFrame, budget: int, vocabulary: str | None = None, do
         for batch in it:
             for part in slices(batch, "t"):
                 rows = []
-                for d, ids in zip(part.column("d").to_pylist(), enc.encode(part.column("t").to_pylist(), end)):
+                for d, ids in zip(part.column("d").to_pylist(), enc.encode(part.column("t"), end)):
                     for k, at in enumerate(range(0, len(ids), budget)):
                         own = ids[at:at + budget]
                         n = seen[len(own)] = seen.get(len(own), -1) + 1

@@ -36,6 +36,8 @@ from versekit.llm.store import keep, shared_path
 from versekit.llm.textbuf import slices
 
 MAGIC, BLOCK = b"WVM1", 512
+#: Bytes of text that are encoded at a time; what they hold twice is looked up once.
+SLICE = 2 << 20
 NO_ID = -(1 << 63)
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
@@ -48,7 +50,7 @@ def write_matrix(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> byte
     cur = ids.astype(np.uint16 if width <= 16 else np.uint32)
     sections, zeros = [squeeze(doc_ids.astype("<i8").tobytes()), squeeze(ends.astype("<i8").tobytes())], []
     for b in range(width - 1, -1, -1):
-        one = (cur >> b & 1).astype(bool)
+        one = (cur & cur.dtype.type(1 << b)) != 0
         bits = np.packbits(one, bitorder="little")
         heads = np.zeros(-(-n // BLOCK) + 1, "<u4")
         per = np.zeros((len(heads) - 1) * BLOCK // 8, np.uint8)
@@ -56,7 +58,7 @@ def write_matrix(ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> byte
         np.cumsum(per.reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32), out=heads[1:])
         sections += [squeeze(bits.tobytes()), squeeze(heads.tobytes())]
         zeros.append(int(n - heads[-1]))
-        cur = np.concatenate([cur[~one], cur[one]])
+        cur = np.concatenate([cur.compress(~one), cur.compress(one)])
     places = np.concatenate([[0], np.cumsum([len(s) for s in sections])]).tolist()
     head = json.dumps({"n": n, "docs": len(doc_ids), "width": width, "zeros": zeros, "places": places}).encode()
     return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *sections])
@@ -191,10 +193,10 @@ def write_shards(docs: DataFrame, folder: str, shard_bytes: int = 32 << 20, voca
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, ids, own, sizes = encoder(path, words=False), TaskContext.get().partitionId(), [], [], []
         for batch in it:
-            for part in slices(batch, "t"):
-                got = enc.encode(part.column("t").to_pylist(), end)
-                ids.append(np.concatenate(got).astype(np.uint16 if enc.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32))
-                sizes += [len(x) for x in got]
+            for part in slices(batch, "t", SLICE):
+                got, n = enc.encode_flat(part.column("t"), end)
+                ids.append(got.astype(np.uint16 if enc.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32))
+                sizes += n.tolist()
                 own += [NO_ID if d is None else d for d in part.column("d").to_pylist()]
         if own:
             all_ids = np.concatenate(ids)
