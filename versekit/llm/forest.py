@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versekit.llm.components import components
-from versekit.llm.sketch import mark_repeated, marked
+from versekit.llm.sketch import mark_repeated, marked, unpacked
 from versekit.llm.store import discard, keep
 from versekit.llm.textbuf import U64, Prefix, mix, slices, utf8, words
 
@@ -135,7 +135,7 @@ def _labels(nodes: DataFrame) -> DataFrame:
     sent = nodes.sparkSession.sparkContext.broadcast(mark_repeated(sigs.select("sig"), lambda b: _region_hashes(_matrix(b.column("sig"))).ravel()))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        bits = unpacked(sent.value)
         for b in it:
             if not b.num_rows:
                 continue
