@@ -82,6 +82,38 @@ def test_groups_and_chains_at_the_threshold(spark, seed, monkeypatch):
     assert run(spark, docs, 4) == plain_components(docs, 4)
 
 
+def test_large_group_below_the_threshold_writes_no_pairs(spark, monkeypatch):
+    """400 variants that come near without a link, and a few that have one: the tables grow with the rows, not the pairs."""
+    rng = random.Random(7)
+    base = ["w%d" % rng.randrange(10**6) for _ in range(200)]
+    docs = [edited(rng, base, 7) for _ in range(400)]
+    docs += [edited(rng, docs[k].split(), 3) for k in range(0, 400, 40)]
+    docs = [(i, t) for i, t in enumerate(docs)]
+    written, keep = {}, forest.keep
+
+    def counted(df, label):
+        out, path = keep(df, label)
+        written[label] = max(written.get(label, 0), out.count())
+        return out, path
+
+    monkeypatch.setattr(forest, "SMALL", 9)
+    monkeypatch.setattr(forest, "NEAR", 2)
+    monkeypatch.setattr(forest, "keep", counted)
+    assert run(spark, docs, 4) == plain_components(docs, 4)
+    assert written["forest-rest"] > 0
+    assert max(written.values()) <= (2 * forest.TREES + 1) * len(docs), written
+
+
+def test_blocks_of_a_region_meet_each_other(spark, monkeypatch):
+    """A group of many blocks, by rows and by bytes: each pair meets once."""
+    rng = random.Random(8)
+    base = ["w%d" % rng.randrange(10**6) for _ in range(120)]
+    docs = [(i, edited(rng, base, rng.randrange(0, 9))) for i in range(150)]
+    for name, value in (("SMALL", 9), ("NEAR", 1), ("BLOCK", 20), ("BLOCK_BYTES", 1 << 14)):
+        monkeypatch.setattr(forest, name, value)
+    assert run(spark, docs, 4) == plain_components(docs, 4)
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64))

@@ -13,8 +13,10 @@ Links are confirmed on full sets: first every node's best candidate, then all
 candidates that still lead to another component and whose signatures agree in
 at least ``LOOSE`` of their values (far below the threshold: a pair at 0.8 falls
 below with probability 5e-7).  What dense regions left uncompared is settled last: nodes outside a
-region's largest component meet all its nodes, in blocks, by the same signature estimate, and
-then by full sets.
+region's largest component meet all its nodes, in blocks, by the same signature estimate; those
+that come near a node of another component meet once more in these blocks, with full sets.  A pair
+is compared in the first dense region it shares.  Neither step writes pairs: the first
+passes rows on, the second yields the links that join components.
 
 A pair at the threshold 0.8 shares no region with probability
 (1 - 0.8^LEAST)^TREES = 3e-7.
@@ -27,12 +29,12 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versekit.llm.components import components
@@ -43,6 +45,8 @@ from versekit.llm.textbuf import U64, Prefix, mix, slices, utf8, words
 TREES, LEAST, DEPTH = 21, 3, 8
 HASHES = TREES * LEAST
 SMALL, NEAR, BLOCK = 33, 8, 2048
+#: Bytes of full sets in a block.
+BLOCK_BYTES = 64 << 20
 LOOSE = 0.55
 #: Fixed parameters of the hash functions: odd multipliers and offsets from a counter.
 _A = mix(np.arange(1, HASHES + 1, dtype=U64)) | U64(1)
@@ -268,48 +272,121 @@ def _across(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
     return j.filter(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).drop("_ra", "_rb")
 
 
+def _blocks(rows: str, shingles: str) -> Column:
+    """Blocks that hold at most ``BLOCK`` rows and about ``BLOCK_BYTES`` of sets."""
+    return F.ceil(F.greatest(F.col(rows) / BLOCK, F.col(shingles) * 8 / BLOCK_BYTES, F.lit(1)))
+
+
 def _left_over(labels: DataFrame, nodes: DataFrame, roots: DataFrame, share: int) -> DataFrame:
-    """(a, b, score): pairs of dense regions that the trees' orders left uncompared and whose signatures come near.
+    """Rows of dense regions that the trees' orders left uncompared and whose signatures come near one of another component.
 
-    Members outside a region's largest component, against all members of other
-    components, in blocks of ``BLOCK`` members.
+    Members outside a region's largest component (``stray``), against all members
+    of other components, in blocks.  ``side`` is 0 for a stray that meets, 1 for a member that is met.
     """
     region = F.concat(F.col("tree").cast("string").cast("binary"), F.substring("label", 1, 4 * LEAST))
-    rows = labels.select(region.alias("region"), "node", "n")
+    rows = labels.select(region.alias("region"), "tree", "node", "n")
     dense = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > SMALL)
-    inside = (rows.join(dense, "region").join(roots, "node", "left")
-              .select("region", "node", "n", "m", F.coalesce("root", "node").alias("comp")))
+    inside = (rows.join(dense.select("region"), "region").join(roots, "node", "left")
+              .select("region", "tree", "node", "n", F.coalesce("root", "node").alias("comp")))
     inside, path = keep(inside, "forest-dense")
-    per = inside.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("c"))
-    top = per.groupBy("region").agg(F.max(F.struct("c", "comp")).alias("t"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    top = top.select("region", F.col("t.comp").alias("main"))
-    members = inside.join(top, "region").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)))
-    sigs = nodes.select("node", "sig")
-    members, members_path = keep(members.join(sigs, "node"), "forest-members")
-    strays = members.filter("comp != main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("m") / BLOCK) - 1)))
-
-    def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = ["a", "b", "score"]
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=cols)
-        s, m = (np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(-1, HASHES) for x in (left, right))
-        out = []
-        for i in range(len(left)):
-            alike = (m == s[i]).sum(axis=1)
-            small, large = np.minimum(right["n"], left["n"].iloc[i]), np.maximum(right["n"], left["n"].iloc[i])
-            ok = (alike >= LOOSE * HASHES) & (right["comp"] != left["comp"].iloc[i]) & (100 * small >= share * large)
-            if ok.any():
-                other = right["node"].to_numpy()[ok]
-                out.append(pd.DataFrame({"a": np.minimum(other, left["node"].iloc[i]), "b": np.maximum(other, left["node"].iloc[i]), "score": alike[ok]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=cols)
-
-    pairs = (strays.groupBy("region", "block").cogroup(members.groupBy("region", "block"))
-             .applyInPandas(compare, "a long, b long, score long").groupBy("a", "b").agg(F.max("score").alias("score")))
-    out, _ = keep(pairs, "forest-rest")
+    per = inside.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    top = per.groupBy("region").agg(F.max(F.struct("c", "comp", "s")).alias("t"), F.count(F.lit(1)).alias("comps"),
+                                    F.sum("c").alias("m"), F.sum("s").alias("s")).filter("comps > 1")
+    top = top.select("region", F.col("t.comp").alias("main"), _blocks("m", "s").alias("right"),
+                     F.col("m").alias("_m"), F.col("s").alias("_s"), (F.col("m") - F.col("t.c")).alias("lm"), (F.col("s") - F.col("t.s")).alias("ls"))
+    top = top.select("region", "main", "right", _blocks("lm", "ls").alias("left"))
+    members = inside.join(top, "region").withColumn("stray", F.col("comp") != F.col("main")).drop("main")
+    trees = members.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("trees"))
+    members, members_path = keep(members.join(trees, "node").join(nodes.select("node", "sig"), "node"), "forest-members")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = ["region", "tree", "node", "n", "comp", "stray", "trees", "sig"]
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    strays = members.filter("stray").select(*own, at("left").alias("l"), upto("right").alias("r"))
+    others = members.select(*own, upto("left").alias("l"), at("right").alias("r"))
+    schema = "region binary, tree int, node long, n long, comp long, stray boolean, trees long, sig binary, l long, r long"
+
+    def near(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        met, meets = np.zeros(len(right), bool), np.zeros(len(left), bool)
+        for i, alike in _alike(left, right, share):
+            hit = alike(right["comp"].to_numpy() != left["comp"].iat[i])
+            met[hit] = True
+            meets[i] = len(hit) > 0
+        return pd.concat([left[meets].assign(side=0), right[met].assign(side=1)])
+
+    met = strays.groupBy("region", "l", "r").cogroup(others.groupBy("region", "l", "r")).applyInPandas(near, schema + ", side int")
+    out, _ = keep(met, "forest-rest")
     discard(labels.sparkSession, path, members_path)
     return out
 
 
+def _alike(left: pd.DataFrame, right: pd.DataFrame, share: int) -> Iterator[tuple[int, Callable[[np.ndarray], np.ndarray]]]:
+    """For every row of ``left`` its number and a function: the rows of ``right`` among a choice whose sizes and signatures come near.
+
+    Two strays meet once, and rows that share dense regions of several trees meet in the first.
+    """
+    if not len(left) or not len(right):
+        return
+    s, m = (np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(-1, HASHES) for x in (left, right))
+    tree = int(left["tree"].iat[0])
+    before = (1 << tree) - 1
+    node, n, stray, trees = (right[c].to_numpy() for c in ("node", "n", "stray", "trees"))
+    for i, (own, size, seen) in enumerate(zip(left["node"].tolist(), left["n"].tolist(), left["trees"].tolist())):
+        def alike(choice: np.ndarray) -> np.ndarray:
+            at = np.flatnonzero(choice & (100 * np.minimum(n, size) >= share * np.maximum(n, size)) & (~stray | (node > own)))
+            equal = m[at] == s[i]
+            close = equal.sum(axis=1) >= LOOSE * HASHES
+            at, equal = at[close], equal[close]
+            both = trees[at] & seen & before
+            for t in range(tree):
+                again = (both >> t & 1).astype(bool)
+                if again.any():
+                    stay = ~(again & equal[:, _ORDER[t, :LEAST]].all(axis=1))
+                    at, equal, both = at[stay], equal[stay], both[stay]
+            return at
+
+        yield i, alike
+
+
+def _links_left(rest: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """(a, b): links between components among the rows of ``_left_over``, by their full sets.
+
+    A block yields no link between components that it has already joined.
+    """
+
+    def confirm(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            items = [np.frombuffer(x, U64) for x in right["items"]]
+            known, code = np.unique(np.concatenate(items), return_inverse=True)
+            n = np.array([len(x) for x in items])
+            start = np.cumsum(n) - n
+            own_comp, comp = left["comp"].to_numpy().copy(), right["comp"].to_numpy().copy()
+            mine, theirs = left["comp"].tolist(), right["comp"].tolist()
+            hit = np.zeros(len(known), bool)
+            for i, alike in _alike(left, right, share):
+                at = alike(comp != own_comp[i])
+                if not len(at):
+                    continue
+                x = np.frombuffer(left["items"].iat[i], U64)
+                place = np.searchsorted(known, x)
+                place = place[place < len(known)]
+                place = place[known[place] == x[:len(place)]]
+                hit[place] = True
+                both = np.array([np.count_nonzero(hit[code[a:b]]) for a, b in zip(start[at].tolist(), (start[at] + n[at]).tolist())])
+                hit[place] = False
+                for j in at[100 * both >= share * (len(x) + n[at] - both)].tolist():
+                    if comp[j] != own_comp[i]:
+                        found.append((mine[i], theirs[j]))
+                        old, new = comp[j], own_comp[i]
+                        comp[comp == old] = new
+                        own_comp[own_comp == old] = new
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    rows = rest.join(sets, "node")
+    left, right = rows.filter("side = 0").toDF(*rows.columns), rows.filter("side = 1").toDF(*rows.columns)
+    return left.groupBy("region", "l", "r").cogroup(right.groupBy("region", "l", "r")).applyInPandas(confirm, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, share: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
@@ -323,43 +400,47 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: int = 80, doc_id: str
     pairs, pairs_path = keep(_pairs(labels, share), "forest-candidates")
     sets = links = roots = None
 
-    def settle(pairs: DataFrame) -> None:
-        """Confirm every node's best candidate first, then all that still lead to another component and come near."""
-        nonlocal sets, links, roots
-        tried = None
-        for best_only in (True, False):
-            open_pairs = _across(pairs, roots)
-            if best_only:
-                both = open_pairs.select("a", "b", "score").unionByName(open_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-                best = both.groupBy("a").agg(F.max(F.struct("score", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-                open_pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            else:
-                open_pairs = _near(open_pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), nodes)
-            open_pairs, open_path = keep(open_pairs.select("a", "b"), "forest-open")
-            if not open_pairs.limit(1).count():
-                discard(spark, open_path)
-                if best_only:
-                    return
-                break
-            if best_only:  # the texts are read once for all of these candidates
-                ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-                if sets is not None:
-                    ends = ends.join(sets.select("node"), "node", "left_anti")
-                if sets is None or ends.limit(1).count():
-                    more, _ = keep(_sets(docs, nodes.join(ends, "node", "left_semi"), size, doc_id, text), "forest-sets")
-                    sets = more if sets is None else sets.unionByName(more)
-            done, _ = keep(_confirm(open_pairs, sets, share), "forest-confirmed")
+    def texts_of(ends: DataFrame) -> None:
+        """Read the full sets of more nodes."""
+        nonlocal sets
+        if sets is not None:
+            ends = ends.join(sets.select("node"), "node", "left_anti")
+        if sets is None or ends.limit(1).count():
+            more, _ = keep(_sets(docs, nodes.join(ends, "node", "left_semi"), size, doc_id, text), "forest-sets")
+            sets = more if sets is None else sets.unionByName(more)
+
+    # every node's best candidate first, then all that still lead to another component and come near
+    tried = None
+    for best_only in (True, False):
+        open_pairs = _across(pairs, roots)
+        if best_only:
+            both = open_pairs.select("a", "b", "score").unionByName(open_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+            best = both.groupBy("a").agg(F.max(F.struct("score", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+            open_pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            open_pairs = _near(open_pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), nodes)
+        open_pairs, open_path = keep(open_pairs.select("a", "b"), "forest-open")
+        if not open_pairs.limit(1).count():
             discard(spark, open_path)
-            tried = done.select("a", "b")
-            new = done.filter("linked").select("a", "b")
-            links = new if links is None else links.unionByName(new)
-            roots, _ = keep(components(links, "a", "b"), "forest-roots")
-
-    settle(pairs)
+            break
+        if best_only:  # the texts are read once for all of these candidates
+            texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        done, _ = keep(_confirm(open_pairs, sets, share), "forest-confirmed")
+        discard(spark, open_path)
+        tried = done.select("a", "b")
+        new = done.filter("linked").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        roots, _ = keep(components(links, "a", "b"), "forest-roots")
     if roots is None:
         roots = nodes.limit(0).select("node", F.col("node").alias("root"))
-    settle(_left_over(labels, nodes, roots, share))
     named = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    rest = _left_over(labels, nodes, roots, share)
+    if rest.limit(1).count():
+        texts_of(rest.select("node").distinct())
+        left, _ = keep(_links_left(rest, sets, share), "forest-left")
+        if left.limit(1).count():
+            joined, _ = keep(components(left, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("to")), "forest-joined")
+            named = named.join(joined, "root", "left").select("node", "first", F.coalesce("to", "root").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_node = named.join(smallest, "root").select("node", "component_id")
     by_node, _ = keep(by_node, "forest-result")
