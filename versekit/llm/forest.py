@@ -44,7 +44,7 @@ from versekit.llm.textbuf import U64, Prefix, mix, slices, utf8, words
 
 TREES, LEAST, DEPTH = 21, 3, 8
 HASHES = TREES * LEAST
-SMALL, NEAR, BLOCK = 33, 8, 2048
+SMALL, NEAR, BLOCK = 33, 2, 2048
 #: Bytes of full sets in a block.
 BLOCK_BYTES = 64 << 20
 LOOSE = 0.55
