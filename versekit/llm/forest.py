@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versekit.llm.components import components
-from versekit.llm.sketch import mark_repeated, marked, unpacked
+from versekit.llm.sketch import held, marked, write_repeated
 from versekit.llm.store import discard, keep
 from versekit.llm.textbuf import U64, Prefix, mix, slices, utf8, words
 
@@ -136,10 +136,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _labels(nodes: DataFrame) -> DataFrame:
     """(tree, label, node, n) of every node in every tree where its region holds other nodes; labels compare like their values."""
     sigs = nodes.select("sig", "node", "n_shingles")
-    sent = nodes.sparkSession.sparkContext.broadcast(mark_repeated(sigs.select("sig"), lambda b: _region_hashes(_matrix(b.column("sig"))).ravel()))
+    bitmap = write_repeated(sigs.select("sig"), lambda b: _region_hashes(_matrix(b.column("sig"))).ravel())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = unpacked(sent.value)
+        bits = held(bitmap)
         for b in it:
             if not b.num_rows:
                 continue
