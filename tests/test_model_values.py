@@ -99,3 +99,13 @@ def test_predicted_words_are_the_nearest(spark):
     for i in range(5):
         own = sorted((r["rank"], r["id"]) for r in got if r["q"] == i)
         assert [k for _, k in own] == np.argsort(-(u @ x[i]))[:7].tolist()
+
+
+def test_perplexity_follows_from_the_likelihood_without_a_second_inference(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, [f"w{int(n)}" for n in rng.integers(0, 9, 20)]) for i in range(30)] + [(99, ["rare"])], "doc_id long, words array<string>")
+    bow = TP.fit_dictionary(docs, 2, 60).transform(docs)
+    m = TP.fit_lda(bow, 3, seed=1, max_iter=5)
+    want = m.logLikelihood(bow), m.logPerplexity(bow)
+    monkeypatch.setattr(type(m), "logPerplexity", None)
+    np.testing.assert_allclose(TP.likelihood(m, bow), want, rtol=1e-9)
